@@ -1,0 +1 @@
+"""Empty on purpose: every source is a batch table, there is no stream to process."""
