@@ -24,38 +24,52 @@ def draw_integer(identifier, seed: int) -> Column:
 
 
 def exact_sample(
-    df: DataFrame, identifier: str, sizes: DataFrame, seed: int, by: list[str] | None = None
+    df: DataFrame, identifier: str, sizes: int | dict, seed: int, by: str | None = None
 ) -> DataFrame:
-    """Rows with the ``n`` lowest draws, overall or in each group of ``by``.
+    """The rows with the lowest draws: ``sizes`` of them, or ``sizes[value]`` for each value of ``by``.
 
-    ``sizes`` has the columns of ``by`` and ``n``. No sort of all rows: draws are counted in
-    65,536 cells (their first four digits), whole cells are kept up to the cell where the size
-    is reached, and only the rows of that one cell are ranked.
+    No sort of all rows: draws are counted in 65,536 cells (their first four digits), and only the
+    rows of the cell where the size is reached are ranked. The sample is then a plain filter on
+    the draw, with one limit per value.
     """
-    by = by or []
-    drawn = df.withColumn("_draw", draw(identifier, seed)).withColumn(
-        "_cell", F.substring("_draw", 1, 4)
-    )
-    if not by:
-        drawn, sizes, by = drawn.withColumn("_all", F.lit(1)), sizes.withColumn("_all", F.lit(1)), ["_all"]
-    running = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
-    cells = (
-        drawn.groupBy(*by, "_cell")
+    group = F.lit(0) if by is None else F.col(by)
+    wanted = {0: sizes} if by is None else sizes
+    drawn = df.select(
+        group.alias("_group"), F.col(identifier).alias("_id"), draw(identifier, seed).alias("_draw")
+    ).withColumn("_cell", F.substring("_draw", 1, 4))
+    limits = F.create_map(*[F.lit(int(x)) for pair in wanted.items() for x in pair])
+    running = Window.partitionBy("_group").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    # the last cell of each group that the sample reaches, and how many of its rows it takes
+    last_cells = (
+        drawn.groupBy("_group", "_cell")
         .agg(F.count("*").alias("_rows"))
         .withColumn("_until", F.sum("_rows").over(running))
-        .join(sizes, by)
-        .withColumn("_before", F.col("_until") - F.col("_rows"))
-        .filter(F.col("_before") < F.col("n"))
-        .select(*by, "_cell", (F.col("_until") <= F.col("n")).alias("_whole"),
-                (F.col("n") - F.col("_before")).alias("_rest"))
+        .withColumn("_rest", F.least(limits[F.col("_group")] - F.col("_until") + F.col("_rows"), "_rows"))
+        .filter("_rest > 0")
+        .groupBy("_group")
+        .agg(F.max_by(F.struct("_cell", "_rest"), "_cell").alias("_last"))
+        .select("_group", "_last.*")
+    ).collect()
+    if not last_cells:
+        return df.filter(F.lit(False))
+    in_last = reduce(
+        lambda left, right: left | right,
+        [(F.col("_group") == row["_group"]) & (F.col("_cell") == row["_cell"]) for row in last_cells],
     )
-    # at most 65,536 cells per group of ``by``; groups are classes or datasets
-    kept = drawn.join(F.broadcast(cells), [*by, "_cell"])
-    whole = kept.filter("_whole")
-    rank = Window.partitionBy(*by).orderBy("_draw", identifier)
-    edge = kept.filter("not _whole").withColumn("_rank", F.row_number().over(rank))
-    edge = edge.filter("_rank <= _rest").drop("_rank")
-    return whole.unionByName(edge).select(*df.columns)
+    rests = F.create_map(*[F.lit(x) for row in last_cells for x in (row["_group"], row["_rest"])])
+    rank = Window.partitionBy("_group").orderBy("_draw", "_id")
+    last_rows = (
+        drawn.filter(in_last)
+        .withColumn("_rank", F.row_number().over(rank))
+        .filter(F.col("_rank") == rests[F.col("_group")])
+        .select("_group", "_draw", "_id")
+    ).collect()
+    place = F.struct(draw(identifier, seed).alias("d"), F.col(identifier).alias("i"))
+    kept = [
+        (group == row["_group"]) & (place <= F.struct(F.lit(row["_draw"]).alias("d"), F.lit(row["_id"]).alias("i")))
+        for row in last_rows
+    ]
+    return df.filter(reduce(lambda left, right: left | right, kept))
 
 
 def union_all(frames: list[DataFrame]) -> DataFrame:

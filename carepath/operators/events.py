@@ -147,6 +147,5 @@ def sample_non_cases(
     test = F.col("dataset") == "external_test"
     kept = splits.filter(test | (F.col(OUTCOME) == 1)).drop("dataset")
     non_cases = splits.filter(~test & (F.col(OUTCOME) == 0)).drop("dataset")
-    size = person.sparkSession.range(1).select(F.lit(n_sample).alias("n"))
-    sample = kept.unionByName(exact_sample(non_cases, PERSON, size, seed))
+    sample = kept.unionByName(exact_sample(non_cases, PERSON, n_sample, seed))
     return sample, event.join(sample.select(PERSON), PERSON, "left_semi")

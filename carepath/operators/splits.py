@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -76,53 +77,37 @@ def split_train_test_w_inclusion_start(inclusion_sessions: DataFrame, test_size:
 def compute_person_subsample(
     person: DataFrame, train_size: float, positive_ratio: float | None = None, random_seed: int = 0
 ) -> DataFrame:
-    """A share ``train_size`` of the persons with a given ratio of cases (theirs by default).
-
-    The outcome should be binary, otherwise the query fails when it runs.
-    """
-    counts = person.agg(
-        F.count("*").alias("all"),
-        F.count_if(F.col(OUTCOME) == 1).alias("cases"),
-        F.count_distinct(OUTCOME).alias("classes"),
-    ).withColumn(
-        "ratio",
-        F.when(F.col("classes") != 2, F.raise_error(F.lit("Outcome should be binary.")).cast("double")).otherwise(
-            F.lit(positive_ratio).cast("double") if positive_ratio is not None else F.col("cases") / F.col("all")
-        ),
-    )
-    cases = F.least(F.floor(F.lit(train_size) * F.col("ratio") * F.col("all")), F.col("cases"))
-    others = F.floor(F.lit(train_size) * (1 - F.col("ratio")) * F.col("all"))
-    sizes = counts.select(
-        F.explode(F.array(F.struct(F.lit(1).alias("_case"), cases.alias("n")),
-                          F.struct(F.lit(0).alias("_case"), others.alias("n")))).alias("_size")
-    ).select("_size._case", "_size.n")
-    marked = person.withColumn("_case", (F.col(OUTCOME) == 1).cast("int"))
-    return exact_sample(marked, PERSON, sizes, random_seed, by=["_case"]).drop("_case")
+    """A share ``train_size`` of the persons with a given ratio of cases (theirs by default)."""
+    counts = {row[OUTCOME]: row["n"] for row in person.groupBy(OUTCOME).agg(F.count("*").alias("n")).limit(3).collect()}
+    if len(counts) != 2:
+        raise ValueError("Outcome should be binary.")
+    total, cases = sum(counts.values()), counts.get(1, 0)
+    ratio = cases / total if positive_ratio is None else positive_ratio
+    other = next(value for value in counts if value != 1)
+    sizes = {1: min(int(train_size * ratio * total), cases), other: int(train_size * (1 - ratio) * total)}
+    return exact_sample(person, PERSON, sizes, random_seed, by=OUTCOME)
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 0, identifier: str = PERSON) -> DataFrame:
     """``n`` rows drawn without replacement."""
-    return exact_sample(df, identifier, df.sparkSession.range(1).select(F.lit(n).alias("n")), seed)
+    return exact_sample(df, identifier, n, seed)
 
 
 def person_split(
     person: DataFrame, train_size: float | None = None, test_size: float | None = None, random_seed: int = 0
 ) -> tuple[DataFrame, DataFrame]:
     """Exact split of the persons. The test size is rounded up, the train size down, and what
-    is not given is the rest."""
+    is not given is the rest. A train size of 1 leaves an empty test."""
     if train_size is None and test_size is None:
         test_size = 0.25
-    total = F.count("*")
     if train_size == 1:
-        n_train = total
-    elif train_size is not None:
-        n_train = F.floor(total * F.lit(float(train_size)))
-    else:
-        n_train = total - F.ceil(total * F.lit(float(test_size)))
-    train = exact_sample(person, PERSON, person.agg(n_train.alias("n")), random_seed)
+        return person, person.filter(F.lit(False))
+    total = person.count()
+    n_test = None if test_size is None else math.ceil(total * test_size)
+    n_train = total - n_test if train_size is None else math.floor(total * train_size)
+    train = exact_sample(person, PERSON, n_train, random_seed)
     test = person.join(train.select(PERSON), PERSON, "left_anti")
-    if train_size is not None and train_size != 1 and test_size is not None:
-        n_test = person.agg(F.ceil(F.count("*") * F.lit(float(test_size))).alias("n"))
+    if n_test is not None and n_test < total - n_train:
         test = exact_sample(test, PERSON, n_test, random_seed)
     return train, test
 

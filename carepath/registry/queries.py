@@ -101,11 +101,11 @@ class Inputs:
 
     @cached_property
     def prognosis(self):
-        return tasks.get_prognosis(self.db, self.population, STUDY_END, 1, 0.01, 0, self.tree)
+        return tasks.get_prognosis(self.db, self.population, STUDY_END, 1, 0.01, 0, self.tree).persist()
 
     @cached_property
     def mace(self):
-        return tasks.get_mace(self.db, self.population, 360)
+        return tasks.get_mace(self.db, self.population, 360).persist()
 
     @cached_property
     def config(self):
@@ -113,11 +113,12 @@ class Inputs:
 
     @cached_property
     def observed(self):
-        return events.observed_events(self.population, self.db, self.config)
+        return events.observed_events(self.population, self.db, self.config).persist()
 
     @cached_property
     def cohort(self):
-        return events.create_event_cohort(self.mace, self.db, self.config)
+        person, event = events.create_event_cohort(self.mace, self.db, self.config)
+        return person.persist(), event.persist()
 
     @cached_property
     def vectors(self):
@@ -216,8 +217,10 @@ def cohort_round_trip(i):
 def read_run_logs(i):
     folder = scratch(i.spark, "runs")
     records = views.runs(i.tables).select("run_id", "estimator", "compute_time", "splitting_rs")
-    records.drop("splitting_rs").filter("run_id % 2 = 0").write.option("header", True).csv(f"{folder}/even")
-    records.drop("compute_time").filter("run_id % 2 = 1").write.option("header", True).csv(f"{folder}/odd")
+    even = records.drop("splitting_rs").filter("run_id % 2 = 0")
+    odd = records.drop("compute_time").filter("run_id % 2 = 1")
+    even.write.option("header", True).mode("append").csv(folder)
+    odd.write.option("header", True).mode("append").csv(folder)
     logs = run_logs.read_run_logs(i.spark, folder)
     return logs.select(
         F.col("run_id").cast("long"), "estimator", r6(F.col("compute_time").cast("double"), "compute_time"),
@@ -443,7 +446,8 @@ def icd_prefix(i):
 
 def _prognosis_events(i):
     person = i.prognosis
-    return person, events.drop_outcome_visit_events(events.observed_events(person, i.db, i.config), person)
+    observed = events.observed_events(person, i.db, i.config)
+    return person, events.drop_outcome_visit_events(observed, person).persist()
 
 
 @query

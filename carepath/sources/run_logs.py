@@ -28,22 +28,23 @@ def read_run_logs(spark: SparkSession, folder: str) -> DataFrame:
     names = [name for name in _children(spark, folder) if name.endswith(".csv")]
     if not names:
         raise FileNotFoundError(f"no CSV in {folder}")
-    paths = [f"{folder.rstrip('/')}/{name}" for name in names]
-    # the first line of each file, with the path that goes with it
-    lines = spark.read.option("lineSep", "\n").text(paths).select(
-        F.input_file_name().alias("path"), F.col("value").alias("header"),
-        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),
+    # the first line of each file, with the name of the file it comes from
+    lines = spark.read.text(f"{folder.rstrip('/')}/*.csv").select(
+        F.col("_metadata.file_name").alias("name"), F.col("value").alias("header"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
     )
     headers = (
-        lines.groupBy("path")
-        .agg(F.min_by("header", F.struct("block", "line")).alias("header"))
+        lines.groupBy("name")
+        .agg(F.min_by("header", "place").alias("header"))
         .groupBy("header")
-        .agg(F.sort_array(F.collect_list("path")).alias("paths"))
+        .agg(F.sort_array(F.collect_list("name")).alias("names"))
         .orderBy("header")
         .collect()
     )
     readers = [
-        spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(row["paths"])
+        spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(
+            [f"{folder.rstrip('/')}/{name}" for name in row["names"]]
+        )
         for row in headers
     ]
     return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), readers)
