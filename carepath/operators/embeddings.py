@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.mllib.linalg import SparseVector
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from carepath.constants import PERSON, SOURCE_CODE, START
 from carepath.operators.features import index_codes
+from carepath.session import materialise
 
 HOT_CELLS = 4096
 
@@ -110,8 +110,7 @@ def truncated_svd(
     vectors, whose size is that of the vocabulary.
     """
     spark = matrix.sparkSession
-    # read by every iteration; a lost block is computed again from its lineage
-    matrix = matrix.persist(StorageLevel.MEMORY_AND_DISK)
+    matrix = materialise(matrix, "matrix")
     columns = index_codes(matrix, column)
     positions = spark.createDataFrame(list(enumerate(columns)), f"_ix int, {column} string")
     vectors = (
@@ -146,7 +145,7 @@ def event2vec(
     colname_concept: str = SOURCE_CODE,
 ) -> DataFrame:
     """Embedding of each code, from its co-occurrences: (code, array of d numbers)."""
-    pairs = cooccurrence(events, window_radius_in_days, colname_concept).persist(StorageLevel.MEMORY_AND_DISK)
+    pairs = materialise(cooccurrence(events, window_radius_in_days, colname_concept), "pairs")
     rows, _, _ = truncated_svd(ppmi(pairs, smoothing_factor, k), "code", "context", "ppmi", d)
     return rows.select(F.col("code").alias(colname_concept), "embedding")
 

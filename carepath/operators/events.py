@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +23,7 @@ from carepath.constants import (
 )
 from carepath.functions.dates import clean_date_cols, timestamp
 from carepath.functions.draws import exact_sample, union_all
+from carepath.session import materialise
 
 
 @dataclass(frozen=True)
@@ -57,13 +57,13 @@ def make_event_config(event_table_names: list[str]) -> dict[str, EventTable]:
 
 
 def size_checked(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Compute a code-level table once and broadcast it if it has at most ``rows`` rows.
+    """Write a code-level table once and broadcast it if it has at most ``rows`` rows.
 
     Joining events on a code shuffles them on a very skewed key, so a broadcast is worth a
     check. Beyond ``rows`` the table is joined without a hint.
     """
-    kept = table.persist(StorageLevel.MEMORY_AND_DISK)
-    return F.broadcast(kept) if kept.count() <= rows else kept
+    written = materialise(table, "codes")
+    return F.broadcast(written) if written.count() <= rows else written
 
 
 def build_vocabulary(event: DataFrame, n_min_events: int = 10, code: str = SOURCE_CODE) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +26,7 @@ from carepath.constants import (
 from carepath.functions.dates import clean_date_cols, days_between, force_datetime, plus_days, timestamp
 from carepath.functions.draws import draw, union_all
 from carepath.operators.ordered import HOT_ROWS, next_point
+from carepath.session import materialise
 from carepath.operators.visits import (
     build_sessions,
     fix_visit_end,
@@ -136,8 +136,8 @@ class SelectedPopulation:
     """Index sessions, and how far each person went.
 
     ``funnel`` has one row per person with the number of the last criterion passed, and ``steps``
-    names the criteria, number 0 being the initial population. Both read the graded sessions, which
-    are kept (on disk if need be) and computed again if their executor is lost.
+    names the criteria, number 0 being the initial population. Both come from the graded
+    sessions, which are written once.
     """
 
     inclusion_population: DataFrame
@@ -145,10 +145,6 @@ class SelectedPopulation:
     steps: list[str]
     graded_sessions: DataFrame
 
-    def release(self) -> None:
-        """Forget the sessions kept for both tables."""
-        self.graded_sessions.unpersist()
-
 
 def study_sessions(
     database,
@@ -189,14 +185,10 @@ def select_population(
     visits, sessions = study_sessions(
         database, study_start, study_end, with_incomplete_hospitalization, max_time_delta_day, hot_rows
     )
-    graded = grade_sessions(
-        sessions,
-        person,
-        clean_date_cols(database.condition_occurrence) if visits_w_billing_codes_only else None,
-        study_end,
-        horizon_in_days,
-        hot_rows,
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    conditions = clean_date_cols(database.condition_occurrence) if visits_w_billing_codes_only else None
+    graded = materialise(
+        grade_sessions(sessions, person, conditions, study_end, horizon_in_days, hot_rows), "sessions"
+    )
     last = 6 if visits_w_billing_codes_only else 5
     # one row per person: old enough, how far its sessions go, how many go to the end
     persons = graded.groupBy(PERSON).agg(
@@ -208,7 +200,7 @@ def select_population(
     cutoff = visits_cutoff(counted, sup_quantile_visits).scalar()
     usual = counted.filter((F.col("n_sessions") <= cutoff) & (F.col("n_sessions") >= n_min_visits))
     kept = graded.filter(F.col("passed") == last).join(usual.select(PERSON), PERSON, "left_semi")
-    population = as_inclusion(pick_index_visit(kept, index_visit, seed))
+    population = materialise(as_inclusion(pick_index_visit(kept, index_visit, seed)), "population")
 
     excluded_types = "No Hospitalization" + (
         " + incomplete hospitalization" if with_incomplete_hospitalization else ""

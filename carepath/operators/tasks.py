@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from datetime import datetime
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +46,7 @@ from carepath.functions.dates import (
     timestamp,
 )
 from carepath.functions.draws import draw, draw_integer
+from carepath.session import materialise
 
 BLANK_PERIOD_IN_DAYS = 0.5
 
@@ -175,19 +175,21 @@ def get_prognosis(
         .select(PERSON, STAY_ID, CONDITION_CODE)
         .distinct()
     )
-    coded_visits = (
+    diagnoses = materialise(diagnoses, "diagnoses")
+    coded_visits = materialise(
         diagnoses.select(PERSON, STAY_ID)
         .distinct()
-        .join(clean_date_cols(database.visit_occurrence).select(STAY_ID, VISIT_START), STAY_ID)
-        .persist(StorageLevel.MEMORY_AND_DISK)
+        .join(clean_date_cols(database.visit_occurrence).select(STAY_ID, VISIT_START), STAY_ID),
+        "coded_visits",
     )
-    targets = draw_target_visit(coded_visits, random_state).select(
+    drawn = draw_target_visit(coded_visits, random_state).select(
         F.col(STAY_ID).alias(OUTCOME_STAY_ID),
         PERSON,
         F.col(VISIT_START).alias(FOLLOWUP_START),
         "nb_coded_visits",
         "target_visit_ix",
     )
+    targets = materialise(drawn, "target_visits")
     target_codes = targets.select(OUTCOME_STAY_ID).join(
         diagnoses.select(F.col(STAY_ID).alias(OUTCOME_STAY_ID), CONDITION_CODE), OUTCOME_STAY_ID
     )
@@ -198,12 +200,12 @@ def get_prognosis(
     else:
         coarse = target_codes.withColumn(CONDITION_COARSE, icd_prefix(CONDITION_CODE, cim10_nb_digits))
     labels = coarse.select(OUTCOME_STAY_ID, F.col(CONDITION_COARSE).alias("_label")).distinct()
-    n_targets = targets.agg(F.count("*"))
+    n_targets = targets.count()
     # labels are chapters or short prefixes: a table of the size of the classification
     frequent = (
         labels.groupBy("_label")
         .agg(F.count("*").alias("_visits"))
-        .filter(F.col("_visits") / n_targets.scalar() >= F.lit(float(min_prevalence)))
+        .filter(F.col("_visits") / F.lit(n_targets) >= F.lit(float(min_prevalence)))
         .select("_label")
     )
     outcome = (

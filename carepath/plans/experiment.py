@@ -6,7 +6,6 @@ import time
 from dataclasses import dataclass, field
 from itertools import product
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +24,7 @@ from carepath.operators.features import (
 from carepath.operators.metrics import get_binary_scores
 from carepath.operators.models import EstimatorConfig, predict, random_search, with_features
 from carepath.operators.splits import compute_person_subsample
+from carepath.session import materialise
 
 # fixed values: names of the featurizers
 DEMOGRAPHICS = "Demographics"
@@ -94,14 +94,13 @@ def run_grid(
 ) -> list[dict]:
     """Run every combination and return its record: parameters, sizes, prevalences, scores.
 
-    The features of a (featurizer, seed, size) are kept for its estimators and released after.
+    The features of a (featurizer, seed, size) are written once for its estimators.
     """
-    event = restrict_to_vocabulary(event, build_vocabulary(event, config.n_min_events)).persist(
-        StorageLevel.MEMORY_AND_DISK
-    )
+    event = materialise(restrict_to_vocabulary(event, build_vocabulary(event, config.n_min_events)), "event")
     persons = add_static_features(keep_persons_with_events(person, event)).join(
         dataset_split.select(PERSON, "dataset"), PERSON
     )
+    persons = materialise(persons, "person")
     train_all = persons.filter("dataset = 'train'")
     test = persons.filter("dataset = 'external_test'")
     records = []
@@ -109,8 +108,8 @@ def run_grid(
         train = compute_person_subsample(train_all, size, config.positive_ratio, seed)
         started = time.monotonic()
         features = build_features(name, config, event, train, embeddings)
-        train_rows = with_features(train, features).persist(StorageLevel.MEMORY_AND_DISK)
-        test_rows = with_features(test, features).persist(StorageLevel.MEMORY_AND_DISK)
+        train_rows = materialise(with_features(train, features), "train")
+        test_rows = materialise(with_features(test, features), "test")
         sizes = {"train": train_rows, "test": test_rows}
         described = {
             part: rows.agg(F.count("*").alias("n"), (100 * F.avg(F.col(OUTCOME).cast("double"))).alias("p")).first()
@@ -144,7 +143,4 @@ def run_grid(
                     **{f"train_{key}": value for key, value in scores["train"].items()},
                 }
             )
-        train_rows.unpersist()
-        test_rows.unpersist()
-    event.unpersist()
     return records

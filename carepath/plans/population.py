@@ -6,7 +6,6 @@ import math
 from dataclasses import dataclass, field
 from datetime import datetime
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from carepath.constants import TASK_LOS_CATEGORICAL, TASK_MACE, TASK_PROGNOSIS
@@ -22,6 +21,7 @@ from carepath.operators.events import (
 from carepath.operators.selection import SelectedPopulation, add_criterion, select_population
 from carepath.operators.splits import split_train_test_w_inclusion_start
 from carepath.operators.tasks import create_outcome, target_chapter
+from carepath.session import materialise
 
 
 @dataclass(frozen=True)
@@ -88,21 +88,20 @@ class Cohort:
 def build_cohort(database, config: CohortConfig, icd10_tree: DataFrame | None = None) -> Cohort:
     """Select, define the target, split by date and gather the events of a cohort.
 
-    The population feeds the target, the split and the events, so it is kept once.
+    The population and the target feed what follows, so they are written once.
     """
     population = select_population(
         database, config.study_start, config.study_end, config.min_age_at_admission, config.sup_quantile_visits,
         config.n_min_visits, config.visits_w_billing_codes_only, config.horizon_in_days,
         config.with_incomplete_hospitalization, config.index_visit, config.max_time_delta_day, config.random_state,
     )
-    population.inclusion_population = population.inclusion_population.persist(StorageLevel.MEMORY_AND_DISK)
     target = create_outcome(
         database, population.inclusion_population, config.horizon_in_days, config.task_name, config.los_categories,
         config.study_end, config.cim10_nb_digits, config.min_prevalence, config.random_state, icd10_tree,
     )
     if config.chapter is not None:
         target = target_chapter(target, config.chapter)
-    target = target.persist(StorageLevel.MEMORY_AND_DISK)
+    target = materialise(target, "target")
     statics = add_statics(target, database)
     split = split_train_test_w_inclusion_start(statics, config.test_size)
     person, event = create_event_cohort(statics, database, config.event_tables, n_min_events=config.n_min_events)

@@ -6,7 +6,6 @@ can be compared value by value.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
@@ -49,7 +48,7 @@ from carepath.operators import (
 from carepath.plans import experiment
 from carepath.registry import views
 from carepath.registry.views import STUDY_END, STUDY_START
-from carepath.session import ensure_checkpoint_dir
+from carepath.session import materialise, scratch
 from carepath.sources import catalog, cohort, run_logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,7 +81,7 @@ class Inputs:
 
     @cached_property
     def sessions(self):
-        return self.study[1].persist()
+        return materialise(self.study[1], "sessions")
 
     @cached_property
     def selected(self):
@@ -93,7 +92,7 @@ class Inputs:
 
     @cached_property
     def population(self):
-        return self.selected.inclusion_population.persist()
+        return self.selected.inclusion_population
 
     @cached_property
     def statics(self):
@@ -101,11 +100,16 @@ class Inputs:
 
     @cached_property
     def prognosis(self):
-        return tasks.get_prognosis(self.db, self.population, STUDY_END, 1, 0.01, 0, self.tree).persist()
+        return materialise(tasks.get_prognosis(self.db, self.population, STUDY_END, 1, 0.01, 0, self.tree))
+
+    @cached_property
+    def prognosis_event(self):
+        observed = events.observed_events(self.prognosis, self.db, self.config)
+        return materialise(events.drop_outcome_visit_events(observed, self.prognosis))
 
     @cached_property
     def mace(self):
-        return tasks.get_mace(self.db, self.population, 360).persist()
+        return materialise(tasks.get_mace(self.db, self.population, 360))
 
     @cached_property
     def config(self):
@@ -113,12 +117,12 @@ class Inputs:
 
     @cached_property
     def observed(self):
-        return events.observed_events(self.population, self.db, self.config).persist()
+        return materialise(events.observed_events(self.population, self.db, self.config))
 
     @cached_property
     def cohort(self):
         person, event = events.create_event_cohort(self.mace, self.db, self.config)
-        return person.persist(), event.persist()
+        return materialise(person), materialise(event)
 
     @cached_property
     def vectors(self):
@@ -129,8 +133,19 @@ class Inputs:
         return splits.split_train_test_w_inclusion_start(self.population)
 
 
+PREPARED: dict[tuple[str, str], Inputs] = {}
+
+
+def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
+    """The inputs of an application for one data folder; what they write is shared by its queries."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in PREPARED:
+        PREPARED[key] = Inputs(spark, sf_dir)
+    return PREPARED[key]
+
+
 def query(function):
-    QUERIES[function.__name__] = lambda spark, sf_dir: function(Inputs(spark, sf_dir))
+    QUERIES[function.__name__] = lambda spark, sf_dir: function(inputs(spark, sf_dir))
     return function
 
 
@@ -143,13 +158,6 @@ def rounded(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({name: F.round(name, 6) for name in names})
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    root = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def long_vector(df: DataFrame) -> DataFrame:
     return df.select(PERSON, F.posexplode("features").alias("dimension", "value")).select(
         PERSON, "dimension", r6("value")
@@ -445,9 +453,7 @@ def icd_prefix(i):
 
 
 def _prognosis_events(i):
-    person = i.prognosis
-    observed = events.observed_events(person, i.db, i.config)
-    return person, events.drop_outcome_visit_events(observed, person).persist()
+    return i.prognosis, i.prognosis_event
 
 
 @query
@@ -739,7 +745,7 @@ def _training(i, featurizer=experiment.GIVEN_EMBEDDINGS):
 
 
 def _fitted(i, name, parameters, featurizer=experiment.GIVEN_EMBEDDINGS):
-    rows = _training(i, featurizer).persist()
+    rows = materialise(_training(i, featurizer))
     model = models.fit(rows, models.ESTIMATORS[name], parameters)
     return models.predict(model, rows)
 
@@ -763,14 +769,14 @@ def fit_boosting(i):
 def fit_multilabel(i):
     person, event = _prognosis_events(i)
     built = features.embedding_features(event, i.vectors, DIMENSION)
-    rows = models.with_features(person, built).persist()
+    rows = materialise(models.with_features(person, built))
     fitted = models.fit_multilabel(rows, models.EstimatorConfig(models.RIDGE), ["2", "9", "11"])
     return models.predict_multilabel(fitted, rows)
 
 
 @query
 def random_search(i):
-    rows = _training(i).persist()
+    rows = materialise(_training(i))
     found = models.random_search(rows, models.ESTIMATORS[models.RIDGE], n_iter=2, n_splits=3)
     return i.spark.createDataFrame(
         [(str(point), float(score), point == found.best) for point, score in found.scores],
