@@ -578,7 +578,7 @@ BODIES = {
     "events_per_month": """select cast(year(condition_start_datetime) as int) as year,
         cast(month(condition_start_datetime) as int) as month, count(*) as count from v_condition group by 1,2""",
     "absurd_months": """select cast(year(s) as int) as year, cast(month(s) as int) as month, count(*) as count
-        from (select birth_datetime - to_months(cast(person_id%200 as int)) s from v_person)
+        from (select birth_datetime - to_years(cast(person_id%200 as int)) s from v_person)
         where year(s)<=1850 or year(s)>=2030 group by 1,2""",
     "temporal_heatmap": """with c as (select event_source_concept_id concept, cast(year(start) as int) as yr, count(*) n
             from v_observed group by 1,2),

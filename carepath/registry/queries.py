@@ -738,10 +738,9 @@ def binarise_labels(i):
 
 
 def _training(i, featurizer=experiment.GIVEN_EMBEDDINGS):
-    person, event = i.cohort
-    config = experiment.ExperimentConfig([], [], decays=[0, 30], n_min_events=1)
-    built = experiment.build_features(featurizer, config, event, person, i.vectors)
-    return models.with_features(person, built)
+    config = experiment.ExperimentConfig([], [], decays=[0, 30])
+    built = experiment.build_features(featurizer, config, i.observed, i.mace, i.vectors)
+    return models.with_features(i.mace, built)
 
 
 def _fitted(i, name, parameters, featurizer=experiment.GIVEN_EMBEDDINGS):
@@ -786,11 +785,11 @@ def random_search(i):
 
 @query
 def run_grid(i):
-    person, event = i.cohort
+    person = events.add_statics(i.mace, i.db)
     config = experiment.ExperimentConfig(
         [models.ESTIMATORS[models.RIDGE]], [experiment.GIVEN_EMBEDDINGS], n_iter=1, n_splits=2, n_min_events=1
     )
-    records = experiment.run_grid(person, event, i.temporal_split, config, i.vectors)
+    records = experiment.run_grid(person, i.observed, i.temporal_split, config, i.vectors)
     folder = scratch(i.spark, "grid")
     for record in records:
         run_logs.append_run(i.spark, record, folder)
