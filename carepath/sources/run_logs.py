@@ -29,8 +29,10 @@ def read_run_logs(spark: SparkSession, folder: str) -> DataFrame:
     if not names:
         raise FileNotFoundError(f"no CSV in {folder}")
     # the first line of each file, with the name of the file it comes from
+    # (file names come percent-encoded, where a plus sign is only itself)
+    name = F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B")))
     lines = spark.read.text(f"{folder.rstrip('/')}/*.csv").select(
-        F.col("_metadata.file_name").alias("name"), F.col("value").alias("header"),
+        name.alias("name"), F.col("value").alias("header"),
         F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place"),
     )
     headers = (
