@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.mllib.linalg import SparseVector
+from pyspark.mllib.linalg import SparseVector, VectorUDT
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -119,9 +119,9 @@ def truncated_svd(
         .agg(F.array_sort(F.collect_list(F.struct("_ix", F.col(value).cast("double").alias("_v")))).alias("_row"))
     )
     width = len(columns)
-    sparse_rows = (
-        vectors.select("_row._ix", "_row._v").rdd.map(lambda r: SparseVector(width, r[0], r[1])).persist()
-    )
+    to_vector = F.udf(lambda ix, v: SparseVector(width, ix, v), VectorUDT())
+    # read by every iteration, so kept in the executors; a lost part is read again from the files
+    sparse_rows = materialise(vectors.select(to_vector("_row._ix", "_row._v").alias("row")), "rows").persist()
     factors = RowMatrix(sparse_rows).computeSVD(min(d, width), computeU=False)
     values = [float(s) for s in factors.s]
     right = factors.V.toArray()

@@ -21,14 +21,17 @@ def _whole_key() -> Column:
     return F.to_date(F.lit("0001-01-01"))
 
 
-def with_chunks(df: DataFrame, keys: list[str], time: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def with_chunks(
+    df: DataFrame, keys: list[str], time: str, hot_rows: int = HOT_ROWS, counted: DataFrame | None = None
+) -> DataFrame:
     """Add the chunk of each row if some key is hot: its day for hot keys, a constant for others.
 
     Hot keys are looked for first, by a count with map-side partial sums. Usually there are none,
     then the rows stay as they are and the scans below are plain windows. There are at most
-    ``rows / hot_rows`` hot keys, a thousand per billion rows with the default.
+    ``rows / hot_rows`` hot keys, a thousand per billion rows with the default. ``counted`` is a
+    table with at least the rows of ``df``, where it is cheaper to count.
     """
-    hot = df.groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
+    hot = (df if counted is None else counted).groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
     found = hot.limit(MAX_HOT_KEYS + 1).collect()
     if not found:
         return df
@@ -104,6 +107,7 @@ def next_point(
     point_time: str,
     name: str,
     hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """For each row, the first point of its key at or after its time (null if none).
 
@@ -114,7 +118,7 @@ def next_point(
     both = rows.select(
         key, F.col(row_time).alias("_time"), F.lit(1).alias("_is_row"), F.struct(*rows.columns).alias("_row")
     ).unionByName(times.withColumn("_is_row", F.lit(0)), allowMissingColumns=True)
-    both = with_chunks(both, [key], "_time", hot_rows)
+    both = with_chunks(both, [key], "_time", hot_rows, counted)
     point = F.when(F.col("_is_row") == 0, F.col("_time"))
     # backwards in time, points before rows: the last point seen is the next one
     backwards = (

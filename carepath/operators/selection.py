@@ -162,7 +162,7 @@ def study_sessions(
         visits_of_type(clean_date_cols(database.visit_occurrence), types), study_start, study_end
     )
     ended = get_datetime_from_visit_detail(visits, clean_date_cols(database.visit_detail))
-    return visits, build_sessions(fix_visit_end(ended), max_time_delta_day, hot_rows)
+    return visits, build_sessions(fix_visit_end(ended), max_time_delta_day, hot_rows, visits)
 
 
 def select_population(
@@ -187,7 +187,7 @@ def select_population(
     )
     conditions = clean_date_cols(database.condition_occurrence) if visits_w_billing_codes_only else None
     graded = materialise(
-        grade_sessions(sessions, person, conditions, study_end, horizon_in_days, hot_rows), "sessions"
+        grade_sessions(sessions, person, conditions, study_end, horizon_in_days, hot_rows, visits), "sessions"
     )
     last = 6 if visits_w_billing_codes_only else 5
     # one row per person: old enough, how far its sessions go, how many go to the end
@@ -239,6 +239,7 @@ def grade_sessions(
     study_end: datetime,
     horizon_in_days: float,
     hot_rows: int = HOT_ROWS,
+    visits: DataFrame | None = None,
 ) -> DataFrame:
     """Add the age at each session and the number of the last criterion it passes.
 
@@ -252,8 +253,10 @@ def grade_sessions(
     passed = F.when(~enough_horizon(study_end, horizon_in_days), 3).when(~alive_at_discharge(), 4)
     if condition_occurrence is None:
         return rows.withColumn("passed", passed.otherwise(5))
+    # a person has at most as many sessions as visits
+    counted = union_all([(sessions if visits is None else visits).select(PERSON), condition_occurrence.select(PERSON)])
     dated = next_point(
-        rows, condition_occurrence, PERSON, VISIT_START, CONDITION_START, "_diagnosis", hot_rows
+        rows, condition_occurrence, PERSON, VISIT_START, CONDITION_START, "_diagnosis", hot_rows, counted
     )
     coded = F.coalesce(F.col("_diagnosis") <= F.col(VISIT_END), F.lit(False))
     return dated.withColumn("passed", passed.when(~coded, 5).otherwise(6)).drop("_diagnosis")

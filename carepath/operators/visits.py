@@ -68,11 +68,11 @@ def fix_visit_end(visit_occurrence: DataFrame) -> DataFrame:
 
 
 def _sessionize(
-    visit_occurrence: DataFrame, max_time_delta_day: float, hot_rows: int
+    visit_occurrence: DataFrame, max_time_delta_day: float, hot_rows: int, counted: DataFrame | None = None
 ) -> DataFrame:
     order = [VISIT_START, STAY_ID]
     visits = with_chunks(
-        visits_of_type(visit_occurrence, HOSPITALIZATIONS), [PERSON], VISIT_START, hot_rows
+        visits_of_type(visit_occurrence, HOSPITALIZATIONS), [PERSON], VISIT_START, hot_rows, counted
     )
     visits = previous_value(visits, [PERSON], order, VISIT_END, "_previous_end")
     visits = visits.withColumn(
@@ -146,7 +146,13 @@ def merge_visits_into_session(visit_occurrence_w_session_id: DataFrame) -> DataF
 
 
 def build_sessions(
-    visit_occurrence: DataFrame, max_time_delta_day: float = 1, hot_rows: int = HOT_ROWS
+    visit_occurrence: DataFrame,
+    max_time_delta_day: float = 1,
+    hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """Sessionize and merge, sharing the partitioning of the first step with the second."""
-    return merge_visits_into_session(_sessionize(visit_occurrence, max_time_delta_day, hot_rows))
+    """Sessionize and merge, sharing the partitioning of the first step with the second.
+
+    ``counted`` has at least these visits; persons with too many are looked for there.
+    """
+    return merge_visits_into_session(_sessionize(visit_occurrence, max_time_delta_day, hot_rows, counted))
