@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from carepath.constants import PERSON, SOURCE_CODE, START
 from carepath.operators.features import index_codes
+from carepath.operators.ordered import MAX_HOT_KEYS
 from carepath.session import materialise
 
 HOT_CELLS = 4096
@@ -27,7 +28,8 @@ def cooccurrence(
     repeated events. A period of one radius meets itself and the next one only, each unordered
     pair of cells is formed once and mirrored in the counts, and pairs go from the join into
     partial counts without being stored. A period of a person holds at most radius × vocabulary
-    cells; beyond ``hot_cells`` its rows are dealt over several tasks.
+    cells; beyond ``hot_cells`` its rows are dealt over several tasks. Such periods are looked
+    for first, among the persons with that many events.
     """
     radius = max(int(window_radius_in_days), 1)
     cells = (
@@ -36,26 +38,33 @@ def cooccurrence(
         .agg(F.count("*").alias("n"))
         .withColumn("period", F.floor(F.col("day") / radius))
     )
+    busy = event.groupBy(PERSON).count().filter(F.col("count") > hot_cells).select(PERSON)
     hot = (
-        cells.groupBy(PERSON, "period")
+        cells.join(busy, PERSON, "left_semi")
+        .groupBy(PERSON, "period")
         .agg(F.count("*").alias("_cells"))
         .filter(F.col("_cells") > hot_cells)
         .select(PERSON, "period", F.ceil(F.col("_cells") / hot_cells).cast("int").alias("_deals"))
     )
-    dealt = cells.join(hot, [PERSON, "period"], "left").withColumn("_deals", F.coalesce("_deals", F.lit(1)))
-    # left: one copy per cell; right: a copy for its own period and for the one before, in
-    # each deal of that period
-    left = dealt.select(
+    found = hot.limit(MAX_HOT_KEYS + 1).collect()
+    if found and len(found) <= MAX_HOT_KEYS:
+        hot = F.broadcast(event.sparkSession.createDataFrame(found, hot.schema))
+
+    def deals(rows: DataFrame) -> DataFrame:
+        dealt = rows.join(hot, [PERSON, "period"], "left") if found else rows.withColumn("_deals", F.lit(1))
+        return dealt.withColumn("_deals", F.coalesce("_deals", F.lit(1)))
+
+    # left: one copy per cell, in one deal of its period; right: a copy for its own period and
+    # for the one before, in each deal of that period
+    left = deals(cells).select(
         PERSON, "period", F.pmod(F.xxhash64("code", "day"), F.col("_deals")).cast("int").alias("_deal"),
         F.col("day").alias("day_a"), F.col("code").alias("code_a"), F.col("n").alias("n_a"),
     )
     copies = cells.select(
         PERSON, F.explode(F.array(F.col("period"), F.col("period") - 1)).alias("period"),
         F.col("day").alias("day_b"), F.col("code").alias("code_b"), F.col("n").alias("n_b"),
-    ).join(hot, [PERSON, "period"], "left")
-    right = copies.withColumn(
-        "_deal", F.explode(F.sequence(F.lit(0), F.coalesce("_deals", F.lit(1)) - 1))
-    ).drop("_deals")
+    )
+    right = deals(copies).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.col("_deals") - 1))).drop("_deals")
     after = (F.col("day_b") > F.col("day_a")) | (
         (F.col("day_b") == F.col("day_a")) & (F.col("code_b") >= F.col("code_a"))
     )

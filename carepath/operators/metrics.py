@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 BAND_SCALE = 256
 
 
-def _score_bands(df: DataFrame, by: list[str], y_true: str, y_prob: str) -> DataFrame:
-    """Cases and others of each distinct score, with the counts of all lower scores.
+def _ranked_scores(df: DataFrame, by: list[str], y_true: str, y_prob: str) -> DataFrame:
+    """Cases and others of each distinct score, with the counts of all lower scores and of all.
 
     Scores are cut into bands of their log-odds: a band is a range of scores, and
     even scores crowded near 0 or 1 spread over many bands. Ranks run inside a band, and a band
     starts from the totals of the bands below it (one row per band, a few ten thousand at most).
     """
-    score = F.col("_score")
+    score = F.col("p")
     band = (
         F.when(score <= 0, F.lit(-1_000_000))
         .when(score >= 1, F.lit(1_000_000))
@@ -23,23 +23,29 @@ def _score_bands(df: DataFrame, by: list[str], y_true: str, y_prob: str) -> Data
     )
     case = (F.col(y_true) == 1).cast("long")
     scores = (
-        df.groupBy(*by, F.col(y_prob).alias("_score"))
+        df.groupBy(*by, F.col(y_prob).alias("p"))
         .agg(F.sum(case).alias("pos"), F.sum(1 - case).alias("neg"))
         .withColumn("_band", band)
     )
     below = Window.partitionBy(*by).orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy(*by)
     bands = (
         scores.groupBy(*by, "_band")
         .agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-        .select(*by, "_band", F.coalesce(F.sum("_p").over(below), F.lit(0)).alias("_p0"),
-                F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_n0"))
+        .select(
+            *by, "_band",
+            F.coalesce(F.sum("_p").over(below), F.lit(0)).alias("_p0"),
+            F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_n0"),
+            F.sum("_p").over(every).alias("n_pos"),
+            F.sum("_n").over(every).alias("n_neg"),
+        )
     )
-    inside = Window.partitionBy(*by, "_band").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "_band").orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
     return (
         scores.withColumn("_pi", F.coalesce(F.sum("pos").over(inside), F.lit(0)))
         .withColumn("_ni", F.coalesce(F.sum("neg").over(inside), F.lit(0)))
         .join(bands, [*by, "_band"])
-        .select(*by, "_score", "pos", "neg", (F.col("_pi") + F.col("_p0")).alias("pos_below"),
+        .select(*by, "p", "pos", "neg", "n_pos", "n_neg", (F.col("_pi") + F.col("_p0")).alias("pos_below"),
                 (F.col("_ni") + F.col("_n0")).alias("neg_below"))
     )
 
@@ -48,35 +54,32 @@ def get_scores_by(
     df: DataFrame, by: list[str] | None = None, y_true: str = "y", y_prob: str = "p"
 ) -> DataFrame:
     """Brier score, ROC AUC (ties count for half), accuracy and confusion at p > 0.5, average
-    precision over distinct thresholds; one row overall or per group of ``by``."""
-    constant = not by
-    by = by or ["_all"]
-    rows = df.withColumn("_all", F.lit(1)) if constant else df
-    positive, predicted = F.col(y_true) == 1, F.col(y_prob) > 0.5
-    simple = rows.groupBy(*by).agg(
-        F.avg(F.pow(F.col(y_prob) - F.col(y_true), 2)).alias("brier_score_loss"),
-        F.avg((positive == predicted).cast("double")).alias("accuracy_score"),
-        F.count_if(~positive & ~predicted).alias("tn"),
-        F.count_if(~positive & predicted).alias("fp"),
-        F.count_if(positive & ~predicted).alias("fn"),
-        F.count_if(positive & predicted).alias("tp"),
-    )
-    totals = rows.groupBy(*by).agg(
-        F.sum(positive.cast("long")).alias("n_pos"), F.sum((~positive).cast("long")).alias("n_neg")
-    )
-    ranked = _score_bands(rows, by, y_true, y_prob).join(totals, by)
+    precision over distinct thresholds; one row overall or per group of ``by``.
+
+    The rows are read once, to count the cases of each distinct score; all scores follow from it.
+    """
+    keys = by or []
+    ranked = _ranked_scores(df, keys, y_true, y_prob)
+    p, pos, neg = F.col("p"), F.col("pos"), F.col("neg")
+    predicted = p > 0.5
+    n_pos, n_neg = F.nullif("n_pos", F.lit(0)), F.nullif("n_neg", F.lit(0))
     at_least = F.col("n_pos") - F.col("pos_below")
     precision = at_least / (at_least + F.col("n_neg") - F.col("neg_below"))
-    ordered = ranked.groupBy(*by).agg(
-        (
-            F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
-            / F.max(F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0)))
-        ).alias("roc_auc_score"),
-        F.sum(F.col("pos") / F.nullif(F.col("n_pos"), F.lit(0)) * precision).alias("average_precision_score"),
+    rows = F.sum(pos + neg)
+
+    def count(condition, column):
+        return F.sum(F.when(condition, column).otherwise(0))
+
+    return ranked.groupBy(*keys).agg(
+        (F.sum(pos * F.pow(p - 1, 2) + neg * F.pow(p, 2)) / rows).alias("brier_score_loss"),
+        F.sum(pos / n_pos * (F.col("neg_below") + neg / 2) / n_neg).alias("roc_auc_score"),
+        ((count(predicted, pos) + count(~predicted, neg)) / rows).alias("accuracy_score"),
+        F.sum(pos / n_pos * precision).alias("average_precision_score"),
+        count(~predicted, neg).alias("tn"),
+        count(predicted, neg).alias("fp"),
+        count(~predicted, pos).alias("fn"),
+        count(predicted, pos).alias("tp"),
     )
-    names = ["brier_score_loss", "roc_auc_score", "accuracy_score", "average_precision_score", "tn", "fp", "fn", "tp"]
-    scores = simple.join(ordered, by)
-    return scores.select(*([] if constant else by), *names)
 
 
 def get_binary_scores(df: DataFrame, y_true: str = "y", y_prob: str = "p") -> DataFrame:
