@@ -14,7 +14,7 @@ from pathlib import Path
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from carepath.registry.queries import PREPARED, QUERIES  # noqa: E402
-from carepath.session import local_session  # noqa: E402
+from carepath.session import drop_materialised, local_session  # noqa: E402
 
 HEADLINES = [
     "sessionize",
@@ -59,6 +59,7 @@ def main() -> None:
         begin = time.perf_counter()
         QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - begin, 3)
+        drop_materialised(spark)
         print(name, seconds[name], file=sys.stderr, flush=True)
     print(
         json.dumps(

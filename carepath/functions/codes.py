@@ -15,6 +15,7 @@ from carepath.constants import (
     VISIT_CONCEPTS,
     VISIT_TYPE,
 )
+from carepath.functions.sizes import small_side
 
 
 def get_cim10_codes(
@@ -39,12 +40,13 @@ def coarsen_cim10_to_chapter(
 ) -> DataFrame:
     """Chapter of the first four characters of each code; null when the tree lacks it.
 
-    The tree has the few ten thousand codes of the classification, whatever the data.
+    The tree has the few ten thousand codes of the classification, whatever the data; its size is
+    checked before it is broadcast.
     """
     tree = icd10_tree.select(
         F.col("concept_code").alias(code), F.col("concept_chapter").alias(CONDITION_COARSE)
     )
-    return diagnoses.withColumn(code, F.substring(code, 1, 4)).join(F.broadcast(tree), code, "left")
+    return diagnoses.withColumn(code, F.substring(code, 1, 4)).join(small_side(tree), code, "left")
 
 
 def unmatched_ratio(coarsened: DataFrame) -> DataFrame:

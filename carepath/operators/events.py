@@ -23,7 +23,7 @@ from carepath.constants import (
 )
 from carepath.functions.dates import clean_date_cols, timestamp
 from carepath.functions.draws import exact_sample, union_all
-from carepath.session import materialise
+from carepath.functions.sizes import size_checked
 
 
 @dataclass(frozen=True)
@@ -49,23 +49,10 @@ EVENT_TABLES = {
 DEFAULT_EVENT_TABLES = ["procedure_occurrence", "drug_exposure_administration", "condition_occurrence"]
 I2B2_EVENT_TABLES = ["condition_occurrence", "drug_exposure", "procedure_occurrence"]
 
-BROADCAST_ROWS = 2_000_000
-
-
 def make_event_config(event_table_names: list[str]) -> dict[str, EventTable]:
     return {name: EVENT_TABLES[name] for name in event_table_names}
 
 
-def size_checked(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Write a code-level table once and broadcast it if it has at most ``rows`` rows.
-
-    Joining events on a code shuffles them on a very skewed key, so a broadcast is worth a
-    check. Beyond ``rows`` the table is joined without a hint.
-    """
-    written = materialise(table, "codes")
-    return F.broadcast(written) if written.count() <= rows else written
-
-
 def build_vocabulary(event: DataFrame, n_min_events: int = 10, code: str = SOURCE_CODE) -> DataFrame:
     """Codes with at least ``n_min_events`` events."""
     return (

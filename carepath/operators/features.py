@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from carepath.constants import FOLLOWUP_START, PERSON, SOURCE_CODE, START
 from carepath.functions.dates import exact_days_between
-from carepath.operators.events import size_checked
+from carepath.functions.sizes import size_checked
 from carepath.operators.tasks import label_scores
 
 

@@ -19,6 +19,7 @@ from carepath.constants import (
     VISIT_TYPE,
 )
 from carepath.functions.dates import add_age, exact_days_between
+from carepath.functions.sizes import small_side
 from carepath.operators.events import build_vocabulary
 from carepath.operators.metrics import get_prognosis_prevalence
 
@@ -74,8 +75,8 @@ def hospitals_per_patient(visits: DataFrame, hospital: str = "hospital_name") ->
 
 
 def visits_with_hospital(visits: DataFrame, care_site: DataFrame) -> DataFrame:
-    """Visits of known care sites with the name of their hospital (a small dimension)."""
-    return visits.join(F.broadcast(care_site.select("care_site_id", "hospital_name")), "care_site_id")
+    """Visits of known care sites with the name of their hospital."""
+    return visits.join(small_side(care_site.select("care_site_id", "hospital_name")), "care_site_id")
 
 
 def missing_ratio(df: DataFrame, column: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carepath.constants import DECAY_LABELS, DEMOGRAPHIC_LABELS, MODEL_LABELS, PREVALENCE_BINS, SCORE_NAMES
+from carepath.functions.sizes import small_side
 from carepath.operators.ordered import CHUNK, HOT_ROWS, previous_value, running_sum, with_chunks
 
 DECAY_COLUMN = "pipeline_best_params_event_transformer__decay_half_life_in_days"
@@ -60,8 +61,7 @@ def weighted_metric(
     long_runs: DataFrame, prevalences: DataFrame, metric: str, by: list[str], label: str = "target_label"
 ) -> DataFrame:
     """Mean of a metric over classes, plain and weighted by prevalence."""
-    # one row per class
-    classes = F.broadcast(prevalences.select(label, "prevalence"))
+    classes = small_side(prevalences.select(label, "prevalence"))
     mean_prevalence = prevalences.agg(F.avg("prevalence")).scalar()
     return (
         long_runs.join(classes, label)

@@ -262,6 +262,21 @@ def grade_sessions(
     return dated.withColumn("passed", passed.when(~coded, 5).otherwise(6)).drop("_diagnosis")
 
 
+def funnel_from_ids(inclusion_ids: dict[str, DataFrame]) -> tuple[DataFrame, list[str]]:
+    """Funnel of any sequence of criteria, each given by the persons who pass it.
+
+    A person stops at the first criterion they do not pass, whatever they pass later.
+    """
+    steps = list(inclusion_ids)
+    marks = union_all(
+        [ids.select(PERSON, F.lit(step).alias("_step")) for step, ids in enumerate(inclusion_ids.values())]
+    )
+    # at most one entry per criterion; in sorted order, entry i is i as long as no step is missing
+    passed = marks.groupBy(PERSON).agg(F.array_sort(F.collect_set("_step")).alias("_steps"))
+    in_a_row = F.size(F.filter("_steps", lambda step, place: step == place))
+    return passed.select(PERSON, (in_a_row - 1).alias("last_step")).filter("last_step >= 0"), steps
+
+
 def add_criterion(funnel: DataFrame, passing: DataFrame, step: int) -> DataFrame:
     """Extend the funnel: persons at the step before who are in ``passing`` reach ``step``."""
     passed = passing.select(PERSON).distinct().withColumn("_passed", F.lit(True))

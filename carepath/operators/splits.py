@@ -18,6 +18,7 @@ from carepath.constants import (
 )
 from carepath.functions.dates import MICROSECONDS_PER_DAY, clean_date_cols, days_between, timestamp
 from carepath.functions.draws import exact_sample
+from carepath.functions.sizes import small_side
 
 TRAIN, TEST = "train", "external_test"
 
@@ -34,8 +35,7 @@ def split_train_test_w_hospital_ids(
 
     Gives each person the hospital they visited most (the first in alphabetical order on ties).
     """
-    # the hierarchy lists the care sites of a hospital group, whatever the number of visits
-    hospitals = F.broadcast(care_site_hierarchy.select("care_site_id", "hospital_name"))
+    hospitals = small_side(care_site_hierarchy.select("care_site_id", "hospital_name"))
     counts = (
         clean_date_cols(database.visit_occurrence)
         .filter(F.col(VISIT_START).between(timestamp(study_start), timestamp(study_end)))
@@ -156,7 +156,8 @@ def group_folds(
         .select(F.explode("folds").alias("_fold"))
         .select(F.col("_fold.group").alias(group), F.col("_fold.fold").alias(name))
     )
-    return filled.join(folds, group)
+    # folds come out of one array, so they are small enough to send to every task
+    return filled.join(F.broadcast(folds), group)
 
 
 def fold_classes(folds: DataFrame, name: str = "fold") -> DataFrame:

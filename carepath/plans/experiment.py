@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import product
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,13 +18,28 @@ from carepath.operators.features import (
     count_vectors,
     decay_name,
     decayed_features,
+    demographics_pipeline,
     embedding_features,
     index_codes,
     random_projection,
 )
-from carepath.operators.metrics import get_binary_scores
-from carepath.operators.models import EstimatorConfig, predict, random_search, with_features
-from carepath.operators.splits import compute_person_subsample
+from carepath.operators.metrics import (
+    get_binary_scores,
+    get_prognosis_prevalence,
+    get_scores,
+    scores_as_columns,
+)
+from carepath.operators.models import (
+    EstimatorConfig,
+    draw_parameters,
+    fit_multilabel,
+    predict,
+    predict_multilabel,
+    random_search,
+    with_features,
+)
+from carepath.operators.splits import compute_person_subsample, person_split
+from carepath.operators.tasks import NaivePrognosisBaseline, label_scores
 from carepath.session import materialise
 
 # fixed values: names of the featurizers
@@ -38,6 +54,11 @@ N_COMPONENTS = 30
 
 @dataclass(frozen=True)
 class ExperimentConfig:
+    """The grid and what is common to its runs.
+
+    Static features are added to those of events; they are the only ones of ``Demographics``.
+    """
+
     estimators: list[EstimatorConfig]
     featurizers: list[str]
     subtrain_sizes: list[float] = (1.0,)
@@ -51,7 +72,9 @@ class ExperimentConfig:
     n_splits: int = 5
     search_seed: int = 0
     positive_ratio: float | None = None
-    static_numerical: list[str] = field(default_factory=lambda: ["age_at_inclusion_event_start"])
+    validation_size: float | None = None
+    static_categorical: list[str] = ()
+    static_numerical: list[str] = ()
 
 
 def add_static_features(person: DataFrame) -> DataFrame:
@@ -85,6 +108,48 @@ def build_features(
     raise ValueError(f"unknown featurizer {name}")
 
 
+def assemble(
+    name: str, config: ExperimentConfig, train: DataFrame, others: list[DataFrame], features: DataFrame | None
+) -> list[DataFrame]:
+    """Event and static features in one vector, for the train persons and the others.
+
+    Categories, means and deviations of static features come from the train persons.
+    """
+    statics = [*config.static_categorical, *config.static_numerical]
+    if not statics and features is None:
+        raise ValueError(f"{name} needs static features")
+    parts = [train, *others]
+    if features is not None:
+        parts = [with_features(part, features) for part in parts]
+    if not statics:
+        return parts
+    model = demographics_pipeline(
+        list(config.static_categorical), list(config.static_numerical), output="statics"
+    ).fit(parts[0])
+    inputs = ["statics"] if features is None else ["features", "statics"]
+    joined = VectorAssembler(inputCols=inputs, outputCol="_all")
+    kept = [column for column in parts[0].columns if column != "features"]
+    return [
+        joined.transform(model.transform(part)).select(*kept, F.col("_all").alias("features")) for part in parts
+    ]
+
+
+def _described(rows: DataFrame) -> dict:
+    return rows.agg(
+        F.count("*").alias("n"), (100 * F.avg(F.col(OUTCOME).cast("double"))).alias("prevalence")
+    ).first().asDict()
+
+
+def _prepare(person: DataFrame, event: DataFrame, dataset_split: DataFrame, n_min_events: int):
+    """Events of frequent codes, and the persons having some, in train and in test."""
+    event = materialise(restrict_to_vocabulary(event, build_vocabulary(event, n_min_events)), "event")
+    persons = add_static_features(keep_persons_with_events(person, event)).join(
+        dataset_split.select(PERSON, "dataset"), PERSON
+    )
+    persons = materialise(persons, "person")
+    return event, persons.filter("dataset = 'train'"), persons.filter("dataset = 'external_test'")
+
+
 def run_grid(
     person: DataFrame,
     event: DataFrame,
@@ -92,55 +157,112 @@ def run_grid(
     config: ExperimentConfig,
     embeddings: DataFrame | None = None,
 ) -> list[dict]:
-    """Run every combination and return its record: parameters, sizes, prevalences, scores.
+    """Run every combination on a binary outcome and return its record: parameters, sizes,
+    prevalences, scores.
 
     The features of a (featurizer, seed, size) are written once for its estimators.
     """
-    event = materialise(restrict_to_vocabulary(event, build_vocabulary(event, config.n_min_events)), "event")
-    persons = add_static_features(keep_persons_with_events(person, event)).join(
-        dataset_split.select(PERSON, "dataset"), PERSON
-    )
-    persons = materialise(persons, "person")
-    train_all = persons.filter("dataset = 'train'")
-    test = persons.filter("dataset = 'external_test'")
+    event, train_all, test = _prepare(person, event, dataset_split, config.n_min_events)
     records = []
     for name, seed, size in product(config.featurizers, config.seeds, config.subtrain_sizes):
-        train = compute_person_subsample(train_all, size, config.positive_ratio, seed)
+        parts = {"test": test}
+        train = train_all
+        if config.validation_size is not None:
+            parts["validation"] = compute_person_subsample(train_all, config.validation_size, None, seed)
+            train = train_all.join(parts["validation"].select(PERSON), PERSON, "left_anti")
+        train = compute_person_subsample(train, size, config.positive_ratio, seed)
         started = time.monotonic()
-        features = build_features(name, config, event, train, embeddings)
-        train_rows = materialise(with_features(train, features), "train")
-        test_rows = materialise(with_features(test, features), "test")
-        sizes = {"train": train_rows, "test": test_rows}
-        described = {
-            part: rows.agg(F.count("*").alias("n"), (100 * F.avg(F.col(OUTCOME).cast("double"))).alias("p")).first()
-            for part, rows in sizes.items()
-        }
+        features = None if name == DEMOGRAPHICS else build_features(name, config, event, train, embeddings)
+        assembled = assemble(name, config, train, list(parts.values()), features)
+        written = {part: materialise(rows, part) for part, rows in zip(["train", *parts], assembled)}
+        described = {part: _described(rows) for part, rows in written.items()}
         feature_seconds = time.monotonic() - started
         for estimator in config.estimators:
             started = time.monotonic()
             search = random_search(
-                train_rows, estimator, config.n_iter, config.scoring, config.search_seed, config.n_splits
+                written["train"], estimator, config.n_iter, config.scoring, config.search_seed, config.n_splits
             )
-            scores = {
-                part: get_binary_scores(predict(search.model, rows)).first().asDict()
-                for part, rows in sizes.items()
+            record = {
+                "estimator": estimator.estimator_name,
+                "featurizer": name,
+                "subtrain_size": float(size),
+                "splitting_rs": seed,
+                "n_min_events": config.n_min_events,
+                "n_demographics": len(config.static_categorical) + len(config.static_numerical),
+                "decay": str(list(config.decays)),
+                "best_parameters": str(search.best),
+                "n_person_subtrain": described["train"]["n"],
             }
+            for part, rows in written.items():
+                prefix = "" if part == "test" else f"{part}_"
+                scores = get_binary_scores(predict(search.model, rows)).first().asDict()
+                record |= {f"{prefix}{key}": value for key, value in scores.items()}
+                record[f"n_person_{part}"] = described[part]["n"]
+                record[f"{part}_prevalence"] = described[part]["prevalence"]
+            record["compute_time"] = feature_seconds + time.monotonic() - started
+            records.append(record)
+    return records
+
+
+def run_multilabel_grid(
+    person: DataFrame,
+    event: DataFrame,
+    dataset_split: DataFrame,
+    config: ExperimentConfig,
+    classes: list[str],
+    icd10_tree: DataFrame,
+    embeddings: DataFrame | None = None,
+) -> list[dict]:
+    """The grid for a list of labels: one model per label, and the past diagnoses as a baseline.
+
+    Sizes are shares of all train persons, also when some of them are kept for validation.
+    """
+    event, train_all, test = _prepare(person, event, dataset_split, config.n_min_events)
+    prevalences = {row["class"]: row["prevalence"] for row in get_prognosis_prevalence(test).collect()}
+    common = {f"test_prevalence_{c}": prevalences.get(c, 0.0) for c in classes}
+    records = []
+    for name, seed, size in product(config.featurizers, config.seeds, config.subtrain_sizes):
+        train, share = train_all, float(size)
+        if config.validation_size is not None:
+            _, train = person_split(train_all, train_size=config.validation_size, random_seed=seed)
+            share = min(1.0, size * train_all.count() / train.count())
+        train, _ = person_split(train, train_size=1 if share == 1.0 else share, random_seed=seed)
+        started = time.monotonic()
+        features = None if name == DEMOGRAPHICS else build_features(name, config, event, train, embeddings)
+        train_rows, test_rows = (
+            materialise(rows, "part") for rows in assemble(name, config, train, [test], features)
+        )
+        feature_seconds = time.monotonic() - started
+        for estimator in config.estimators:
+            started = time.monotonic()
+            points = draw_parameters(estimator, 1, seed)
+            fitted = fit_multilabel(train_rows, estimator, classes, points[0], seed)
+            scores = get_scores(predict_multilabel(fitted, test_rows), "class")
             records.append(
                 {
                     "estimator": estimator.estimator_name,
                     "featurizer": name,
                     "subtrain_size": float(size),
                     "splitting_rs": seed,
-                    "n_min_events": config.n_min_events,
-                    "decay": str(list(config.decays)),
-                    "best_parameters": str(search.best),
-                    "n_person_subtrain": described["train"]["n"],
-                    "n_person_test": described["test"]["n"],
-                    "train_prevalence": described["train"]["p"],
-                    "test_prevalence": described["test"]["p"],
+                    "n_person_subtrain": train_rows.count(),
+                    "n_person_test": test_rows.count(),
+                    **scores_as_columns(scores),
+                    **common,
                     "compute_time": feature_seconds + time.monotonic() - started,
-                    **scores["test"],
-                    **{f"train_{key}": value for key, value in scores["train"].items()},
                 }
             )
+    started = time.monotonic()
+    baseline = NaivePrognosisBaseline(event, icd10_tree).predict_proba(test, classes)
+    truth = label_scores(test, OUTCOME, classes, OUTCOME)
+    rows = baseline.join(truth, [PERSON, "class"]).withColumn("p", F.col("score").cast("double"))
+    records.append(
+        {
+            "estimator": "naive_baseline",
+            "featurizer": "None",
+            "n_person_test": test.count(),
+            **scores_as_columns(get_scores(rows, "class")),
+            **common,
+            "compute_time": time.monotonic() - started,
+        }
+    )
     return records

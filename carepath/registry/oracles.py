@@ -401,6 +401,14 @@ BODIES = {
             (8,'Less than 1 stays')),
         k as (select step, criterion, (select count(*) from v_funnel where last_step>=step) n_kept from s)
         select step, criterion, n_kept, coalesce(lag(n_kept) over (order by step)-n_kept,0) n_excluded from k""",
+    "funnel_of_ids": """with m as (select person_id,
+            person_id in (select person_id from v_hospital) h, person_id in (select person_id from v_condition) c,
+            person_id in (select person_id from v_population) s from v_person),
+        k(step, criterion, n_kept) as (select 0, 'persons', (select count(*) from m)
+            union all select 1, 'hospitalized', (select count(*) from m where h)
+            union all select 2, 'diagnosed', (select count(*) from m where h and c)
+            union all select 3, 'selected', (select count(*) from m where h and c and s))
+        select step, criterion, n_kept, coalesce(lag(n_kept) over (order by step)-n_kept,0) n_excluded from k""",
     "funnel_characteristics": """select last_step+1 step, count(*) n_excluded,
         round(avg(case when gender_source_value='f' then 1.0::double else 0 end),6) female,
         round(avg(case when death_datetime is not null then 1.0::double else 0 end),6) deceased

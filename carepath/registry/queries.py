@@ -347,6 +347,17 @@ def inclusion_funnel(i):
     return selection.funnel_counts(i.selected.funnel, i.selected.steps)
 
 
+@query
+def funnel_of_ids(i):
+    ids = {
+        "persons": i.db.person,
+        "hospitalized": i.study[0],
+        "diagnosed": i.db.condition_occurrence,
+        "selected": i.population,
+    }
+    return selection.funnel_counts(*selection.funnel_from_ids(ids))
+
+
 @query
 def funnel_characteristics(i):
     traits = i.db.person.select(
@@ -787,7 +798,9 @@ def random_search(i):
 def run_grid(i):
     person = events.add_statics(i.mace, i.db)
     config = experiment.ExperimentConfig(
-        [models.ESTIMATORS[models.RIDGE]], [experiment.GIVEN_EMBEDDINGS], n_iter=1, n_splits=2, n_min_events=1
+        [models.ESTIMATORS[models.RIDGE]], [experiment.GIVEN_EMBEDDINGS], n_iter=1, n_splits=2, n_min_events=1,
+        static_categorical=features.STATIC_FEATURES["categorical"],
+        static_numerical=features.STATIC_FEATURES["numerical"],
     )
     records = experiment.run_grid(person, i.observed, i.temporal_split, config, i.vectors)
     folder = scratch(i.spark, "grid")
@@ -796,6 +809,22 @@ def run_grid(i):
     return run_logs.read_runs(i.spark, folder)
 
 
+@query
+def run_multilabel_grid(i):
+    config = experiment.ExperimentConfig(
+        [models.EstimatorConfig(models.RIDGE)], [experiment.GIVEN_EMBEDDINGS], subtrain_sizes=[0.8], n_min_events=1
+    )
+    person = events.add_statics(i.prognosis, i.db)
+    split = splits.split_train_test_w_inclusion_start(i.prognosis)
+    records = experiment.run_multilabel_grid(
+        person, i.prognosis_event, split, config, ["2", "9"], i.tree, i.vectors
+    )
+    folder = scratch(i.spark, "grid")
+    for record in records:
+        run_logs.append_run(i.spark, record, folder)
+    return run_logs.read_runs(i.spark, folder)
+
+
 # --- scores and run tables -----------------------------------------------------------------------
 
 

@@ -59,6 +59,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: list[str] = []
+
+
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """Write a table that several steps read, and go on from the written one.
 
@@ -67,4 +70,12 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """
     folder = scratch(df.sparkSession, name)
     df.write.parquet(folder)
+    _WRITTEN.append(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def drop_materialised(spark: SparkSession) -> None:
+    """Delete the tables this program has written with :func:`materialise`."""
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carepath.functions.sizes import small_side
 from carepath.sources.cohort import _children
 
 
@@ -79,9 +80,19 @@ def collect_external_runs(
     )
     if "brier_score_loss" not in metrics.columns:
         metrics = metrics.withColumn("brier_score_loss", F.lit(None).cast("double"))
-    # one row per class
     return (
-        metrics.join(F.broadcast(test_prevalences), "target")
+        metrics.join(small_side(test_prevalences), "target")
         .withColumn("estimator", F.lit(estimator))
         .withColumnRenamed("average_precision_score", "pr_auc")
     )
+
+
+def collect_external_run(spark: SparkSession, folder: str, estimator: str) -> DataFrame:
+    """Metrics of one external model, with the names used for the other runs."""
+    metrics = spark.read.option("mergeSchema", True).parquet(f"{folder.rstrip('/')}/metrics")
+    if "brier_score_loss" not in metrics.columns:
+        metrics = metrics.withColumn("brier_score_loss", F.lit(None).cast("double"))
+    labels = {name: F.lit(estimator) for name in ("estimator", "featurizer", "estimator_label")}
+    return metrics.withColumns(labels).withColumnsRenamed(
+        {"roc_auc": "roc_auc_score", "pr_auc": "average_precision_score"}
+    )
