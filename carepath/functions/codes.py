@@ -105,12 +105,17 @@ def vocabulary_bridge(
         own = concepts.filter(F.col("vocabulary_id").isin(vocabularies)).select(
             F.col("concept_id").alias("concept_id_1"), strip_dots("concept_code").alias(name)
         )
-        return maps.join(own, "concept_id_1").select(F.col("concept_id_2").alias("concept_id"), name)
+        return maps.join(own, "concept_id_1").select(F.col("concept_id_2").alias("concept_id"), name).distinct()
 
     wanted = source_codes.select("concept", strip_dots("code", code_length).alias("source_code"))
-    return (
+    # both sides are distinct before they meet, so a standard concept gives each pair once
+    sources = (
         wanted.join(to_standard(source_vocabularies, "source_code"), "source_code")
-        .join(to_standard([target_vocabulary], "target_code"), "concept_id")
+        .select("concept", "concept_id")
+        .distinct()
+    )
+    return (
+        sources.join(to_standard([target_vocabulary], "target_code"), "concept_id")
         .select("concept", "target_code")
         .distinct()
     )

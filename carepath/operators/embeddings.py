@@ -145,7 +145,7 @@ def truncated_svd(
     return rows, values, columns
 
 
-def event2vec(
+def embed_codes(
     events: DataFrame,
     window_radius_in_days: int = 30,
     d: int = 30,

@@ -126,16 +126,25 @@ def draw_target_visit(coded_visits: DataFrame, seed: int = 0) -> DataFrame:
     of the visit, so no person is sorted as a whole: everything is a minimum or a count.
     """
     place = F.struct(VISIT_START, STAY_ID)
-    first = coded_visits.groupBy(PERSON).agg(
-        F.min(place).alias("_first"), F.count("*").alias("nb_coded_visits")
+    first = (
+        coded_visits.groupBy(PERSON)
+        .agg(F.min(place).alias("_first"), F.count("*").alias("nb_coded_visits"))
+        .filter("nb_coded_visits > 1")
     )
-    candidates = (
-        coded_visits.join(first.filter("nb_coded_visits > 1"), PERSON)
+    # the first visit can be one of the two lowest draws, so two per person are enough
+    by_draw = Window.partitionBy(PERSON).orderBy("_draw", STAY_ID)
+    lowest = (
+        coded_visits.withColumn("_draw", draw(STAY_ID, seed))
+        .withColumn("_rank", F.row_number().over(by_draw))
+        .filter("_rank <= 2")
+    )
+    drawn = (
+        lowest.join(first, PERSON)
         .filter(place > F.col("_first"))
-        .drop("_first")
+        .groupBy(PERSON, "nb_coded_visits")
+        .agg(F.min_by(place, "_rank").alias("_target"))
+        .select(PERSON, "nb_coded_visits", f"_target.{VISIT_START}", f"_target.{STAY_ID}")
     )
-    rank = Window.partitionBy(PERSON).orderBy(draw(STAY_ID, seed), STAY_ID)
-    drawn = candidates.withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1").drop("_rank")
     drawn_place = F.struct(F.col("_start").alias(VISIT_START), F.col("_stay").alias(STAY_ID))
     ranks = (
         coded_visits.join(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from carepath.constants import INCLUSION_START, OUTCOME, PERSON
 from carepath.functions.dates import add_age, get_date_details
-from carepath.operators.embeddings import count_svd, event2vec
+from carepath.operators.embeddings import count_svd, embed_codes
 from carepath.operators.events import build_vocabulary, keep_persons_with_events, restrict_to_vocabulary
 from carepath.operators.features import (
     count_vectors,
@@ -94,7 +94,7 @@ def build_features(
     weights = [decay_name(decay) for decay in config.decays]
     if name == LOCAL_EMBEDDINGS:
         train_event = event.join(train.select(PERSON), PERSON, "left_semi")
-        embeddings = event2vec(train_event, config.window_radius_in_days, config.d)
+        embeddings = embed_codes(train_event, config.window_radius_in_days, config.d)
     if name in (LOCAL_EMBEDDINGS, GIVEN_EMBEDDINGS):
         dimension = len(embeddings.first()["embedding"])
         return embedding_features(event, embeddings, dimension, config.decays)

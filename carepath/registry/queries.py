@@ -48,7 +48,7 @@ from carepath.operators import (
 from carepath.plans import experiment
 from carepath.registry import views
 from carepath.registry.views import STUDY_END, STUDY_START
-from carepath.session import materialise, scratch
+from carepath.session import materialise, prepare_session, scratch
 from carepath.sources import catalog, cohort, run_logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,7 +140,7 @@ def inputs(spark: SparkSession, sf_dir: str) -> Inputs:
     """The inputs of an application for one data folder; what they write is shared by its queries."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in PREPARED:
-        PREPARED[key] = Inputs(spark, sf_dir)
+        PREPARED[key] = Inputs(prepare_session(spark), sf_dir)
     return PREPARED[key]
 
 
@@ -713,7 +713,7 @@ def ppmi(i):
 
 @query
 def code_embeddings(i):
-    return embeddings.event2vec(i.observed, 30, 10)
+    return embeddings.embed_codes(i.observed, 30, 10)
 
 
 @query

@@ -19,6 +19,14 @@ SETTINGS = {
 }
 
 
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """Turn adaptive execution and the splitting of skewed joins on in a running session."""
+    for key, value in SETTINGS.items():
+        if key.startswith("spark.sql.adaptive."):
+            spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = 8, memory: str = "12g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     builder = (
@@ -44,7 +52,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    folder = context.getConf().get("spark.checkpoint.dir", None)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")

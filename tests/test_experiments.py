@@ -245,7 +245,7 @@ def test_cooccurrence(many_events, radius, hot_cells):
     assert {(r["code"], r["context"]): r["n_pairs"] for r in pairs.collect()} == dict(expected)
 
 
-def test_event2vec_factors_ppmi(many_events):
+def test_embed_codes_factors_ppmi(many_events):
     _, table = many_events
     matrix = embeddings.ppmi(embeddings.cooccurrence(table, 30))
     cells = {(r["code"], r["context"]): r["ppmi"] for r in matrix.collect()}
@@ -260,7 +260,7 @@ def test_event2vec_factors_ppmi(many_events):
     # rows of U·√Σ: their Gram matrix is U·Σ·Uᵗ
     u, s, _ = np.linalg.svd(dense, full_matrices=False)
     assert np.allclose(scaled @ scaled.T, (u[:, : len(values)] * s[: len(values)]) @ u[:, : len(values)].T, atol=1e-6)
-    vectors = embeddings.event2vec(table, 30, 4)
+    vectors = embeddings.embed_codes(table, 30, 4)
     assert all(len(r["embedding"]) <= 4 for r in vectors.collect())
 
 
