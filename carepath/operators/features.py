@@ -148,20 +148,26 @@ def demographics_pipeline(
     return Pipeline(stages=stages)
 
 
-def projection_sign(code: str, component: int, seed: int) -> Column:
-    """+1 or -1 from one hexadecimal digit of md5(code:seed:block)."""
-    block, digit = divmod(component, 32)
-    name = F.concat_ws(":", F.col(code).cast("string"), F.lit(str(seed)), F.lit(str(block)))
-    return F.when(F.substring(F.md5(name), digit + 1, 1) >= "8", 1).otherwise(-1)
+DIGITS = 32
 
 
 def random_projection(features: DataFrame, weight: str, n_components: int = 30, seed: int = 0) -> DataFrame:
     """Random projection of the (person × code) matrix on ``n_components`` directions.
 
-    A direction has ±1 for each code, drawn from the code itself: no matrix has to be
-    stored or sent, and each person is reduced by one map-side sum.
+    A direction has +1 or -1 for each code, from one hexadecimal digit of md5(code:seed:block): no
+    matrix has to be stored or sent, and each person is reduced by one map-side sum.
     """
+    blocks = range(-(-n_components // DIGITS))
+    digits = {
+        f"_digits_{block}": F.md5(F.concat_ws(":", SOURCE_CODE, F.lit(str(seed)), F.lit(str(block))))
+        for block in blocks
+    }
     scale = n_components**-0.5
-    signs = [projection_sign(SOURCE_CODE, i, seed) for i in range(n_components)]
-    sums = [F.sum(F.col(weight) * sign) * F.lit(scale) for sign in signs]
-    return features.groupBy(PERSON).agg(F.array(*sums).alias("features"))
+
+    def component(number: int) -> Column:
+        digit = F.substring(f"_digits_{number // DIGITS}", number % DIGITS + 1, 1)
+        return F.sum(F.when(digit >= "8", F.col(weight)).otherwise(-F.col(weight))) * F.lit(scale)
+
+    return features.withColumns(digits).groupBy(PERSON).agg(
+        F.array(*[component(number) for number in range(n_components)]).alias("features")
+    )

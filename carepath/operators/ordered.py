@@ -39,7 +39,12 @@ def with_chunks(
         hot = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
     return (
         df.join(hot.withColumn("_hot", F.lit(True)), keys, "left")
-        .withColumn(CHUNK, F.when(F.col("_hot"), F.col(time).cast("date")).otherwise(_whole_key()))
+        # rows without a time sort first, so their chunk comes before all days
+        .withColumn(
+            CHUNK,
+            F.when(F.col("_hot"), F.coalesce(F.col(time).cast("date"), F.to_date(F.lit("0001-01-02"))))
+            .otherwise(_whole_key()),
+        )
         .drop("_hot")
     )
 

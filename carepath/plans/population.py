@@ -8,7 +8,13 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame
 
-from carepath.constants import TASK_LOS_CATEGORICAL, TASK_MACE, TASK_PROGNOSIS
+from carepath.constants import (
+    TASK_LOS_CATEGORICAL,
+    TASK_MACE,
+    TASK_MORTALITY,
+    TASK_PROGNOSIS,
+    TASK_REHOSPITALIZATION,
+)
 from carepath.operators.events import (
     DEFAULT_EVENT_TABLES,
     I2B2_EVENT_TABLES,
@@ -50,6 +56,24 @@ class CohortConfig:
     test_size: float = 0.2
 
 
+def cohort_folder(config: CohortConfig) -> str:
+    """Name of the folder of a cohort, from what sets it apart."""
+    task = config.task_name
+    if task == TASK_LOS_CATEGORICAL:
+        task += f"@{len(config.los_categories)}"
+    elif task == TASK_PROGNOSIS:
+        task += f"@cim10lvl_{config.cim10_nb_digits}__rs_{config.random_state}__min_prev_{config.min_prevalence}"
+        if config.chapter is not None:
+            task += f"chap_{config.chapter}"
+    elif task in (TASK_MACE, TASK_MORTALITY, TASK_REHOSPITALIZATION):
+        task += f"@{config.horizon_in_days}"
+    period = f"{config.study_start.year}_{config.study_end.year}"
+    return (
+        f"{config.cohort_name}__age_min_{config.min_age_at_admission}__dates_{period}"
+        f"__task__{task}__index_visit_{config.index_visit}"
+    )
+
+
 LOS_COHORT = CohortConfig("complete_hospitalization_los", TASK_LOS_CATEGORICAL)
 PROGNOSIS_COHORT = CohortConfig(
     "icd10_prognosis", TASK_PROGNOSIS, horizon_in_days=7, n_min_visits=2,

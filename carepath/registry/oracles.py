@@ -526,6 +526,10 @@ BODIES = {
         union all select person_id, cast(k+64 as int), round(sum(decay_30*x),6)
             from v_weight join u using (event_source_concept_id) group by 1,2""",
     "random_projection": _signs(40, 7),
+    "count_vectors": """with c as (select event_source_concept_id, row_number() over (order by event_source_concept_id)-1 ix,
+            count(*) over () size, sum(decay_0) a, sum(decay_30) b from v_weight group by 1)
+        select cast(ix as int) as position, round(a,6) as value from c
+        union all select cast(ix+size as int), round(b,6) from c""",
     "sparsity": """select count(*) n_values, count(distinct person_id) n_persons,
         count(distinct event_source_concept_id) n_codes,
         round(1-count(*)/(count(distinct person_id)*count(distinct event_source_concept_id))::double,6) sparsity from v_weight""",

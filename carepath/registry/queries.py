@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cached_property
 
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -696,9 +697,14 @@ def demographics_features(i):
 
 @query
 def count_vectors(i):
+    """Sum over persons of their sparse vectors, by position."""
+    weights = ["decay_0", "decay_30"]
     counts = features.decayed_features(i.observed, [0, 30])
-    vectors = features.count_vectors(counts, features.index_codes(i.observed), ["decay_0", "decay_30"])
-    return vectors.select(PERSON, F.size(models.vector_to_array("features")).alias("width"))
+    vectors = features.count_vectors(counts, features.index_codes(i.observed), weights)
+    total = vectors.agg(Summarizer.sum(F.col("features")).alias("total"))
+    return total.select(F.posexplode(models.vector_to_array("total")).alias("position", "value")).select(
+        "position", r6("value")
+    )
 
 
 @query

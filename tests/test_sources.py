@@ -8,7 +8,7 @@ from carepath.functions.codes import collapse_mapping, get_cim10_codes, map_conc
 from carepath.operators.reports import detail_consistency, leakage_checks, value_counts
 from carepath.operators.runs import clean_runs, prevalence_bin, run_durations, training_history
 from carepath.plans.experiment import GIVEN_EMBEDDINGS, ExperimentConfig, run_grid
-from carepath.plans.population import LOS_COHORT, build_cohort
+from carepath.plans.population import LOS_COHORT, build_cohort, cohort_folder
 from carepath.sources.catalog import Catalog, i2b2_catalog, read_dimension
 from carepath.sources.cohort import EventCohort, export_pretraining
 from carepath.sources.run_logs import append_run, get_experience_results, read_run_logs, read_runs
@@ -19,6 +19,8 @@ def test_catalog(spark, person, tmp_path):
     catalog = i2b2_catalog(spark, str(tmp_path), ["person", "concept"])
     assert catalog.person.count() == 3
     assert catalog.missing_tables == ["concept"]
+    person.createOrReplaceGlobalTempView("person")
+    assert Catalog(spark, database="global_temp").person.count() == 3
     with pytest.raises(AttributeError):
         catalog.cost
     with pytest.raises(ValueError):
@@ -142,6 +144,10 @@ def test_whole_cohort(spark, database, event_config, tmp_path):
                      n_min_events=1, horizon_in_days=90)
     assert config.task_name == TASK_LOS_CATEGORICAL
     built = build_cohort(database, config)
+    assert cohort_folder(config) == (
+        "complete_hospitalization_los__age_min_18__dates_2017_2022__task__length_of_stay_categorical@3"
+        "__index_visit_first"
+    )
     built.write(str(tmp_path))
     stored = EventCohort.read(spark, str(tmp_path))
     assert stored.person.count() == 2 and stored.event.count() == 7
