@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from carepath.session import materialise
 
 BROADCAST_ROWS = 2_000_000
+PERSON_ROWS = 5_000_000
 
 
 def small_side(dimension: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -22,3 +23,13 @@ def size_checked(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     check. Beyond ``rows`` the table is joined without a hint.
     """
     return small_side(materialise(table, "codes"), rows)
+
+
+def person_side(persons: DataFrame, rows: int = PERSON_ROWS) -> DataFrame:
+    """Write a narrow table of included persons and broadcast it if it has at most ``rows`` rows.
+
+    It meets fact tables of all patients: without their shuffle, a hot person is no longer
+    one task, and the events of others are dropped where they are read. Beyond ``rows`` both
+    sides are shuffled on the person.
+    """
+    return small_side(materialise(persons, "persons"), rows)

@@ -23,7 +23,7 @@ from carepath.constants import (
 )
 from carepath.functions.dates import clean_date_cols, timestamp
 from carepath.functions.draws import exact_sample, union_all
-from carepath.functions.sizes import size_checked
+from carepath.functions.sizes import person_side, size_checked
 
 
 @dataclass(frozen=True)
@@ -95,7 +95,7 @@ def observed_events(
     if study_start is not None:
         events = events.filter(F.col(START) >= timestamp(study_start))
     return (
-        events.join(target.select(PERSON, FOLLOWUP_START), PERSON)
+        events.join(person_side(target.select(PERSON, FOLLOWUP_START)), PERSON)
         .filter(F.col(START) <= F.col(FOLLOWUP_START))
         .select(*EVENT_COLUMNS)
     )
@@ -135,4 +135,4 @@ def sample_non_cases(
     kept = splits.filter(test | (F.col(OUTCOME) == 1)).drop("dataset")
     non_cases = splits.filter(~test & (F.col(OUTCOME) == 0)).drop("dataset")
     sample = kept.unionByName(exact_sample(non_cases, PERSON, n_sample, seed))
-    return sample, event.join(sample.select(PERSON), PERSON, "left_semi")
+    return sample, event.join(person_side(sample.select(PERSON)), PERSON, "left_semi")

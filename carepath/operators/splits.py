@@ -18,7 +18,7 @@ from carepath.constants import (
 )
 from carepath.functions.dates import MICROSECONDS_PER_DAY, clean_date_cols, days_between, timestamp
 from carepath.functions.draws import exact_sample
-from carepath.functions.sizes import small_side
+from carepath.functions.sizes import person_side, small_side
 
 TRAIN, TEST = "train", "external_test"
 
@@ -40,7 +40,7 @@ def split_train_test_w_hospital_ids(
         clean_date_cols(database.visit_occurrence)
         .filter(F.col(VISIT_START).between(timestamp(study_start), timestamp(study_end)))
         .select(PERSON, STAY_ID, "care_site_id")
-        .join(inclusion_sessions.select(PERSON).distinct(), PERSON, "left_semi")
+        .join(person_side(inclusion_sessions.select(PERSON)), PERSON, "left_semi")
         .join(hospitals, "care_site_id")
         .groupBy(PERSON, "hospital_name")
         .agg(F.count("*").alias("n_visits"))
@@ -118,8 +118,8 @@ def event_train_test_split(
     """Train events, test events, train persons, test persons."""
     train, test = person_split(event_cohort.person, train_size, test_size, random_seed)
     return (
-        event_cohort.event.join(train.select(PERSON), PERSON, "left_semi"),
-        event_cohort.event.join(test.select(PERSON), PERSON, "left_semi"),
+        event_cohort.event.join(person_side(train.select(PERSON)), PERSON, "left_semi"),
+        event_cohort.event.join(person_side(test.select(PERSON)), PERSON, "left_semi"),
         train,
         test,
     )

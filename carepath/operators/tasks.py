@@ -46,6 +46,7 @@ from carepath.functions.dates import (
     timestamp,
 )
 from carepath.functions.draws import draw, draw_integer
+from carepath.functions.sizes import person_side
 from carepath.session import materialise
 
 BLANK_PERIOD_IN_DAYS = 0.5
@@ -90,7 +91,7 @@ def get_rehospitalizations(
     visits = clean_date_cols(database.visit_occurrence).filter(F.col(VISIT_TYPE).isin(HOSPITALIZATIONS))
     following = (
         visits.select(PERSON, STAY_ID, VISIT_START)
-        .join(inclusion_criteria.select(PERSON, FOLLOWUP_START), PERSON)
+        .join(person_side(inclusion_criteria.select(PERSON, FOLLOWUP_START)), PERSON)
         .filter(F.col(VISIT_START) >= plus_days(FOLLOWUP_START, BLANK_PERIOD_IN_DAYS))
         .groupBy(PERSON, FOLLOWUP_START)
         .agg(F.min(F.struct(VISIT_START, STAY_ID)).alias("_next"))
@@ -176,7 +177,7 @@ def get_prognosis(
     diagnoses = (
         clean_date_cols(database.condition_occurrence)
         .select(PERSON, STAY_ID, CONDITION_START, CONDITION_CODE)
-        .join(inclusion_criteria.select(PERSON, INCLUSION_START), PERSON)
+        .join(person_side(inclusion_criteria.select(PERSON, INCLUSION_START)), PERSON)
         .filter(
             (F.col(CONDITION_START) >= F.col(INCLUSION_START))
             & (F.col(CONDITION_START) <= timestamp(study_end))
@@ -245,7 +246,7 @@ def get_mace(
     events = (
         database.condition_occurrence.select(PERSON, STAY_ID, CONDITION_START, CONDITION_CODE)
         .filter(matches_any(every_code))
-        .join(inclusion_criteria.select(PERSON, FOLLOWUP_START), PERSON)
+        .join(person_side(inclusion_criteria.select(PERSON, FOLLOWUP_START)), PERSON)
         .filter(exact_days_between(FOLLOWUP_START, CONDITION_START) <= F.lit(float(horizon_in_days)))
     )
     later = F.col(CONDITION_START) > F.col(FOLLOWUP_START)

@@ -526,6 +526,19 @@ BODIES = {
         union all select person_id, cast(k+64 as int), round(sum(decay_30*x),6)
             from v_weight join u using (event_source_concept_id) group by 1,2""",
     "random_projection": _signs(40, 7),
+    "demographics_features": f"""with s as (select p.*, v.gender_source_value,
+            {_days('v.birth_datetime', 'p.inclusion_event_start')}/365.0::double age
+            from v_population p join v_person v using (person_id)),
+        c as (select person_id, 1 o, admitted_from_source_value x from s
+            union all select person_id, 2, discharge_to_source_value from s
+            union all select person_id, 3, gender_source_value from s
+            union all select person_id, 4, inclusion_event_source_concept_id from s),
+        d as (select o, x, row_number() over (order by o, x)-1 dimension from (select distinct o, x from c))
+        select s.person_id, cast(d.dimension as int) dimension,
+            round(case when c.person_id is null then 0.0::double else 1.0::double end,6) as value
+        from s cross join d left join c on c.person_id=s.person_id and c.o=d.o and c.x=d.x
+        union all select person_id, cast((select count(*) from d) as int),
+            round((age-(select avg(age) from s))/(select stddev_samp(age) from s),6) from s""",
     "count_vectors": """with c as (select event_source_concept_id, row_number() over (order by event_source_concept_id)-1 ix,
             count(*) over () size, sum(decay_0) a, sum(decay_30) b from v_weight group by 1)
         select cast(ix as int) as position, round(a,6) as value from c

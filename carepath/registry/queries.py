@@ -690,9 +690,8 @@ def sparsity(i):
 @query
 def demographics_features(i):
     rows = experiment.add_static_features(i.statics)
-    return features.demographics_pipeline().fit(rows).transform(rows).select(
-        PERSON, models.vector_to_array("features").alias("features")
-    )
+    fitted = features.demographics_pipeline().fit(rows).transform(rows)
+    return long_vector(fitted.withColumn("features", models.vector_to_array("features")))
 
 
 @query
