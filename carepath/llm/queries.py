@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import chat, mixing, secrets, sharding, token_counts
+from carepath.llm import chat, decontaminate, licenses, mixing, near_dup, passages, quality, secrets, sharding, token_counts
 from carepath.session import scratch
 
 SHARDS = 24
@@ -33,12 +33,24 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(docs, ledger)
 
 
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(documents(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.classes(documents(spark, sf_dir))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir))
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = F.lit("\\### Assistant: </turn> ok")
@@ -51,10 +63,24 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_chats(chats.unionByName(extra)))
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality.judged(docs, quality.fit(docs, labels))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
     "op3_secret_scan": op3_secret_scan,
+    "op4_repeated_passages": op4_repeated_passages,
     "op5_token_counts": op5_token_counts,
+    "op6_near_duplicates": op6_near_duplicates,
+    "op7_license_scan": op7_license_scan,
     "op8_chat_format": op8_chat_format,
+    "op9_decontamination": op9_decontamination,
+    "op10_quality_rules": op10_quality_rules,
 }

@@ -137,6 +137,50 @@ class Texts:
         return shingles(self.word_hashes, self.first_word, size)
 
 
+def folded(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes in small letters (ASCII and Latin-1), and which bytes start a capital."""
+    capital = (data >= 0x41) & (data <= 0x5A)
+    small = data.copy()
+    small[capital] += 0x20
+    if len(data) > 1:
+        latin = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+        small[1:][latin] += 0x20
+        capital[:-1] |= latin
+    return small, capital
+
+
+@dataclass
+class Cores:
+    """Words in small letters without the punctuation around them; words of punctuation alone are left out."""
+
+    hashes: np.ndarray
+    begin: np.ndarray
+    place: np.ndarray  # index among all words
+    first: np.ndarray  # offsets of the texts
+    capital: np.ndarray  # bytes that start a capital
+
+
+def cores(texts: Texts) -> Cores:
+    data = texts.data
+    small, capital = folded(data)
+    solid = np.flatnonzero(((small >= 0x61) & (small <= 0x7A)) | ((data >= 0x30) & (data <= 0x39)) | (data >= 0x80))
+    low, high = np.searchsorted(solid, texts.starts), np.searchsorted(solid, texts.ends)
+    place = np.flatnonzero(high > low)
+    begin, end = solid[low[place]], solid[high[place] - 1] + 1
+    hashes = Texts(small, texts.offsets).span_hashes(begin, end)
+    return Cores(hashes, begin, place, np.searchsorted(place, texts.first_word), capital)
+
+
+def runs(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first position of each run of ``size`` hashes inside one text."""
+    counts = np.maximum(np.diff(first) - size + 1, 0)
+    at = np.arange(counts.sum()) - np.repeat(np.concatenate([[0], np.cumsum(counts)[:-1]]) - first[:-1], counts)
+    n = len(hashes)
+    prefix = np.zeros(n + 1, U64)
+    np.cumsum(hashes * powers(n), out=prefix[1:])
+    return mix((prefix[at + size] - prefix[at]) * powers(n + 1, "down")[at] + U64(size)), at
+
+
 def shingles(hashes: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(first)
     made = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))

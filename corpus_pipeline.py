@@ -1,10 +1,55 @@
-"""Documents to shards of a training mix."""
+"""From raw documents to the shards of a training mix: five stages, each a table that the next one reads."""
 
-from carepath.llm import sharding
+from __future__ import annotations
 
-STAGES = [("sharding", lambda spark, docs, sf_dir: sharding.assignments(docs))]
+from pyspark.sql import DataFrame, SparkSession
+
+from carepath.llm import decontaminate, mixing, near_dup, quality, sharding
+from carepath.session import materialise
+
+SHARDS = 24
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules and the n-gram score keep."""
+    return quality.kept(docs, quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates."""
+    return near_dup.deduplicated(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs)
+
+
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document of the mix."""
+    return sharding.assignments(docs, SHARDS)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("source_mix", source_mix),
+    ("sharding", shards),
+]
+
+#: near duplicates and n-gram scores have no SQL
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return sharding.assignments(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result but the last is written as Parquet and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
