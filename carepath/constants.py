@@ -164,4 +164,6 @@ PREVALENCE_BINS = [0, 1, 4, 6, 11, 15, 20, 30, 50, 100]
 SCORE_NAMES = [
     "roc_auc_score", "average_precision_score", "accuracy_score", "brier_score_loss",
 ]
-UNKNOWN_HOSPITAL = "8312006712.0"
+
+# --- placeholder of this library: group of persons without a hospital
+UNKNOWN_HOSPITAL = "unknown"

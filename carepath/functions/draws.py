@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from carepath.session import materialise
+
 
 def draw(identifier, seed: int) -> Column:
     """Draw of a row as 32 hexadecimal digits, to sort on."""
@@ -34,8 +36,10 @@ def exact_sample(
     """
     group = F.lit(0) if by is None else F.col(by)
     wanted = {0: sizes} if by is None else sizes
-    drawn = df.select(
-        group.alias("_group"), F.col(identifier).alias("_id"), draw(identifier, seed).alias("_draw")
+    # read by three steps, so written once
+    drawn = materialise(
+        df.select(group.alias("_group"), F.col(identifier).alias("_id"), draw(identifier, seed).alias("_draw")),
+        "draws",
     ).withColumn("_cell", F.substring("_draw", 1, 4))
     limits = F.create_map(*[F.lit(int(x)) for pair in wanted.items() for x in pair])
     running = Window.partitionBy("_group").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)

@@ -9,11 +9,19 @@ from carepath.session import materialise
 
 BROADCAST_ROWS = 2_000_000
 PERSON_ROWS = 5_000_000
+BROADCAST_BYTES = 200_000_000
 
 
-def small_side(dimension: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A dimension table, to broadcast if it has at most ``rows`` rows; otherwise Spark decides."""
-    return F.broadcast(dimension) if dimension.limit(rows + 1).count() <= rows else dimension
+def small_side(dimension: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A dimension table, to broadcast if it has at most ``rows`` rows and ``most`` bytes; otherwise Spark decides.
+
+    Bytes are those of the rows written as JSON text, which is close to their size in memory for numbers and
+    texts alike. At most ``rows`` rows are looked at.
+    """
+    some = dimension.limit(rows + 1)
+    length = F.octet_length(F.to_json(F.struct(*[F.col(f"`{name}`") for name in dimension.columns])))
+    n, size = some.agg(F.count("*"), F.coalesce(F.sum(length), F.lit(0))).first()
+    return F.broadcast(dimension) if n <= rows and size <= most else dimension
 
 
 def size_checked(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.mllib.linalg import SparseVector, VectorUDT
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carepath.constants import PERSON, SOURCE_CODE, START
-from carepath.operators.features import index_codes
+from carepath.functions.sizes import person_side, size_checked, small_side
+from carepath.operators.features import VECTOR_BYTES, index_codes, sparse_vectors
 from carepath.operators.ordered import MAX_HOT_KEYS
 from carepath.session import materialise
 
@@ -91,8 +97,9 @@ def ppmi(pairs: DataFrame, smoothing_factor: float = 0.75, k: float = 1) -> Data
     """Shifted positive pointwise mutual information with smoothed context probabilities:
     max(0, ln(p(w, c) / (p(w) p_a(c))) - ln k), zeros left out.
 
-    Marginals have one row per code; totals are single values.
+    Marginals have one row per code and are sent around behind a check of their size; totals are single values.
     """
+    pairs = materialise(pairs, "pairs")
     codes = pairs.groupBy("code").agg(F.sum("n_pairs").cast("double").alias("n_code"))
     contexts = pairs.groupBy("context").agg(
         F.pow(F.sum("n_pairs").cast("double"), F.lit(float(smoothing_factor))).alias("w_context")
@@ -103,46 +110,74 @@ def ppmi(pairs: DataFrame, smoothing_factor: float = 0.75, k: float = 1) -> Data
         (F.col("n_pairs") / total) / ((F.col("n_code") / total) * (F.col("w_context") / total_context))
     ) - F.ln(F.lit(float(k)))
     return (
-        pairs.join(codes, "code")
-        .join(contexts, "context")
+        pairs.join(size_checked(codes), "code")
+        .join(size_checked(contexts), "context")
         .select("code", "context", information.alias("ppmi"))
         .filter("ppmi > 0")
     )
 
 
-def truncated_svd(
-    matrix: DataFrame, row: str, column: str, value: str, d: int = 30
-) -> tuple[DataFrame, list[float], list[str]]:
-    """Rows of U·√Σ for the ``d`` largest singular values of a long (row, column, value) matrix.
+@dataclass
+class Decomposition:
+    """Singular values, the names of the columns, and ``column, right`` with a row of V / √Σ per column."""
+
+    values: list[float]
+    columns: list[str]
+    right: DataFrame
+    column: str
+    value: str
+
+    def project(self, matrix: DataFrame, row: str, name: str = "embedding") -> DataFrame:
+        """A·V / √Σ of the rows of a long matrix; for the decomposed matrix itself that is U·√Σ.
 
-    Rows stay distributed. The driver holds the singular values and the (columns × d) right
-    vectors, whose size is that of the vocabulary.
+        Entries of unknown columns do not count. One weighted sum of vectors per row, no list of entries.
+        """
+        table = small_side(self.right, VECTOR_BYTES // (8 * max(len(self.values), 1)))
+        entries = matrix.join(table, self.column)
+        # the summarizer takes no negative weight, so a negative value turns its vector around
+        sign = F.when(F.col(self.value) < 0, -1.0).otherwise(1.0)
+        vector = array_to_vector(F.transform("right", lambda x: x * sign))
+        summed = Summarizer.metrics("sum").summary(vector, F.abs(F.col(self.value)))["sum"]
+        return entries.groupBy(row).agg(vector_to_array(summed).alias(name))
+
+
+def decompose(matrix: DataFrame, row: str, column: str, value: str, d: int = 30) -> Decomposition:
+    """The ``d`` largest singular values and right vectors of a long (row, column, value) matrix.
+
+    The driver holds the right vectors, (columns × d) numbers, as Spark's decomposition returns them; ``index_codes``
+    bounds the columns. Rows stay distributed.
     """
     spark = matrix.sparkSession
-    matrix = materialise(matrix, "matrix")
     columns = index_codes(matrix, column)
     positions = spark.createDataFrame(list(enumerate(columns)), f"_ix int, {column} string")
-    vectors = (
+    rows = (
         matrix.join(F.broadcast(positions), column)
         .groupBy(row)
         .agg(F.array_sort(F.collect_list(F.struct("_ix", F.col(value).cast("double").alias("_v")))).alias("_row"))
+        .select(F.col("_row._ix").alias("_indices"), F.col("_row._v").alias("_values"))
     )
-    width = len(columns)
-    to_vector = F.udf(lambda ix, v: SparseVector(width, ix, v), VectorUDT())
     # read by every iteration, so kept in the executors; a lost part is read again from the files
-    sparse_rows = materialise(vectors.select(to_vector("_row._ix", "_row._v").alias("row")), "rows").persist()
-    factors = RowMatrix(sparse_rows).computeSVD(min(d, width), computeU=False)
+    vectors = MLUtils.convertVectorColumnsFromML(sparse_vectors(rows, len(columns), "_indices", "_values", "row"), "row")
+    vectors = vectors.persist()
+    try:
+        factors = RowMatrix(vectors).computeSVD(min(d, len(columns)), computeU=False)
+    finally:
+        vectors.unpersist()
     values = [float(s) for s in factors.s]
-    right = factors.V.toArray()
-    sparse_rows.unpersist()
-    # U·√Σ = A·V / √Σ, one sum over the entries of each row
-    table = spark.createDataFrame(
-        [(code, (right[ix] / [s**0.5 for s in values]).tolist()) for ix, code in enumerate(columns)],
-        f"{column} string, _right array<double>",
-    )
-    sums = [F.sum(F.col(value) * F.col("_right")[i]) for i in range(len(values))]
-    rows = matrix.join(F.broadcast(table), column).groupBy(row).agg(F.array(*sums).alias("embedding"))
-    return rows, values, columns
+    scaled = factors.V.toArray() / [s**0.5 for s in values]
+    names = pa.array(columns, pa.string())
+    arrays = pa.FixedSizeListArray.from_arrays(pa.array(scaled.reshape(-1)), len(values)).cast(pa.list_(pa.float64()))
+    right = spark.createDataFrame(pa.table({column: names, "right": arrays}))
+    return Decomposition(values, columns, materialise(right, "right"), column, value)
+
+
+def truncated_svd(
+    matrix: DataFrame, row: str, column: str, value: str, d: int = 30
+) -> tuple[DataFrame, list[float], list[str]]:
+    """Rows of U·√Σ for the ``d`` largest singular values of a long matrix, the values, and the column names."""
+    matrix = materialise(matrix, "matrix")
+    found = decompose(matrix, row, column, value, d)
+    return found.project(matrix, row), found.values, found.columns
 
 
 def embed_codes(
@@ -154,15 +189,28 @@ def embed_codes(
     colname_concept: str = SOURCE_CODE,
 ) -> DataFrame:
     """Embedding of each code, from its co-occurrences: (code, array of d numbers)."""
-    pairs = materialise(cooccurrence(events, window_radius_in_days, colname_concept), "pairs")
+    pairs = cooccurrence(events, window_radius_in_days, colname_concept)
     rows, _, _ = truncated_svd(ppmi(pairs, smoothing_factor, k), "code", "context", "ppmi", d)
     return rows.select(F.col("code").alias(colname_concept), "embedding")
 
 
-def count_svd(features: DataFrame, weight: str, d: int = 30) -> DataFrame:
-    """Truncated SVD of the (person × code) matrix."""
-    rows, _, _ = truncated_svd(features, PERSON, SOURCE_CODE, weight, d)
-    return rows.withColumnRenamed("embedding", "features")
+def count_svd(
+    features: DataFrame, weights: str | list[str], d: int = 30, learnt_on: DataFrame | None = None
+) -> DataFrame:
+    """Truncated SVD of the (person × code) matrix, with one block of columns per weight.
+
+    The directions are learnt on the persons of ``learnt_on`` (all if not given), the others are projected on them.
+    """
+    columns = [weights] if isinstance(weights, str) else list(weights)
+    long = materialise(
+        features.select(PERSON, *[F.col(w).cast("double").alias(w) for w in columns], SOURCE_CODE)
+        .unpivot([PERSON, SOURCE_CODE], columns, "_block", "_value")
+        .filter("_value <> 0")
+        .select(PERSON, F.concat_ws(":", "_block", SOURCE_CODE).alias("_column"), "_value"),
+        "matrix",
+    )
+    known = long if learnt_on is None else long.join(person_side(learnt_on.select(PERSON)), PERSON, "left_semi")
+    return decompose(known, PERSON, "_column", "_value", d).project(long, PERSON, "features")
 
 
 def _dot(left: Column, right: Column) -> Column:

@@ -7,14 +7,21 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from carepath.constants import FOLLOWUP_START, PERSON, SOURCE_CODE, START
 from carepath.functions.dates import exact_days_between
 from carepath.functions.sizes import size_checked
 from carepath.operators.tasks import label_scores
+from carepath.session import scratch
+
+#: vectors of codes are sent to every task up to this size, otherwise joined by a shuffle
+VECTOR_BYTES = 100_000_000
 
 
 def decay_weight(decay_in_days: float, start: str = START, followup: str = FOLLOWUP_START) -> Column:
@@ -52,29 +59,58 @@ def embedding_features(
     back costs one vector. The vector of all decays is one array, decay after decay.
     """
     weights = decayed_features(event, decay_half_life_in_days)
-    vectors = size_checked(embeddings.select(SOURCE_CODE, "embedding"), rows=200_000)
-    sums = [
-        F.sum(F.col(decay_name(decay)) * F.col("embedding")[i].cast("double"))
-        for decay in decay_half_life_in_days
-        for i in range(dimension)
-    ]
-    return weights.join(vectors, SOURCE_CODE).groupBy(PERSON).agg(F.array(*sums).alias("features"))
+    vectors = size_checked(
+        embeddings.select(SOURCE_CODE, array_to_vector(F.col("embedding").cast("array<double>")).alias("_vector")),
+        rows=VECTOR_BYTES // (8 * max(dimension, 1)),
+    )
+    names = [decay_name(decay) for decay in decay_half_life_in_days]
+    # one aggregate of a whole vector per decay; the weight column scales it
+    sums = [Summarizer.metrics("sum").summary(F.col("_vector"), F.col(name))["sum"].alias(name) for name in names]
+    joined = weights.join(vectors, SOURCE_CODE)
+    return joined.groupBy(PERSON).agg(*sums).select(
+        PERSON, F.concat(*[vector_to_array(name) for name in names]).alias("features")
+    )
 
 
-def index_codes(vocabulary: DataFrame, code: str = SOURCE_CODE) -> list[str]:
+MAX_CODES = 1_000_000
+
+
+def index_codes(vocabulary: DataFrame, code: str = SOURCE_CODE, most: int = MAX_CODES) -> list[str]:
     """Codes in alphabetical order: the column order of vectors and matrices.
 
-    The vocabulary comes to the driver, as it does in any Spark ML indexer.
+    The vocabulary comes to the driver, as it does in any Spark ML indexer; a model over more than ``most`` codes
+    is an error.
     """
-    return [row[0] for row in vocabulary.select(code).distinct().orderBy(code).collect()]
+    codes = [row[0] for row in vocabulary.select(code).distinct().orderBy(code).limit(most + 1).collect()]
+    if len(codes) > most:
+        raise ValueError(f"more than {most} codes: restrict the vocabulary first")
+    return codes
+
+
+def sparse_vectors(rows: DataFrame, size: int, indices: str, values: str, name: str = "features") -> DataFrame:
+    """Replace two arrays by a sparse vector, without a Python function.
+
+    The fields of a vector are written as plain columns and read back under the type of a vector.
+    """
+    fields = F.struct(
+        F.lit(0).cast("tinyint").alias("type"),
+        F.lit(size).alias("size"),
+        F.col(indices).cast("array<int>").alias("indices"),
+        F.col(values).cast("array<double>").alias("values"),
+    )
+    kept = [column for column in rows.columns if column not in (indices, values)]
+    plain = rows.select(*kept, fields.alias(name))
+    folder = scratch(rows.sparkSession, "vectors")
+    plain.write.parquet(folder)
+    schema = StructType([*[plain.schema[column] for column in kept], StructField(name, VectorUDT())])
+    return rows.sparkSession.read.schema(schema).parquet(folder)
 
 
 def count_vectors(features: DataFrame, codes: list[str], weights: list[str]) -> DataFrame:
     """Sparse vector per person: one block of the vocabulary for each weight column."""
     spark = features.sparkSession
     size = len(codes)
-    total = size * len(weights)
-    # of the size of the vocabulary, which index_codes has already held on the driver
+    # of the size of the vocabulary, which index_codes has held on the driver within its bound
     positions = spark.createDataFrame(list(enumerate(codes)), f"_ix int, {SOURCE_CODE} string")
     entries = F.array(
         *[F.struct((F.col("_ix") + F.lit(block * size)).alias("ix"), F.col(w).cast("double").alias("w"))
@@ -86,9 +122,9 @@ def count_vectors(features: DataFrame, codes: list[str], weights: list[str]) ->
         .select(PERSON, F.explode(entries).alias("_entry"))
         .groupBy(PERSON)
         .agg(F.array_sort(F.collect_list("_entry")).alias("_entries"))
+        .select(PERSON, F.col("_entries.ix").alias("_indices"), F.col("_entries.w").alias("_values"))
     )
-    to_vector = F.udf(lambda ix, w: Vectors.sparse(total, ix, w), VectorUDT())
-    return rows.select(PERSON, to_vector("_entries.ix", "_entries.w").alias("features"))
+    return sparse_vectors(rows, size * len(weights), "_indices", "_values")
 
 
 def sparsity(features: DataFrame) -> DataFrame:
@@ -151,12 +187,15 @@ def demographics_pipeline(
 DIGITS = 32
 
 
-def random_projection(features: DataFrame, weight: str, n_components: int = 30, seed: int = 0) -> DataFrame:
-    """Random projection of the (person × code) matrix on ``n_components`` directions.
+def random_projection(
+    features: DataFrame, weights: str | list[str], n_components: int = 30, seed: int = 0
+) -> DataFrame:
+    """Random projection of the (person × code) matrix on ``n_components`` directions, one block per weight column.
 
     A direction has +1 or -1 for each code, from one hexadecimal digit of md5(code:seed:block): no
     matrix has to be stored or sent, and each person is reduced by one map-side sum.
     """
+    columns = [weights] if isinstance(weights, str) else list(weights)
     blocks = range(-(-n_components // DIGITS))
     digits = {
         f"_digits_{block}": F.md5(F.concat_ws(":", SOURCE_CODE, F.lit(str(seed)), F.lit(str(block))))
@@ -164,10 +203,10 @@ def random_projection(features: DataFrame, weight: str, n_components: int = 30,
     }
     scale = n_components**-0.5
 
-    def component(number: int) -> Column:
+    def component(weight: str, number: int) -> Column:
         digit = F.substring(f"_digits_{number // DIGITS}", number % DIGITS + 1, 1)
         return F.sum(F.when(digit >= "8", F.col(weight)).otherwise(-F.col(weight))) * F.lit(scale)
 
     return features.withColumns(digits).groupBy(PERSON).agg(
-        F.array(*[component(number) for number in range(n_components)]).alias("features")
+        F.array(*[component(weight, number) for weight in columns for number in range(n_components)]).alias("features")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from dataclasses import dataclass, field
 
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carepath.constants import OUTCOME, PERSON
-from carepath.operators.splits import class_weights, group_folds
+from carepath.operators.metrics import get_scores
+from carepath.operators.splits import class_weights, fold_classes, group_folds
 
 RIDGE, FOREST, BOOSTING = "ridge", "random_forests", "hist_gradient_boosting"
 
@@ -27,17 +29,26 @@ class EstimatorConfig:
     estimator_name: str
     parameters: dict[str, list] = field(default_factory=dict)
     balanced: bool = False
+    # fixed weights of the classes 0 and 1, or "prevalence": cases weigh their share, others the rest
+    class_weight: tuple[float, float] | str | None = None
+    # trees grow until their leaves are small; Spark allows no more levels than this
+    max_depth: int = 30
+    max_iter: int = 100
+    max_bins: int = 255
 
     def build(self, seed: int = 0) -> Estimator:
         columns = {"featuresCol": "features", "labelCol": OUTCOME}
         if self.estimator_name == RIDGE:
             # L2 only; C of the usual notation is 1 / (regParam × rows)
-            return LogisticRegression(weightCol="weight", elasticNetParam=0.0, maxIter=100, **columns)
+            return LogisticRegression(weightCol="weight", elasticNetParam=0.0, maxIter=self.max_iter, **columns)
         if self.estimator_name == FOREST:
-            return RandomForestClassifier(seed=seed, maxMemoryInMB=1024, **columns)
+            return RandomForestClassifier(seed=seed, maxMemoryInMB=1024, weightCol="weight", maxDepth=self.max_depth,
+                                          maxBins=self.max_bins, **columns)
         if self.estimator_name == BOOSTING:
+            # rounds stop when the held-out error no longer gets smaller
             return GBTClassifier(seed=seed, validationIndicatorCol="is_validation", weightCol="weight",
-                                 maxMemoryInMB=1024, **columns)
+                                 maxMemoryInMB=1024, maxIter=self.max_iter, maxBins=self.max_bins,
+                                 validationTol=1e-7, **columns)
         raise ValueError(f"unknown estimator {self.estimator_name}")
 
 
@@ -52,7 +63,11 @@ ESTIMATORS = {
 
 
 def _depth_for_leaves(leaves: int) -> int:
-    return max(1, (leaves - 1).bit_length())
+    """Levels of a balanced tree with about so many leaves: 10, 20, 30 and 50 leaves are 3, 4, 5 and 6 levels.
+
+    Spark's trees grow level by level and have no limit of leaves.
+    """
+    return max(1, round(math.log2(leaves)))
 
 
 def draw_parameters(config: EstimatorConfig, n_iter: int, seed: int = 0) -> list[dict]:
@@ -78,7 +93,13 @@ def with_features(person: DataFrame, features: DataFrame) -> DataFrame:
 
 def prepare_training(person: DataFrame, config: EstimatorConfig, seed: int = 0, validation: float = 0.1) -> DataFrame:
     """Add the weight of each row and, for boosting, the rows that stop it early."""
-    rows = class_weights(person, balanced=True) if config.balanced else person.withColumn("weight", F.lit(1.0))
+    if config.balanced:
+        rows = class_weights(person, balanced=True)
+    elif config.class_weight == "prevalence":
+        rows = class_weights(person)
+    else:
+        other, case = config.class_weight or (1.0, 1.0)
+        rows = person.withColumn("weight", F.when(F.col(OUTCOME) == 1, float(case)).otherwise(float(other)))
     drawn = F.pmod(F.xxhash64(PERSON, F.lit(seed)), F.lit(1000)) < int(validation * 1000)
     return rows.withColumn("is_validation", drawn)
 
@@ -96,9 +117,28 @@ def fit(person: DataFrame, config: EstimatorConfig, parameters: dict | None = No
 
 @dataclass
 class SearchResult:
+    """The refitted model, its point, the scores of all points and the number of folds that could be scored."""
+
     model: Model
     best: dict
     scores: list[tuple[dict, float]]
+    n_splits: int
+
+
+METRICS = {"roc_auc": "areaUnderROC", "average_precision": "areaUnderPR"}
+
+
+def scorable_folds(rows: DataFrame, group: str, n_splits: int) -> tuple[DataFrame, int]:
+    """Folds by group, as many as ``n_splits`` or the most with both classes in each of them.
+
+    A fold with one class has no AUC. Fewer groups than folds, or rare cases, leave such folds.
+    """
+    for n in range(n_splits, 1, -1):
+        folds = group_folds(rows, group, n)
+        classes = fold_classes(folds).collect()
+        if len(classes) == n and not any(row["one_class"] for row in classes):
+            return folds, n
+    raise ValueError(f"no two folds by {group} have both classes")
 
 
 def random_search(
@@ -110,28 +150,31 @@ def random_search(
     n_splits: int = 5,
     group: str = "first_care_site_id",
     parallelism: int = 4,
+    points: list[dict] | None = None,
 ) -> SearchResult:
     """Cross-validated random search with hospitals kept whole in a fold.
 
-    The prepared rows are kept once for all folds and points; the points run side by side.
+    ``points`` are drawn from the grid of the estimator unless given. The prepared rows are kept once for all
+    folds and points; the points run side by side.
     """
     estimator = config.build(seed)
-    points = draw_parameters(config, n_iter, seed)
-    metric = {"roc_auc": "areaUnderROC", "average_precision": "areaUnderPR"}[scoring]
-    rows = group_folds(prepare_training(person, config, seed), group, n_splits)
+    points = draw_parameters(config, n_iter, seed) if points is None else points
+    rows, n_splits = scorable_folds(prepare_training(person, config, seed), group, n_splits)
     rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-    search = CrossValidator(
-        estimator=estimator,
-        estimatorParamMaps=[_param_map(estimator, p) for p in points] or ParamGridBuilder().build(),
-        evaluator=BinaryClassificationEvaluator(labelCol=OUTCOME, metricName=metric),
-        foldCol="fold",
-        numFolds=n_splits,
-        parallelism=parallelism,
-        seed=seed,
-    ).fit(rows)
-    rows.unpersist()
+    try:
+        search = CrossValidator(
+            estimator=estimator,
+            estimatorParamMaps=[_param_map(estimator, p) for p in points] or ParamGridBuilder().build(),
+            evaluator=BinaryClassificationEvaluator(labelCol=OUTCOME, metricName=METRICS[scoring]),
+            foldCol="fold",
+            numFolds=n_splits,
+            parallelism=parallelism,
+            seed=seed,
+        ).fit(rows)
+    finally:
+        rows.unpersist()
     best = max(range(len(points)), key=lambda i: search.avgMetrics[i])
-    return SearchResult(search.bestModel, points[best], list(zip(points, search.avgMetrics)))
+    return SearchResult(search.bestModel, points[best], list(zip(points, search.avgMetrics)), n_splits)
 
 
 def fit_multilabel(
@@ -139,12 +182,56 @@ def fit_multilabel(
 ) -> dict[str, Model]:
     """One binary model per label, on one kept table of features."""
     rows = person.persist(StorageLevel.MEMORY_AND_DISK)
-    models = {}
-    for label in classes:
-        one = rows.withColumn(OUTCOME, F.array_contains(OUTCOME, label).cast("int"))
-        models[label] = fit(one, config, parameters, seed)
-    rows.unpersist()
-    return models
+    try:
+        return {label: fit(_one_label(rows, label), config, parameters, seed) for label in classes}
+    finally:
+        rows.unpersist()
+
+
+def _one_label(person: DataFrame, label: str) -> DataFrame:
+    return person.withColumn(OUTCOME, F.array_contains(OUTCOME, label).cast("int"))
+
+
+def search_multilabel(
+    person: DataFrame,
+    config: EstimatorConfig,
+    classes: list[str],
+    points: list[dict],
+    scoring: str = "roc_auc",
+    seed: int = 0,
+    n_splits: int = 5,
+    group: str = "first_care_site_id",
+) -> tuple[dict[str, Model], dict, list[tuple[dict, float]], int]:
+    """Models of the best point: the one with the best mean score over labels and folds.
+
+    All labels share the folds of a point. A label with one class in a part of a fold is left out of that
+    fold's mean; labels without any score do not count. Returns models, point, scores, folds.
+    """
+    folds = group_folds(person, group, n_splits).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        present = [F.count_if(F.array_contains(OUTCOME, c)).alias(c) for c in classes]
+        cases = {row["fold"]: row for row in folds.groupBy("fold").agg(F.count("*").alias("n"), *present).collect()}
+        scores = []
+        for point in points:
+            found = []
+            for fold in sorted(cases):
+                rest = [row for other, row in cases.items() if other != fold]
+                labels = [
+                    c for c in classes
+                    if 0 < cases[fold][c] < cases[fold]["n"] and 0 < sum(row[c] for row in rest) < sum(row["n"] for row in rest)
+                ]
+                if not labels:
+                    continue
+                train = folds.filter(F.col("fold") != fold).drop("fold")
+                fitted = {c: fit(_one_label(train, c), config, point, seed) for c in labels}
+                rows = predict_multilabel(fitted, folds.filter(F.col("fold") == fold))
+                name = {"roc_auc": "roc_auc_score", "average_precision": "average_precision_score"}[scoring]
+                found += [row[name] for row in get_scores(rows, "class").collect()]
+            scores.append((point, sum(found) / len(found) if found else float("nan")))
+    finally:
+        folds.unpersist()
+    best = max(scores, key=lambda s: -math.inf if math.isnan(s[1]) else s[1])[0]
+    return fit_multilabel(person, config, classes, best, seed), best, scores, len(cases)
 
 
 def predict_multilabel(models: dict[str, Model], person: DataFrame) -> DataFrame:

@@ -1,56 +1,88 @@
 """Ordered scans (previous value, running sum, next point) that survive a hot key.
 
-A window sorts one key in one task. A key with very many rows is therefore cut into
-chunks of one calendar day: the window runs inside a chunk, and a chunk gets what it needs from
-the chunks before it through a summary of one row per chunk. Other keys are one chunk, and
-tables without any hot key get plain windows.
+A window sorts one key in one task. A key with very many rows, the null key included, is therefore cut into
+chunks of time: the window runs inside a chunk, and a chunk gets what it needs from
+the chunks before it through a summary of one row per chunk. Chunks are days, and hours or seconds where a day, or an hour,
+is still too large. Other keys are one chunk, and tables without any hot key get plain windows.
+
+Rows of a hot key at one and the same microsecond, or without a time, stay in one chunk: their order is that of the
+other sort columns, which have no cells to cut at.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 100_000
 CHUNK = "_chunk"
+WHOLE = -(1 << 62)  # chunk of the keys that are not cut: before all others
+NO_TIME = WHOLE + 1  # rows without a time sort first
+MICROSECONDS = {"day": 86_400_000_000, "second": 1_000_000, "microsecond": 1}
+
+
+def _micros(time: str) -> Column:
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(time).cast("timestamp_ntz"))
+
+
+def _floor(time: str, unit: str) -> Column:
+    """Start of the unit a time is in, in microseconds."""
+    micros = _micros(time)
+    return micros - F.pmod(micros, F.lit(MICROSECONDS[unit]))
 
 
-def _whole_key() -> Column:
-    """Chunk of the keys that are not cut: a day before all others."""
-    return F.to_date(F.lit("0001-01-01"))
+def _same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[f"{n}_hot"]) for n in names])
+
+
+def _marked(df: DataFrame, counted: DataFrame, names: list[str], hot_rows: int, mark: str) -> DataFrame | None:
+    """``df`` with a mark on the rows whose ``names`` are those of more than ``hot_rows`` rows; None without any."""
+    hot = counted.groupBy(*names).count().filter(F.col("count") > hot_rows).select(*names)
+    found = hot.limit(MAX_HOT_KEYS + 1).collect()
+    if not found:
+        return None
+    if len(found) <= MAX_HOT_KEYS:
+        hot = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
+    hot = hot.withColumnsRenamed({n: f"{n}_hot" for n in names}).withColumn(mark, F.lit(True))
+    return df.join(hot, _same(df, hot, names), "left").drop(*[f"{n}_hot" for n in names])
 
 
 def with_chunks(
     df: DataFrame, keys: list[str], time: str, hot_rows: int = HOT_ROWS, counted: DataFrame | None = None
 ) -> DataFrame:
-    """Add the chunk of each row if some key is hot: its day for hot keys, a constant for others.
+    """Add the chunk of each row if some key is hot: a unit of its time for hot keys, a constant for others.
 
     Hot keys are looked for first, by a count with map-side partial sums. Usually there are none,
     then the rows stay as they are and the scans below are plain windows. There are at most
     ``rows / hot_rows`` hot keys, a thousand per billion rows with the default. ``counted`` is a
-    table with at least the rows of ``df``, where it is cheaper to count.
+    table with at least the rows of ``df``, where it is cheaper to count. Only where a unit of a hot key
+    is itself hot are smaller units looked at.
     """
-    hot = (df if counted is None else counted).groupBy(*keys).count().filter(F.col("count") > hot_rows).select(*keys)
-    found = hot.limit(MAX_HOT_KEYS + 1).collect()
-    if not found:
+    marked = _marked(df, df if counted is None else counted, keys, hot_rows, "_hot")
+    if marked is None:
         return df
-    if len(found) <= MAX_HOT_KEYS:
-        hot = F.broadcast(df.sparkSession.createDataFrame(found, hot.schema))
-    return (
-        df.join(hot.withColumn("_hot", F.lit(True)), keys, "left")
-        # rows without a time sort first, so their chunk comes before all days
-        .withColumn(
-            CHUNK,
-            F.when(F.col("_hot"), F.coalesce(F.col(time).cast("date"), F.to_date(F.lit("0001-01-02"))))
-            .otherwise(_whole_key()),
-        )
-        .drop("_hot")
-    )
+    unit = F.coalesce(_floor(time, "day"), F.lit(NO_TIME))
+    chunked = marked.withColumn(CHUNK, F.when(F.col("_hot"), unit).otherwise(F.lit(WHOLE))).drop("_hot")
+    for smaller in ("second", "microsecond"):
+        finer = _marked(chunked, _hot_only(chunked).filter(F.col(time).isNotNull()), [*keys, CHUNK], hot_rows, "_finer")
+        if finer is None:
+            break
+        chunked = finer.withColumn(CHUNK, F.when(F.col("_finer"), _floor(time, smaller)).otherwise(F.col(CHUNK))).drop("_finer")
+    return chunked
 
 
 def _hot_only(df: DataFrame) -> DataFrame:
-    return df.filter(F.col(CHUNK) != _whole_key())
+    return df.filter(F.col(CHUNK) != WHOLE)
+
+
+def _carry(df: DataFrame, carried: DataFrame, keys: list[str]) -> DataFrame:
+    """Join what a chunk gets from the ones before it; null keys meet too."""
+    names = [*keys, CHUNK]
+    side = carried.withColumnsRenamed({n: f"{n}_hot" for n in names})
+    return df.join(side, _same(df, side, names), "left").drop(*[f"{n}_hot" for n in names])
 
 
 def _parts(df: DataFrame, keys: list[str]) -> list[str]:
@@ -71,10 +103,9 @@ def previous_value(
         .agg(F.max_by(value, F.struct(*order)).alias("_last"))
         .select(*keys, CHUNK, F.lag("_last").over(days).alias("_carried"))
     )
+    ranked = df.withColumn("_rank", F.row_number().over(inside)).withColumn(name, F.lag(value).over(inside))
     return (
-        df.withColumn("_rank", F.row_number().over(inside))
-        .withColumn(name, F.lag(value).over(inside))
-        .join(carried, [*keys, CHUNK], "left")
+        _carry(ranked, carried, keys)
         .withColumn(name, F.when(F.col("_rank") == 1, F.col("_carried")).otherwise(F.col(name)))
         .drop("_rank", "_carried")
     )
@@ -97,8 +128,7 @@ def running_sum(
         .select(*keys, CHUNK, F.sum("_total").over(earlier).alias("_carried"))
     )
     return (
-        df.withColumn(name, F.sum(value).over(inside))
-        .join(carried, [*keys, CHUNK], "left")
+        _carry(df.withColumn(name, F.sum(value).over(inside)), carried, keys)
         .withColumn(name, F.col(name) + F.coalesce(F.col("_carried"), F.lit(0)))
         .drop("_carried")
     )
@@ -141,7 +171,4 @@ def next_point(
         .agg(F.min(point).alias("_first"))
         .select(key, CHUNK, F.last("_first", ignorenulls=True).over(later).alias("_carried"))
     )
-    return (
-        seen.join(carried, [key, CHUNK], "left")
-        .select("_row.*", F.coalesce(name, "_carried").alias(name))
-    )
+    return _carry(seen, carried, [key]).select("_row.*", F.coalesce(name, "_carried").alias(name))

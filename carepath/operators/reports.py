@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carepath.constants import (
@@ -22,6 +22,7 @@ from carepath.functions.dates import add_age, exact_days_between
 from carepath.functions.sizes import small_side
 from carepath.operators.events import build_vocabulary
 from carepath.operators.metrics import get_prognosis_prevalence
+from carepath.session import materialise
 
 
 def quantiles(column, probabilities: list[float]):
@@ -130,18 +131,68 @@ def detail_consistency(visit_detail: DataFrame, kinds: tuple[str, str] = ("MOUV"
     )
 
 
+def quantiles_in_cells(df: DataFrame, value: Column, cell: Column, probabilities: list[float], by: str) -> DataFrame:
+    """Exact quantiles, linear between ranks, of each group: ``by, _p, quantile``.
+
+    Rows are counted in cells (an order-preserving whole number), and only the rows of the cells that hold a wanted rank are
+    sorted, so what is kept in memory is one counter per cell.
+    """
+    known = df.select(F.col(by).alias("_by"), value.alias("_value"), cell.alias("_cell")).filter("_value is not null")
+    running = Window.partitionBy("_by").orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)
+    cells = (
+        known.groupBy("_by", "_cell")
+        .agg(F.count("*").alias("_rows"))
+        .withColumn("_until", F.sum("_rows").over(running))
+        .withColumn("_total", F.sum("_rows").over(Window.partitionBy("_by")))
+    )
+    wanted = cells.withColumn("_p", F.explode(F.array(*[F.lit(float(p)) for p in probabilities]))).withColumn(
+        "_place", F.col("_p") * (F.col("_total") - 1)
+    )
+    ranks = F.array_distinct(F.array(F.floor("_place"), F.ceil("_place")))
+    wanted = wanted.withColumn("_rank", F.explode(ranks)).filter(
+        (F.col("_rank") < F.col("_until")) & (F.col("_rank") >= F.col("_until") - F.col("_rows"))
+    )
+    # at most two rows per group and probability
+    wanted = materialise(
+        wanted.select(
+            F.col("_by").alias("_g"), F.col("_cell").alias("_c"), "_p", "_place", "_rank",
+            (F.col("_until") - F.col("_rows")).alias("_before"),
+        ),
+        "ranks",
+    )
+    meets = F.col("_by").eqNullSafe(F.col("_g")) & (F.col("_cell") == F.col("_c"))
+    inside = Window.partitionBy("_by", "_cell").orderBy("_value")
+    sorted_rows = (
+        known.join(small_side(wanted.select("_g", "_c", "_before").distinct()), meets)
+        .withColumn("_at", F.col("_before") + F.row_number().over(inside) - 1)
+        .select(F.col("_by").alias("_b"), "_at", "_value")
+    )
+    share = F.when(F.col("_rank") == F.floor("_place"), 1 - (F.col("_place") - F.floor("_place"))).otherwise(
+        F.col("_place") - F.floor("_place")
+    )
+    return (
+        sorted_rows.join(small_side(wanted), F.col("_b").eqNullSafe(F.col("_g")) & (F.col("_at") == F.col("_rank")))
+        .groupBy(F.col("_b").alias(by), "_p")
+        .agg(F.sum(F.col("_value") * share).alias("quantile"))
+    )
+
+
 def delay_quantiles(
     df: DataFrame, begin: str, end: str, probabilities: list[float], by: str | None = None
 ) -> DataFrame:
-    """Quantiles, in days, of the delay between two datetimes."""
+    """Quantiles, in days, of the delay between two datetimes; cells are whole days."""
     delay = exact_days_between(begin, end)
-    known = df.filter(F.col(begin).isNotNull() & F.col(end).isNotNull())
-    grouped = known.groupBy(by) if by else known.groupBy()
-    summary = grouped.agg(
-        F.count("*").alias("n"), F.avg(delay).alias("mean"), quantiles(delay, probabilities).alias("_q")
-    )
-    names = [F.col("_q")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(probabilities)]
-    return summary.select(*([by] if by else []), "n", "mean", *names)
+    group = by or "_all"
+    known = df if by else df.withColumn(group, F.lit(0))
+    known = known.filter(F.col(begin).isNotNull() & F.col(end).isNotNull())
+    known = materialise(known.select(group, delay.alias("_delay")), "delays")
+    summary = known.groupBy(group).agg(F.count("*").alias("n"), F.avg("_delay").alias("mean"))
+    found = quantiles_in_cells(known, F.col("_delay"), F.floor("_delay"), probabilities, group)
+    columns = [F.max(F.when(F.col("_p") == p, F.col("quantile"))).alias(f"p{round(100 * p)}") for p in probabilities]
+    wide = found.groupBy(F.col(group).alias("_of")).agg(*columns)
+    names = [f"p{round(100 * p)}" for p in probabilities]
+    joined = summary.join(wide, F.col(group).eqNullSafe(F.col("_of")))
+    return joined.select(*([by] if by else []), "n", "mean", *names)
 
 
 def split_summary(target: DataFrame, dataset_split: DataFrame) -> DataFrame:

@@ -106,7 +106,7 @@ def top_prevalence(runs: DataFrame, prefix: str = "test_prevalence_", threshold:
     means = runs.agg(*[F.avg(name).alias(name) for name in names])
     return (
         means.unpivot([], names, "class", "prevalence")
-        .withColumn("class", F.substring("class", len(prefix) + 1, 200))
+        .withColumn("class", F.substr("class", F.lit(len(prefix) + 1)))
         .filter(F.col("prevalence") >= threshold)
     )
 

@@ -125,39 +125,28 @@ def event_train_test_split(
     )
 
 
+MAX_GROUPS = 100_000
+
+
 def group_folds(
-    df: DataFrame, group: str = "first_care_site_id", n_splits: int = 5, name: str = "fold"
+    df: DataFrame, group: str = "first_care_site_id", n_splits: int = 5, name: str = "fold", most: int = MAX_GROUPS
 ) -> DataFrame:
     """Fold of each row such that a group is in one fold and folds have close sizes.
 
-    Groups, from the largest to the smallest, go to the fold with the fewest rows so far. This
-    runs on one array of (size, group), with one entry per hospital and not per row.
+    Groups, from the largest to the smallest, go to the fold with the fewest rows so far. The table of group sizes comes
+    to the driver; more than ``most`` groups are an error, since folds by group are meant for sites, not for persons.
     """
     filled = df.withColumn(group, F.coalesce(F.col(group).cast("string"), F.lit(UNKNOWN_HOSPITAL)))
-    sizes = filled.groupBy(group).agg(F.count("*").alias("n"))
-    largest_first = sizes.agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col(group).alias("group")))).alias("groups")
-    )
-    empty = F.struct(
-        F.array_repeat(F.lit(0).cast("long"), n_splits).alias("loads"),
-        F.array().cast("array<struct<group:string,fold:int>>").alias("folds"),
-    )
-
-    def assign(state, item):
-        lightest = (F.array_position(state["loads"], F.array_min(state["loads"])) - 1).cast("int")
-        loads = F.transform(
-            state["loads"], lambda load, i: F.when(i == lightest, load - item["n"]).otherwise(load)
-        )
-        entry = F.struct(item["group"].alias("group"), lightest.alias("fold"))
-        return F.struct(loads.alias("loads"), F.concat(state["folds"], F.array(entry)).alias("folds"))
-
-    folds = (
-        largest_first.select(F.aggregate("groups", empty, assign)["folds"].alias("folds"))
-        .select(F.explode("folds").alias("_fold"))
-        .select(F.col("_fold.group").alias(group), F.col("_fold.fold").alias(name))
-    )
-    # folds come out of one array, so they are small enough to send to every task
-    return filled.join(F.broadcast(folds), group)
+    sizes = filled.groupBy(group).agg(F.count("*").alias("n")).orderBy(F.desc("n"), group).limit(most + 1).collect()
+    if len(sizes) > most:
+        raise ValueError(f"more than {most} groups in {group}")
+    loads, rows = [0] * n_splits, []
+    for row in sizes:
+        lightest = loads.index(min(loads))
+        loads[lightest] += row["n"]
+        rows.append((row[group], lightest))
+    folds = df.sparkSession.createDataFrame(rows, f"{group} string, {name} int")
+    return filled.join(F.broadcast(folds), group)  # at most ``most`` rows
 
 
 def fold_classes(folds: DataFrame, name: str = "fold") -> DataFrame:

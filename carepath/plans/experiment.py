@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import product
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carepath.constants import INCLUSION_START, OUTCOME, PERSON
+from carepath.constants import ICD10_CHAPTERS, INCLUSION_START, OUTCOME, PERSON
 from carepath.functions.dates import add_age, get_date_details
 from carepath.operators.embeddings import count_svd, embed_codes
 from carepath.operators.events import build_vocabulary, keep_persons_with_events, restrict_to_vocabulary
@@ -21,6 +21,7 @@ from carepath.operators.features import (
     demographics_pipeline,
     embedding_features,
     index_codes,
+    last_diagnosis_features,
     random_projection,
 )
 from carepath.operators.metrics import (
@@ -32,12 +33,13 @@ from carepath.operators.metrics import (
 from carepath.operators.models import (
     EstimatorConfig,
     draw_parameters,
-    fit_multilabel,
     predict,
     predict_multilabel,
     random_search,
+    search_multilabel,
     with_features,
 )
+from carepath.operators.runs import DECAY_COLUMN
 from carepath.operators.splits import compute_person_subsample, person_split
 from carepath.operators.tasks import NaivePrognosisBaseline, label_scores
 from carepath.session import materialise
@@ -63,7 +65,8 @@ class ExperimentConfig:
     featurizers: list[str]
     subtrain_sizes: list[float] = (1.0,)
     seeds: list[int] = (0,)
-    decays: list[float] = (0,)
+    # lists of decays to choose from; the search draws one with the parameters of the estimator
+    decays: list[list[float]] = ((0,),)
     n_min_events: int = 10
     n_iter: int = 10
     scoring: str = "roc_auc"
@@ -75,6 +78,12 @@ class ExperimentConfig:
     validation_size: float | None = None
     static_categorical: list[str] = ()
     static_numerical: list[str] = ()
+    # chapters of past diagnoses as further inputs
+    past_chapters: bool = False
+
+    @property
+    def n_demographics(self) -> int:
+        return len(self.static_categorical) + len(self.static_numerical) + self.past_chapters * len(ICD10_CHAPTERS)
 
 
 def add_static_features(person: DataFrame) -> DataFrame:
@@ -89,22 +98,23 @@ def build_features(
     event: DataFrame,
     train: DataFrame,
     embeddings: DataFrame | None = None,
+    decays: list[float] = (0,),
 ) -> DataFrame:
-    """Features of every person; what is learnt (embeddings, SVD) is learnt on train persons."""
-    weights = [decay_name(decay) for decay in config.decays]
+    """Features of every person, one block per decay; what is learnt (embeddings, SVD) is learnt on train persons."""
+    weights = [decay_name(decay) for decay in decays]
     if name == LOCAL_EMBEDDINGS:
         train_event = event.join(train.select(PERSON), PERSON, "left_semi")
-        embeddings = embed_codes(train_event, config.window_radius_in_days, config.d)
+        embeddings = materialise(embed_codes(train_event, config.window_radius_in_days, config.d), "embeddings")
     if name in (LOCAL_EMBEDDINGS, GIVEN_EMBEDDINGS):
         dimension = len(embeddings.first()["embedding"])
-        return embedding_features(event, embeddings, dimension, config.decays)
-    counts = decayed_features(event, config.decays)
+        return embedding_features(event, embeddings, dimension, decays)
+    counts = decayed_features(event, decays)
     if name == COUNTS:
         return count_vectors(counts, index_codes(event.select("event_source_concept_id")), weights)
     if name == COUNTS_SVD:
-        return count_svd(counts, weights[0], config.d)
+        return count_svd(counts, weights, config.d, train)
     if name == COUNTS_PROJECTION:
-        return random_projection(counts, weights[0], config.d)
+        return random_projection(counts, weights, config.d)
     raise ValueError(f"unknown featurizer {name}")
 
 
@@ -115,7 +125,8 @@ def assemble(
 
     Categories, means and deviations of static features come from the train persons.
     """
-    statics = [*config.static_categorical, *config.static_numerical]
+    chapters = [f"c_{c}" for c in ICD10_CHAPTERS] if config.past_chapters else []
+    statics = [*config.static_categorical, *config.static_numerical, *chapters]
     if not statics and features is None:
         raise ValueError(f"{name} needs static features")
     parts = [train, *others]
@@ -124,7 +135,7 @@ def assemble(
     if not statics:
         return parts
     model = demographics_pipeline(
-        list(config.static_categorical), list(config.static_numerical), output="statics"
+        list(config.static_categorical), list(config.static_numerical), chapters, output="statics"
     ).fit(parts[0])
     inputs = ["statics"] if features is None else ["features", "statics"]
     joined = VectorAssembler(inputCols=inputs, outputCol="_all")
@@ -140,14 +151,67 @@ def _described(rows: DataFrame) -> dict:
     ).first().asDict()
 
 
-def _prepare(person: DataFrame, event: DataFrame, dataset_split: DataFrame, n_min_events: int):
-    """Events of frequent codes, and the persons having some, in train and in test."""
-    event = materialise(restrict_to_vocabulary(event, build_vocabulary(event, n_min_events)), "event")
-    persons = add_static_features(keep_persons_with_events(person, event)).join(
+def _prepare(person: DataFrame, event: DataFrame, dataset_split: DataFrame, config: ExperimentConfig, icd10_tree=None):
+    """Events of frequent codes, the persons having some in train and in test, and sizes for the run records."""
+    vocabulary = materialise(build_vocabulary(event, config.n_min_events), "vocabulary")
+    kept = materialise(restrict_to_vocabulary(event, vocabulary), "event")
+    persons = add_static_features(keep_persons_with_events(person, kept)).join(
         dataset_split.select(PERSON, "dataset"), PERSON
     )
+    if config.past_chapters:
+        past = NaivePrognosisBaseline(event, icd10_tree).predict(persons)
+        persons = persons.join(last_diagnosis_features(past, list(ICD10_CHAPTERS)), PERSON)
     persons = materialise(persons, "person")
-    return event, persons.filter("dataset = 'train'"), persons.filter("dataset = 'external_test'")
+    sizes = {
+        "n_person_raw": person.count(),
+        "n_event_raw": event.count(),
+        "n_codes_raw": event.select("event_source_concept_id").distinct().count(),
+        "n_codes_featurizer": vocabulary.count(),
+        "n_min_events": config.n_min_events,
+        "n_demographics": config.n_demographics,
+    }
+    return kept, persons.filter("dataset = 'train'"), persons.filter("dataset = 'external_test'"), sizes
+
+
+def joint_points(name: str, estimator: EstimatorConfig, config: ExperimentConfig) -> dict[tuple, list[dict]]:
+    """Drawn points by their decays: decays and parameters of the estimator are searched together."""
+    decays = [tuple(d) for d in config.decays] if name != DEMOGRAPHICS else [()]
+    joint = replace(estimator, parameters={**estimator.parameters, "decays": decays})
+    points: dict[tuple, list[dict]] = {}
+    for point in draw_parameters(joint, config.n_iter, config.search_seed):
+        points.setdefault(point["decays"], []).append({k: v for k, v in point.items() if k != "decays"})
+    return points
+
+
+class Parts:
+    """Rows of each part with their features, written once for each list of decays."""
+
+    def __init__(self, name, config, event, train, others: dict[str, DataFrame], embeddings):
+        self.arguments = name, config, event, train, others, embeddings
+        self.written: dict[tuple, dict[str, DataFrame]] = {}
+        self.seconds = 0.0
+
+    def of(self, decays: tuple) -> dict[str, DataFrame]:
+        if decays not in self.written:
+            name, config, event, train, others, embeddings = self.arguments
+            started = time.monotonic()
+            features = None if name == DEMOGRAPHICS else build_features(name, config, event, train, embeddings, decays)
+            rows = assemble(name, config, train, list(others.values()), features)
+            self.written[decays] = {part: materialise(r, part) for part, r in zip(["train", *others], rows)}
+            self.seconds += time.monotonic() - started
+        return self.written[decays]
+
+
+def _common(name: str, estimator: EstimatorConfig, size: float, seed: int, decays: tuple, best: dict) -> dict:
+    """Fields of the records of both grids, under the names that the run tables read."""
+    return {
+        "estimator": estimator.estimator_name,
+        "featurizer": name,
+        "subtrain_size": float(size),
+        "splitting_rs": seed,
+        DECAY_COLUMN: str(list(decays)) if decays else None,
+        "pipeline_best_params_estimator": str(best),
+    }
 
 
 def run_grid(
@@ -156,54 +220,62 @@ def run_grid(
     dataset_split: DataFrame,
     config: ExperimentConfig,
     embeddings: DataFrame | None = None,
+    icd10_tree: DataFrame | None = None,
 ) -> list[dict]:
     """Run every combination on a binary outcome and return its record: parameters, sizes,
     prevalences, scores.
 
-    The features of a (featurizer, seed, size) are written once for its estimators.
+    Decays are searched with the parameters of the estimator. The features of a (featurizer, seed, size, decays) are
+    written once for its estimators.
     """
-    event, train_all, test = _prepare(person, event, dataset_split, config.n_min_events)
+    event, train_all, test, sizes = _prepare(person, event, dataset_split, config, icd10_tree)
     records = []
     for name, seed, size in product(config.featurizers, config.seeds, config.subtrain_sizes):
-        parts = {"test": test}
+        others = {"test": test}
         train = train_all
         if config.validation_size is not None:
-            parts["validation"] = compute_person_subsample(train_all, config.validation_size, None, seed)
-            train = train_all.join(parts["validation"].select(PERSON), PERSON, "left_anti")
-        train = compute_person_subsample(train, size, config.positive_ratio, seed)
-        started = time.monotonic()
-        features = None if name == DEMOGRAPHICS else build_features(name, config, event, train, embeddings)
-        assembled = assemble(name, config, train, list(parts.values()), features)
-        written = {part: materialise(rows, part) for part, rows in zip(["train", *parts], assembled)}
-        described = {part: _described(rows) for part, rows in written.items()}
-        feature_seconds = time.monotonic() - started
-        for estimator in config.estimators:
-            started = time.monotonic()
-            search = random_search(
-                written["train"], estimator, config.n_iter, config.scoring, config.search_seed, config.n_splits
+            others["validation"] = materialise(
+                compute_person_subsample(train_all, config.validation_size, None, seed), "validation"
             )
+            train = train_all.join(others["validation"].select(PERSON), PERSON, "left_anti")
+        train = materialise(compute_person_subsample(train, size, config.positive_ratio, seed), "train")
+        parts = Parts(name, config, event, train, others, embeddings)
+        for estimator in config.estimators:
+            if config.positive_ratio is not None:
+                estimator = replace(estimator, class_weight="prevalence", balanced=False)
+            started, before = time.monotonic(), parts.seconds
+            searches = {
+                decays: random_search(
+                    parts.of(decays)["train"], estimator, config.n_iter, config.scoring, config.search_seed,
+                    config.n_splits, points=points,
+                )
+                for decays, points in joint_points(name, estimator, config).items()
+            }
+            decays = max(searches, key=lambda d: max(score for _, score in searches[d].scores))
+            search, written = searches[decays], parts.of(decays)
             record = {
-                "estimator": estimator.estimator_name,
-                "featurizer": name,
-                "subtrain_size": float(size),
-                "splitting_rs": seed,
-                "n_min_events": config.n_min_events,
-                "n_demographics": len(config.static_categorical) + len(config.static_numerical),
-                "decay": str(list(config.decays)),
-                "best_parameters": str(search.best),
-                "n_person_subtrain": described["train"]["n"],
+                **_common(name, estimator, size, seed, decays, search.best), **sizes, "n_folds": search.n_splits,
+                "positive_ratio": config.positive_ratio,
             }
             for part, rows in written.items():
                 prefix = "" if part == "test" else f"{part}_"
+                described = _described(rows)
                 scores = get_binary_scores(predict(search.model, rows)).first().asDict()
                 record |= {f"{prefix}{key}": value for key, value in scores.items()}
-                record[f"n_person_{part}"] = described[part]["n"]
-                record[f"{part}_prevalence"] = described[part]["prevalence"]
-            record["compute_time"] = feature_seconds + time.monotonic() - started
+                record[f"n_person_{part}"] = described["n"]
+                record[f"{part}_prevalence"] = described["prevalence"]
+            record["n_person_subtrain"] = record["n_person_train"]
+            # features made for an estimator before this one count for this one too
+            record["compute_time"] = time.monotonic() - started + before
             records.append(record)
     return records
 
 
+def _prevalences(rows: DataFrame, classes: list[str], part: str) -> dict[str, float]:
+    found = {row["class"]: row["prevalence"] for row in get_prognosis_prevalence(rows).collect()}
+    return {f"{part}_prevalence_{c}": found.get(c, 0.0) for c in classes}
+
+
 def run_multilabel_grid(
     person: DataFrame,
     event: DataFrame,
@@ -215,11 +287,12 @@ def run_multilabel_grid(
 ) -> list[dict]:
     """The grid for a list of labels: one model per label, and the past diagnoses as a baseline.
 
-    Sizes are shares of all train persons, also when some of them are kept for validation.
+    Points are compared by cross-validation over all labels. Sizes are shares of all train persons, also when some of them are
+    kept for validation. The baseline sees all events, rare codes too.
     """
-    event, train_all, test = _prepare(person, event, dataset_split, config.n_min_events)
-    prevalences = {row["class"]: row["prevalence"] for row in get_prognosis_prevalence(test).collect()}
-    common = {f"test_prevalence_{c}": prevalences.get(c, 0.0) for c in classes}
+    all_events = event
+    event, train_all, test, sizes = _prepare(person, event, dataset_split, config, icd10_tree)
+    common = {**sizes, **_prevalences(test, classes, "test")}
     records = []
     for name, seed, size in product(config.featurizers, config.seeds, config.subtrain_sizes):
         train, share = train_all, float(size)
@@ -227,32 +300,35 @@ def run_multilabel_grid(
             _, train = person_split(train_all, train_size=config.validation_size, random_seed=seed)
             share = min(1.0, size * train_all.count() / train.count())
         train, _ = person_split(train, train_size=1 if share == 1.0 else share, random_seed=seed)
-        started = time.monotonic()
-        features = None if name == DEMOGRAPHICS else build_features(name, config, event, train, embeddings)
-        train_rows, test_rows = (
-            materialise(rows, "part") for rows in assemble(name, config, train, [test], features)
-        )
-        feature_seconds = time.monotonic() - started
+        parts = Parts(name, config, event, materialise(train, "train"), {"test": test}, embeddings)
         for estimator in config.estimators:
-            started = time.monotonic()
-            points = draw_parameters(estimator, 1, seed)
-            fitted = fit_multilabel(train_rows, estimator, classes, points[0], seed)
-            scores = get_scores(predict_multilabel(fitted, test_rows), "class")
+            started, before = time.monotonic(), parts.seconds
+            found = {
+                decays: search_multilabel(
+                    parts.of(decays)["train"], estimator, classes, points, config.scoring, seed, config.n_splits
+                )
+                for decays, points in joint_points(name, estimator, config).items()
+            }
+            decays = max(found, key=lambda d: max(-1.0 if score != score else score for _, score in found[d][2]))
+            fitted, best, _, n_folds = found[decays]
+            train_rows, test_rows = parts.of(decays)["train"], parts.of(decays)["test"]
+            scores = scores_as_columns(get_scores(predict_multilabel(fitted, test_rows), "class"))
+            train_scores = scores_as_columns(get_scores(predict_multilabel(fitted, train_rows), "class"))
             records.append(
                 {
-                    "estimator": estimator.estimator_name,
-                    "featurizer": name,
-                    "subtrain_size": float(size),
-                    "splitting_rs": seed,
+                    **_common(name, estimator, size, seed, decays, best),
+                    "n_folds": n_folds,
                     "n_person_subtrain": train_rows.count(),
                     "n_person_test": test_rows.count(),
-                    **scores_as_columns(scores),
+                    **scores,
+                    **{f"train_{key}": value for key, value in train_scores.items()},
                     **common,
-                    "compute_time": feature_seconds + time.monotonic() - started,
+                    **_prevalences(train_rows, classes, "train"),
+                    "compute_time": time.monotonic() - started + before,
                 }
             )
     started = time.monotonic()
-    baseline = NaivePrognosisBaseline(event, icd10_tree).predict_proba(test, classes)
+    baseline = NaivePrognosisBaseline(all_events, icd10_tree).predict_proba(test, classes)
     truth = label_scores(test, OUTCOME, classes, OUTCOME)
     rows = baseline.join(truth, [PERSON, "class"]).withColumn("p", F.col("score").cast("double"))
     records.append(

@@ -7,8 +7,11 @@ from dataclasses import dataclass, field
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from carepath.constants import (
+    ICD10_CHAPTERS,
+    OUTCOME,
     TASK_LOS_CATEGORICAL,
     TASK_MACE,
     TASK_MORTALITY,
@@ -23,10 +26,12 @@ from carepath.operators.events import (
     create_event_cohort,
     drop_outcome_visit_events,
     make_event_config,
+    sample_non_cases,
 )
+from carepath.operators.features import last_diagnosis_features
 from carepath.operators.selection import SelectedPopulation, add_criterion, select_population
-from carepath.operators.splits import split_train_test_w_inclusion_start
-from carepath.operators.tasks import create_outcome, target_chapter
+from carepath.operators.splits import split_train_test_w_hospital_ids, split_train_test_w_inclusion_start
+from carepath.operators.tasks import NaivePrognosisBaseline, create_outcome, target_chapter
 from carepath.session import materialise
 
 
@@ -54,6 +59,11 @@ class CohortConfig:
     event_tables: dict[str, EventTable] = field(default_factory=lambda: make_event_config(DEFAULT_EVENT_TABLES))
     n_min_events: int = 10
     test_size: float = 0.2
+    # leave out the events before the study
+    events_from_study_start: bool = False
+    # persons without the outcome to write next to all cases; none without a number
+    n_non_cases: int | None = None
+    hospital_names_test: tuple[str, ...] = ()
 
 
 def cohort_folder(config: CohortConfig) -> str:
@@ -82,7 +92,7 @@ PROGNOSIS_COHORT = CohortConfig(
 MACE_COHORT = CohortConfig(
     "mace", TASK_MACE, datetime(2018, 1, 1), datetime(2020, 12, 31), horizon_in_days=360, n_min_visits=2,
     with_incomplete_hospitalization=True, visits_w_billing_codes_only=True,
-    event_tables=make_event_config(I2B2_EVENT_TABLES),
+    event_tables=make_event_config(I2B2_EVENT_TABLES), events_from_study_start=True, n_non_cases=4000,
 )
 
 
@@ -95,6 +105,8 @@ class Cohort:
     event: DataFrame
     funnel: DataFrame
     steps: list[str]
+    # further tables by name: hospital split, chapters of the index stay, case-control sample
+    more: dict[str, DataFrame] = field(default_factory=dict)
 
     def write(self, folder: str) -> None:
         tables = {
@@ -104,14 +116,19 @@ class Cohort:
             "person": self.person,
             "event": self.event,
             "funnel": self.funnel,
+            **self.more,
         }
         for name, table in tables.items():
             table.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}.parquet", compression="snappy")
 
 
-def build_cohort(database, config: CohortConfig, icd10_tree: DataFrame | None = None) -> Cohort:
+def build_cohort(
+    database, config: CohortConfig, icd10_tree: DataFrame | None = None, care_sites: DataFrame | None = None
+) -> Cohort:
     """Select, define the target, split by date and gather the events of a cohort.
 
+    A split by hospital needs the hierarchy of the care sites.
+
     The population and the target feed what follows, so they are written once.
     """
     population = select_population(
@@ -126,11 +143,34 @@ def build_cohort(database, config: CohortConfig, icd10_tree: DataFrame | None =
     if config.chapter is not None:
         target = target_chapter(target, config.chapter)
     target = materialise(target, "target")
+    funnel, steps = population.funnel, list(population.steps)
+
+    def step(passing: DataFrame, name: str) -> None:
+        nonlocal funnel
+        funnel = add_criterion(funnel, passing, len(steps))
+        steps.append(name)
+
+    if config.task_name == TASK_MACE:
+        step(target, f"No MACE at index visit ({config.index_visit})")
     statics = add_statics(target, database)
     split = split_train_test_w_inclusion_start(statics, config.test_size)
-    person, event = create_event_cohort(statics, database, config.event_tables, n_min_events=config.n_min_events)
-    funnel = add_criterion(population.funnel, person, len(population.steps))
-    steps = [*population.steps, f"< {config.n_min_events} events logged"]
+    since = config.study_start if config.events_from_study_start else None
+    person, event = create_event_cohort(statics, database, config.event_tables, since, config.n_min_events)
+    step(person, f"< {config.n_min_events} events logged")
+    more = {}
     if config.task_name == TASK_PROGNOSIS:
         event = drop_outcome_visit_events(event, person)
-    return Cohort(population, target, split, person, event, funnel, steps)
+        if icd10_tree is not None:
+            chapters = NaivePrognosisBaseline(event, icd10_tree, last_visit=True).predict(person)
+            more["index_stay_chapters"] = last_diagnosis_features(chapters, list(ICD10_CHAPTERS))
+    if config.task_name == TASK_MACE:
+        step(person.filter(F.col(OUTCOME) == 1), f"MACE at {config.horizon_in_days}")
+    if config.hospital_names_test:
+        more["hospital_split"] = split_train_test_w_hospital_ids(
+            database, statics, config.study_start, config.study_end, list(config.hospital_names_test), care_sites
+        )
+    if config.n_non_cases is not None:
+        sample, sampled = sample_non_cases(person, event, split, config.n_non_cases, config.random_state)
+        more[f"person_{config.n_non_cases}_non_cases"] = sample
+        more[f"event_{config.n_non_cases}_non_cases"] = sampled
+    return Cohort(population, target, split, person, event, funnel, steps, more)

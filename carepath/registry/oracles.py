@@ -191,7 +191,7 @@ FRAGMENTS = {
     "v_mace_cohort_event": """select * from v_mace_observed where event_source_concept_id in (
         select event_source_concept_id from v_mace_observed group by 1 having count(*)>=10)""",
     "v_mace_cohort_person": "select * from v_mace where person_id in (select person_id from v_mace_cohort_event)",
-    "v_split": f"""select person_id, coalesce(cast(first_care_site_id as varchar),'8312006712.0') hospital_split,
+    "v_split": f"""select person_id, coalesce(cast(first_care_site_id as varchar),'unknown') hospital_split,
         case when epoch_us(inclusion_event_start) <= (select epoch_us(min(inclusion_event_start))
             + cast(round({_days('min(inclusion_event_start)', 'max(inclusion_event_start)')}*0.8::double*{DAY}) as bigint)
             from v_population) then 'train' else 'external_test' end dataset from v_population""",
@@ -503,7 +503,7 @@ BODIES = {
             order by md5(cast(person_id as varchar)||':5'), person_id)
             <= count(*) over () - ceil(count(*) over ()*0.3::double) then 'train' else 'test' end part from v_mace_cohort_person)
         select person_id, count(*) n_events, part from v_mace_cohort_event join s using (person_id) group by 1,3""",
-    "group_folds": """with recursive g as (select coalesce(cast(first_care_site_id as varchar),'8312006712.0') h,
+    "group_folds": """with recursive g as (select coalesce(cast(first_care_site_id as varchar),'unknown') h,
             count(*) n from v_population group by 1),
         o as (select *, row_number() over (order by n desc, h) i from g),
         a(i, h, fold, loads) as (

@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from carepath.constants import UNKNOWN_HOSPITAL
 from carepath.operators import ordered
 from carepath.operators.events import EventTable, create_event_cohort
 from carepath.operators.selection import (
@@ -189,4 +190,4 @@ def test_temporal_split(inclusion):
 
 def test_temporal_split_of_unknown_hospital(inclusion):
     unknown = inclusion.withColumn("first_care_site_id", F.lit(None).cast("string"))
-    assert split_train_test_w_inclusion_start(unknown).first()["hospital_split"] == "8312006712.0"
+    assert split_train_test_w_inclusion_start(unknown).first()["hospital_split"] == UNKNOWN_HOSPITAL
