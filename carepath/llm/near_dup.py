@@ -1,24 +1,27 @@
 """Near-duplicate documents by ProbMinHash over weighted word shingles, banding and verification.
 
-Every shingle of a text, weighted by its count, is a Poisson process that sends arrivals to random registers; a
+Every shingle of a text, weighted by ``1 + ln(count)``, is a Poisson process that sends arrivals to random registers; a
 register keeps the shingle that arrives first. Two texts agree in a register with a probability equal to the probability
-Jaccard similarity of their shingle weights. Arrivals of a shingle are drawn one after the other and stop
-when they are later than every register of the text. Registers are joined to bands; texts that share a band are candidates,
-and candidates are verified on all their shingles.
-
-No bucket is expanded into pairs. In each round a bucket has some leaders, its other members are compared with them, and a bucket is
-done when its members are one class, or every member has led. The first leader is random per bucket; later ones
-are those with the most links so far, twice as many each round, so a class around one original closes in two rounds,
-and a bucket of texts that are all unlike ends after a number of rounds that is logarithmic in its size.
+Jaccard similarity of their shingle weights, which is the Jaccard similarity of the sets if no shingle repeats. Arrivals of a
+shingle are drawn one after the other and stop when they are later than every register of the text. Registers are
+joined to bands; texts that share a band are candidates, and candidates are verified: the Jaccard similarity of all their
+shingles must reach the threshold.
+
+No bucket is expanded into pairs. First each member of a bucket is compared with one random leader, then, in buckets that are not one
+class yet, with the two members that have the most links, which closes a class around an original. What is left are
+texts that are somewhat alike. They meet by the rarest of their shingles instead: texts of given sizes can only reach the
+threshold if their first shingles, in the order of frequency, have one in common. That is exact, and only shingles
+that another class has too are looked at, so large buckets of texts that are not duplicates fall apart.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carepath.llm.common import components, fresh, narrow, text_id
@@ -50,6 +53,11 @@ def weighted_sets(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
     return values[at], np.diff(np.append(at, len(values))), np.searchsorted(of[at], np.arange(len(offsets)))
 
 
+def damped(counts: np.ndarray) -> np.ndarray:
+    """Weights of shingles: a line that is repeated a thousand times should not outweigh the rest of a text."""
+    return 1.0 + np.log(counts)
+
+
 def first_arrivals(values: np.ndarray, weights: np.ndarray, offsets: np.ndarray, registers: int) -> np.ndarray:
     """The value that arrives first at each register of each list; rows of empty lists are 0."""
     count = len(offsets) - 1
@@ -76,7 +84,7 @@ def bands_of(texts: Texts, rules: NearDup) -> tuple[np.ndarray, np.ndarray]:
     """Band hashes of each text as a flat array with offsets; a text without words has none."""
     hashes, offsets = texts.shingles(rules.words)
     values, counts, offsets = weighted_sets(hashes, offsets)
-    labels = first_arrivals(values, counts, offsets, rules.bands * rules.rows)
+    labels = first_arrivals(values, damped(counts), offsets, rules.bands * rules.rows)
     grouped = labels.reshape(-1, rules.bands, rules.rows)
     total = np.arange(rules.bands, dtype=U64) * U64(ODD)
     for j in range(rules.rows):
@@ -96,63 +104,91 @@ def banding(rules: NearDup):
 
 
 def shingling(words: int):
-    """An Arrow function from texts to their distinct shingles, ascending, and counts."""
+    """An Arrow function from texts to their distinct shingles, ascending."""
 
     def sets(column: pa.Array) -> pa.Array:
         parts = []
         for _, _, texts in blocks(column):
-            values, counts, offsets = weighted_sets(*texts.shingles(words))
-            parts.append(
-                pa.StructArray.from_arrays(
-                    [lists(values.view(np.int64), offsets), lists(counts.astype(np.int32), offsets)], names=["set", "counts"]
-                )
-            )
-        kind = pa.struct([("set", pa.list_(pa.int64())), ("counts", pa.list_(pa.int32()))])
-        return pa.concat_arrays([p.cast(kind) for p in parts]) if parts else pa.array([], kind)
+            values, _, offsets = weighted_sets(*texts.shingles(words))
+            parts.append(lists(values.view(np.int64), offsets))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int64()))
+
+    return F.arrow_udf(sets, "array<long>")
+
 
-    return F.arrow_udf(sets, "struct<set:array<long>,counts:array<int>>")
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """``a, b`` of the pairs that are similar enough; a written table."""
+    side = lambda name: sets.select(F.col("tid").alias(name), F.col("set").alias(f"set_{name}"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+    common = F.size(F.array_intersect("set_a", "set_b"))
+    sizes = F.size("set_a") + F.size("set_b")
+    return materialise(both.filter(common >= F.lit(least) * (sizes - common) - 1e-9).select("a", "b"), "links")
 
 
-def similarity(a: np.ndarray, m: np.ndarray, b: np.ndarray, n: np.ndarray) -> float:
-    """The larger of the probability Jaccard similarity of two weighted sets and the Jaccard similarity of the sets.
+def shared_parts(sets: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sizes ``tid, class, n, shared`` and entries ``tid, shingle, texts`` of the texts of ``classes`` (``tid, class``).
 
-    They are equal if no shingle repeats. A repeated line weighs by its count in the first and once in the second.
+    ``shared`` counts the shingles of a text that a text of another class has too; only those are entries. ``texts`` is the number of
+    texts that have a shingle. A text that has none is left out.
     """
-    common, at, bt = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if not len(common):
-        return 0.0
-    sets = len(common) / (len(a) + len(b) - len(common))
-    if m.max() == 1 == n.max():
-        return sets
-    # sum over common d of 1 / sum over all e of max(m[e] / m[d], n[e] / n[d]); the left term is the larger
-    # where m[e] / n[e] >= m[d] / n[d], so the sums are running sums in the order of that ratio
-    x, y = m[at].astype(float), n[bt].astype(float)
-    order = np.argsort(x / y, kind="stable")
-    x, y = x[order], y[order]
-    ratio = x / y
-    begin = np.searchsorted(ratio, ratio, "left")
-    low = np.concatenate([[0], np.cumsum(y)])[begin] + (n.sum() - y.sum())  # only in b: ratio 0
-    high = x.sum() - np.concatenate([[0], np.cumsum(x)])[begin] + (m.sum() - x.sum())
-    return max(sets, float((1 / (high / x + low / y)).sum()))
-
-
-def comparing():
-    """An Arrow function of two weighted sets: their similarity."""
-
-    def compare(a: pa.Array, m: pa.Array, b: pa.Array, n: pa.Array) -> pa.Array:
-        flat = [x.flatten().to_numpy(zero_copy_only=False) for x in (a, m, b, n)]
-        ends = [np.concatenate([[0], np.cumsum(x.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64) for x in (a, m, b, n)]
-        return pa.array([similarity(*(f[e[i] : e[i + 1]] for f, e in zip(flat, ends))) for i in range(len(a))], pa.float64())
-
-    return F.arrow_udf(compare, "double")
+    looked = sets.join(classes, "tid").select("tid", "class", F.size("set").alias("n"), "set")
+    every = looked.select("tid", "class", "n", F.explode("set").alias("shingle"))
+    common = every.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("texts"))
+    entries = materialise(every.join(common.filter("low < high").select("shingle", "texts"), "shingle"), "entries")
+    sizes = entries.groupBy("tid", "class", "n").agg(F.count("*").alias("shared"))
+    return sizes, entries
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """``a, b, similarity`` of the pairs that are similar enough; a written table."""
-    side = lambda name: sets.select(F.col("tid").alias(name), F.col("set").alias(f"set_{name}"), F.col("counts").alias(f"counts_{name}"))
-    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    compared = both.select("a", "b", comparing()("set_a", "counts_a", "set_b", "counts_b").alias("similarity"))
-    return materialise(compared.filter(F.col("similarity") >= least - 1e-12), "links")
+def still_open(active: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of buckets that have more than one class, with their ``class``; a written table."""
+    named = active.drop("class").join(labels, "tid", "left").withColumn("class", F.xxhash64(F.coalesce("label", "tid"))).drop("label")
+    open_buckets = named.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("band")
+    return materialise(named.join(open_buckets, "band", "left_semi"), "active")
+
+
+def may_reach(least: float, n: Column, shared: Column, m: Column, other_shared: Column) -> Column:
+    """Whether two texts of ``n`` and ``m`` shingles, of which they share no more than these, can reach the similarity."""
+    return F.least(shared, other_shared) >= F.lit(least / (1 + least)) * (n + m) - 1e-6
+
+
+#: sizes of texts are put into classes of this ratio
+RATIO = 1.02
+
+
+def by_rare_shingles(sets: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """Pairs ``a, b`` of texts of different classes that may be similar enough; exact, by what is rarely shared.
+
+    Texts of ``n`` and ``m`` shingles need ``least / (1 + least) * (n + m)`` common ones, so the first ``n`` minus that plus one
+    shingles of either, rarest first, must have one in common. Each text gives these first shingles for every size class
+    that its partner may have. Shingles that only its own class has come first and need not be given. Where a
+    shingle is mainly that of one class, texts of other classes are joined to all, but that class not to itself.
+    """
+    sizes, entries = shared_parts(sets, classes)
+    sizes = materialise(sizes.filter(F.col("shared") >= F.lit(least) * F.col("n") - 1e-6), "sizes")
+    rank = Window.partitionBy("tid").orderBy("texts", "shingle")
+    share = least / (1 + least)
+    size_class = lambda size: F.floor(F.ln(size) / F.lit(math.log(RATIO)) + 1e-9).cast("int")
+    first = lambda size: F.col("n") - F.ceil(F.lit(share) * (F.col("n") + size) - 1e-6) + 1
+    facts = ["tid", "class", "n", "shared"]
+    given = (
+        entries.select("tid", "shingle", "texts")
+        .join(narrow(sizes), "tid")
+        .withColumn("place", F.col("n") - F.col("shared") + F.row_number().over(rank))
+        .filter(F.col("place") <= first(F.col("n") * F.lit(least)))
+        .withColumn("mine", size_class(F.col("n")))
+        .withColumn("theirs", F.explode(F.sequence(size_class(F.col("n") * F.lit(least * 0.999)), size_class(F.col("n") / F.lit(least * 0.999)))))
+        .filter(F.col("place") <= first(F.pow(F.lit(RATIO), F.col("theirs")) * 0.999))
+        .select(F.xxhash64("shingle", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("key"), *facts)
+    )
+    weight = narrow(materialise(classes.groupBy("class").agg(F.count("*").alias("members")), "weights"))
+    given = materialise(given.join(weight, "class"), "given")
+    groups = given.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(F.struct("members", "class")).alias("main"))
+    groups = groups.filter("low < high").select("key", F.col("main.class").alias("main"))
+    left = given.join(groups, "key").filter(F.col("class") != F.col("main"))
+    right = given.select("key", *[F.col(c).alias(f"r_{c}") for c in facts])
+    reach = (F.col("class") != F.col("r_class")) & may_reach(least, F.col("n"), F.col("shared"), F.col("r_n"), F.col("r_shared"))
+    met = left.join(right, "key").filter(reach)
+    return met.select(F.least("tid", "r_tid").alias("a"), F.greatest("tid", "r_tid").alias("b")).distinct()
 
 
 def links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -163,39 +199,27 @@ def links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     ordered = [F.least("tid", "leader").alias("a"), F.greatest("tid", "leader").alias("b")]
     tested = materialise(met.filter("tid <> leader").select(*ordered).distinct(), "pairs")
     found = verified(tested, sets, least)
-    active = materialise(met.select("band", "tid", (F.col("tid") == F.col("leader")).alias("led")), "active")
-    turn = 1
-    while True:
-        labels = components(found)
-        named = active.join(labels.withColumnRenamed("node", "tid"), "tid", "left").withColumn("class", F.xxhash64(F.coalesce("label", "tid")))
-        open_buckets = (
-            named.groupBy("band")
-            .agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count_if(~F.col("led")).alias("left"))
-            .filter("low < high and left > 0")
-            .select("band")
-        )
-        active = materialise(named.join(open_buckets, "band", "left_semi").select("band", "tid", "led", "class"), "active")
-        if not active.limit(1).count():
-            return found
-        degrees = found.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count("*").alias("degree"))
-        best = Window.partitionBy("band").orderBy(F.desc("degree"), F.xxhash64("tid", "band"), "tid")
-        leaders = materialise(
-            active.filter(~F.col("led"))
-            .join(degrees, "tid", "left")
-            .withColumn("degree", F.coalesce("degree", F.lit(0)))
-            .withColumn("place", F.row_number().over(best))
-            .filter(F.col("place") <= 2**turn)
-            .select("band", F.col("tid").alias("leader"), F.col("class").alias("leading")),
-            "leaders",
-        )
-        pairs = active.join(leaders, "band").filter(F.col("class") != F.col("leading")).select(*ordered).distinct()
-        pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        found = found.unionByName(verified(pairs, sets, least))
-        active = active.join(leaders.select("band", F.col("leader").alias("tid"), F.lit(True).alias("leads")), ["band", "tid"], "left").select(
-            "band", "tid", (F.col("led") | F.coalesce("leads", F.lit(False))).alias("led")
-        )
-        turn += 1
+    active = still_open(buckets, components(found).withColumnRenamed("node", "tid"))
+    if not active.limit(1).count():
+        return found
+    degrees = found.select(F.explode(F.array("a", "b")).alias("tid")).groupBy("tid").agg(F.count("*").alias("degree"))
+    best = Window.partitionBy("band").orderBy(F.desc("degree"), F.xxhash64("tid", "band"), "tid")
+    leaders = (
+        active.join(degrees, "tid")
+        .withColumn("place", F.row_number().over(best))
+        .filter(F.col("place") <= 2)
+        .select("band", F.col("tid").alias("leader"), F.col("class").alias("leading"))
+    )
+    pairs = active.join(materialise(leaders, "leaders"), "band").filter(F.col("class") != F.col("leading")).select(*ordered).distinct()
+    pairs = materialise(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+    found = found.unionByName(verified(pairs, sets, least))
+    tested = tested.unionByName(pairs)
+    active = still_open(active, components(found).withColumnRenamed("node", "tid"))
+    if not active.limit(1).count():
+        return found
+    classes = narrow(materialise(active.select("tid", "class").distinct(), "open"))
+    pairs = materialise(by_rare_shingles(sets, classes, least).join(tested, ["a", "b"], "left_anti"), "pairs")
+    return found.unionByName(verified(pairs, sets, least))
 
 
 def text_classes(docs: DataFrame, rules: NearDup, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -211,8 +235,7 @@ def text_classes(docs: DataFrame, rules: NearDup, key: str, text: str) -> tuple[
         base.select("tid", "text")
         .join(candidates, "tid", "left_semi")
         .dropDuplicates(["tid"])
-        .select("tid", shingling(rules.words)(F.col("text")).alias("s"))
-        .select("tid", "s.*"),
+        .select("tid", shingling(rules.words)(F.col("text")).alias("set")),
         "sets",
     )
     labels = materialise(components(links(buckets, sets, rules.similarity)), "classes")
