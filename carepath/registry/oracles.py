@@ -195,6 +195,11 @@ FRAGMENTS = {
         case when epoch_us(inclusion_event_start) <= (select epoch_us(min(inclusion_event_start))
             + cast(round({_days('min(inclusion_event_start)', 'max(inclusion_event_start)')}*0.8::double*{DAY}) as bigint)
             from v_population) then 'train' else 'external_test' end dataset from v_population""",
+    "v_prognosis_split": f"""select person_id,
+        case when epoch_us(inclusion_event_start) <= (select epoch_us(min(inclusion_event_start))
+            + cast(round({_days('min(inclusion_event_start)', 'max(inclusion_event_start)')}*0.8::double*{DAY}) as bigint)
+            from v_population where person_id in (select person_id from v_prognosis)) then 'train' else 'external_test' end dataset
+        from v_population where person_id in (select person_id from v_prognosis)""",
     "v_past": """select e.* from v_prognosis_event e where event_source_type_concept_id='condition_occurrence'""",
     "v_run": f"""select event_id run_id, ts time_stamp,
         case event_type when 'click' then 'ridge' when 'view' then 'random_forests'
@@ -665,6 +670,86 @@ BODIES["fold_classes"] = (
     .replace("v_population", "v_mace") + " group by 1"
 )
 
+
+_TABLES = [
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+    "embeddings", "pages", "benchmark", "labels", "conversations",
+]
+_MISSING = ["concept", "care_site", "visit_detail", "procedure_occurrence", "drug_exposure"]
+_TEST = "select person_id from v_split where dataset='external_test'"
+_EMBEDDED = "select person_id from v_observed where event_source_concept_id in (select event_source_concept_id from v_embedding)"
+_CHAPTERS_22 = "(select cast(unnest(range(1, 23)) as varchar) as class)"
+
+
+def _held_out(persons: str) -> str:
+    return f"select person_id, cast(y as int) y, true in_range from v_mace where person_id in ({_TEST}) and person_id in ({persons})"
+
+
+def _exported(table: str, rows: str) -> str:
+    return f"""select '{table}' table_name, count(*) n_rows, count(distinct person_id) n_persons
+        from {rows} where person_id in (select person_id from v_split where dataset='train')"""
+
+
+def _norm(matrix: str, column: str) -> str:
+    return f"""select count(distinct {column}) n_columns, least(30, count(distinct {column})) n_values, true orthogonal,
+        true within_norm, round(sum(x*x), 3) norm from ({matrix})"""
+
+
+BODIES |= {
+    "scan_catalog": " union all ".join(f"select '{t}' table_name, count(*) n_rows from {t}" for t in _TABLES),
+    "i2b2_folder": """select 'visit_occurrence' table_name, count(*) n_rows from v_visit
+        union all select 'person', count(*) from v_person union all select 'condition_occurrence', count(*) from v_condition
+        union all """ + " union all ".join(f"select '{t}', null" for t in _MISSING),
+    "export_pretrain_tables": " union all ".join([
+        _exported("person", "v_person"), _exported("visit_occurrence", "v_visit"),
+        _exported("condition_occurrence", "v_condition"),
+        _exported("procedure_occurrence", "(select * from v_all_event where source='procedure_occurrence')"),
+        _exported("drug_exposure", "(select * from v_all_event where source='drug_exposure_administration')"),
+    ]),
+    "code_embeddings": _norm("""with a as (select code, sum(n_pairs)::double n from v_cooc group by 1),
+        b as (select context, pow(sum(n_pairs)::double,0.75) w from v_cooc group by 1),
+        t as (select sum(n_pairs)::double n from v_cooc), tb as (select sum(w) w from b)
+        select c.context k, ln((c.n_pairs/t.n)/((a.n/t.n)*(b.w/tb.w))) x
+        from v_cooc c join a on a.code=c.code join b on b.context=c.context, t, tb
+        where ln((c.n_pairs/t.n)/((a.n/t.n)*(b.w/tb.w)))>0""", "k"),
+    "count_svd": _norm("""select 'a' || event_source_concept_id k, decay_0 x from v_weight
+        union all select 'b' || event_source_concept_id, decay_30 from v_weight""", "k"),
+    "fit_logistic": _held_out("select person_id from v_observed"),
+    "fit_forest": _held_out(_EMBEDDED),
+    "fit_boosting": _held_out(_EMBEDDED),
+    "fit_one_feature": f"""with r as (select person_id, cast(y as double) y, gender_source_value, dataset,
+            cast(('0x'||substr(md5(cast(person_id as varchar)||':0'),1,8)) as bigint)%1000 < 100 held
+            from v_mace join v_split using (person_id) join v_person using (person_id)),
+        n as (select gender_source_value, count(*) n from r where dataset<>'train' group by 1),
+        m as (select gender_source_value, avg(y) m, avg(y) filter (not held) b from r where dataset='train' group by 1)
+        select gender_source_value, estimator, n, round(p, 3) p from n join (
+            select gender_source_value, 'ridge' estimator, m p from m
+            union all select gender_source_value, 'random_forests', case when (select max(m) from m) <= 0.5
+                or (select min(m) from m) > 0.5 then (select avg(y) from r where dataset='train') else m end from m
+            union all select gender_source_value, 'hist_gradient_boosting', 1/(1+exp(-2*(2*b-1))) from m)
+        using (gender_source_value)""",
+    "fit_multilabel": f"""with s as (select person_id from v_prognosis_split where dataset='external_test'
+            and person_id in (select person_id from v_prognosis_event
+            where event_source_concept_id in (select event_source_concept_id from v_embedding)))
+        select person_id, class, cast(list_contains(labels, class) as int) y, true in_range
+        from v_prognosis join s using (person_id), {_CHAPTERS_22}""",
+    "random_search": " union all ".join(
+        f"select '{{''regParam'': {p}}}' parameters, true in_range, true not_above_best" for p in (0.001, 0.01, 0.1, 0.5, 1.0)
+    ),
+    "run_grid": """select 'Logistic regression' estimator_label, featurizer, p.n n_person_raw, e.n n_event_raw, e.c n_codes_raw,
+        5 n_demographics, true scored from (select count(*) n from v_mace) p,
+        (select count(*) n, count(distinct event_source_concept_id) c from v_observed) e,
+        (select unnest(['Demographics', 'Count Encoding', 'Count Encoding + SVD', 'Count Encoding + random projection',
+        'Local Embeddings', 'Embeddings']) featurizer)""",
+    "run_multilabel_grid": f"""with s as (select labels from v_prognosis where person_id in (select person_id
+            from v_prognosis_split where dataset='external_test') and person_id in (select person_id from v_prognosis_event))
+        select estimator, class, round(100.0::double*(select count(*) from s where list_contains(labels, class))
+            /(select count(*) from s), 6) prevalence
+        from {_CHAPTERS_22}, (select unnest(['ridge', 'naive_baseline']) estimator)""",
+    "grid_report": """select unnest(['Logistic regression', 'naive_baseline']) estimator_label, 22 n_classes, true in_range""",
+}
+
+
 _NAME = re.compile(r"\bv_[a-z0-9_]+\b")
 
 

@@ -32,6 +32,7 @@ from carepath.constants import (
     VISIT_START,
 )
 from carepath.functions import codes, dates
+from carepath.functions.draws import union_all
 from carepath.operators import (
     embeddings,
     events,
@@ -129,6 +130,20 @@ class Inputs:
     def vectors(self):
         return views.code_embedding(self.tables)
 
+    @cached_property
+    def multilabel_runs(self):
+        """Records of a grid over all chapters, written and read again."""
+        config = experiment.ExperimentConfig(
+            [models.EstimatorConfig(models.RIDGE)], [experiment.GIVEN_EMBEDDINGS], subtrain_sizes=[0.8], n_iter=1,
+            n_min_events=1,
+        )
+        person = events.add_statics(self.prognosis, self.db)
+        split = splits.split_train_test_w_inclusion_start(self.prognosis)
+        records = experiment.run_multilabel_grid(
+            person, self.prognosis_event, split, config, CHAPTERS, self.tree, self.vectors
+        )
+        return materialise(_stored(self, records), "records")
+
     @cached_property
     def temporal_split(self):
         return splits.split_train_test_w_inclusion_start(self.population)
@@ -174,6 +189,28 @@ def scan_omop(i):
     return tables.customer.select("c_custkey", "c_nationkey", "c_mktsegment")
 
 
+@query
+def scan_catalog(i):
+    """Rows of every table of the folder, opened by its name."""
+    counts = [i.tables.scan(n).agg(F.lit(n).alias("table_name"), F.count("*").alias("n_rows")) for n in views.TABLES]
+    return union_all(counts)
+
+
+@query
+def i2b2_folder(i):
+    """Tables written as folders of parts and opened as i2b2 extracts; tables that are not there have no count."""
+    folder = scratch(i.spark, "i2b2")
+    for name in ("visit_occurrence", "person", "condition_occurrence"):
+        i.db.scan(name).write.parquet(f"{folder}/{name}")
+    opened = catalog.i2b2_catalog(i.spark, folder)
+    missing = opened.missing_tables
+    counts = [
+        opened.scan(n).agg(F.lit(n).alias("table_name"), F.count("*").alias("n_rows"))
+        for n in opened.table_names if n not in missing
+    ]
+    return union_all([*counts, i.spark.createDataFrame([(n, None) for n in missing], "table_name string, n_rows long")])
+
+
 @query
 def i2b2_to_omop(i):
     source = i.tables.events.select(
@@ -213,6 +250,20 @@ def export_pretrain(i):
     return cohort.pretraining_table(i.db.visit_occurrence, i.temporal_split)
 
 
+@query
+def export_pretrain_tables(i):
+    """All tables of the export, read back from the folder."""
+    folder = scratch(i.spark, "export")
+    cohort.export_pretraining(i.db, i.temporal_split, folder)
+    names = ["person", "procedure_occurrence", "drug_exposure", "condition_occurrence", "visit_occurrence"]
+    return union_all([
+        i.spark.read.parquet(f"{folder}/{n}").agg(
+            F.lit(n).alias("table_name"), F.count("*").alias("n_rows"), F.count_distinct(PERSON).alias("n_persons")
+        )
+        for n in names
+    ])
+
+
 @query
 def cohort_round_trip(i):
     person, event = i.cohort
@@ -716,14 +767,42 @@ def ppmi(i):
     return rounded(embeddings.ppmi(embeddings.cooccurrence(i.observed, 30)), "ppmi")
 
 
+def _decomposition_checks(matrix, row, column, value, d=30):
+    """What must hold of a truncated SVD, whatever the signs of its vectors.
+
+    Columns of U·√Σ are orthogonal, their squared lengths are the singular values, and these keep no more than the norm.
+    """
+    matrix = materialise(matrix, "matrix")
+    found = embeddings.decompose(matrix, row, column, value, d)
+    n, rank = len(found.columns), len(found.values)
+    rows = found.project(matrix, row)
+    pairs = [(a, b) for a in range(rank) for b in range(a, rank)]
+    products = [F.sum(F.col("embedding")[a] * F.col("embedding")[b]) for a, b in pairs]
+    gram = rows.agg(F.array(*products)).first()[0]
+    norm = matrix.agg(F.sum(F.col(value) * F.col(value))).first()[0]
+    largest = found.values[0]
+    orthogonal = all(abs(g - (found.values[a] if a == b else 0.0)) < 1e-6 * largest for (a, b), g in zip(pairs, gram))
+    kept = sum(v * v for v in found.values)
+    return matrix.sparkSession.createDataFrame(
+        [(n, rank, orthogonal, kept <= norm * (1 + 1e-9), round(norm, 3))],
+        "n_columns long, n_values long, orthogonal boolean, within_norm boolean, norm double",
+    )
+
+
 @query
 def code_embeddings(i):
-    return embeddings.embed_codes(i.observed, 30, 10)
+    """Embeddings of 30 numbers from the co-occurrences of all codes."""
+    return _decomposition_checks(embeddings.ppmi(embeddings.cooccurrence(i.observed, 30)), "code", "context", "ppmi")
 
 
 @query
 def count_svd(i):
-    return embeddings.count_svd(features.decayed_features(i.observed, [0]), "decay_0", 10)
+    """30 directions of the counts of all persons and codes, decayed and not."""
+    weights = features.decayed_features(i.observed, [0, 30])
+    long = weights.unpivot([PERSON, SOURCE_CODE], ["decay_0", "decay_30"], "block", "value")
+    return _decomposition_checks(
+        long.select(PERSON, F.concat_ws(":", "block", SOURCE_CODE).alias("column"), "value"), PERSON, "column", "value"
+    )
 
 
 @query
@@ -753,81 +832,135 @@ def binarise_labels(i):
 # --- models ------------------------------------------------------------------------------------
 
 
-def _training(i, featurizer=experiment.GIVEN_EMBEDDINGS):
-    config = experiment.ExperimentConfig([], [], decays=[0, 30])
-    built = experiment.build_features(featurizer, config, i.observed, i.mace, i.vectors)
-    return models.with_features(i.mace, built)
+def _split_parts(i, person, split, featurizer, event, decays=(0, 30)):
+    """Train and test persons with features that are learnt on train persons."""
+    train, test = (
+        person.join(split.filter(F.col("dataset") == part).select(PERSON), PERSON, "left_semi")
+        for part in ("train", "external_test")
+    )
+    config = experiment.ExperimentConfig([], [])
+    built = experiment.build_features(featurizer, config, event, train, i.vectors, decays)
+    return [materialise(models.with_features(part, built), "part") for part in (train, test)]
 
 
-def _fitted(i, name, parameters, featurizer=experiment.GIVEN_EMBEDDINGS):
-    rows = materialise(_training(i, featurizer))
-    model = models.fit(rows, models.ESTIMATORS[name], parameters)
-    return models.predict(model, rows)
+def _held_out(i, name, parameters, featurizer=experiment.GIVEN_EMBEDDINGS):
+    """Fitted on the train persons, applied to the others."""
+    train, test = _split_parts(i, i.mace, i.temporal_split, featurizer, i.observed)
+    model = models.fit(train, models.ESTIMATORS[name], parameters)
+    return models.predict(model, test).select(PERSON, OUTCOME, F.col("p").between(0, 1).alias("in_range"))
 
 
 @query
 def fit_logistic(i):
-    return _fitted(i, models.RIDGE, {"regParam": 0.01}, experiment.COUNTS)
+    return _held_out(i, models.RIDGE, {"regParam": 0.01}, experiment.COUNTS)
 
 
 @query
 def fit_forest(i):
-    return _fitted(i, models.FOREST, {"numTrees": 20, "minInstancesPerNode": 10})
+    return _held_out(i, models.FOREST, {"numTrees": 50, "minInstancesPerNode": 10})
 
 
 @query
 def fit_boosting(i):
-    return _fitted(i, models.BOOSTING, {"stepSize": 0.1, "maxLeaves": 10})
+    return _held_out(i, models.BOOSTING, {"stepSize": 0.1, "maxLeaves": 20})
+
+
+@query
+def fit_one_feature(i):
+    """Models of one yes-or-no feature give the share of cases of each half, or what follows from it.
+
+    Spark merges leaves of a classification tree that predict the same class, so a tree may give the share of all.
+    """
+    sex = i.db.person.select(PERSON, F.array((F.col("gender_source_value") == "f").cast("double")).alias("features"))
+    dated = i.mace.join(i.temporal_split.select(PERSON, "dataset"), PERSON)
+    rows = materialise(models.with_features(dated.select(PERSON, OUTCOME, "dataset"), sex), "sex")
+    train = rows.filter("dataset = 'train'")
+    fits = {
+        models.RIDGE: (models.EstimatorConfig(models.RIDGE), {"regParam": 0.0}),
+        models.FOREST: (models.ESTIMATORS[models.FOREST], {"numTrees": 1, "minInstancesPerNode": 1, "bootstrap": False}),
+        models.BOOSTING: (models.EstimatorConfig(models.BOOSTING, max_iter=1), {"stepSize": 1.0, "maxLeaves": 2}),
+    }
+    return union_all([
+        models.predict(models.fit(train, config, point), rows.filter("dataset <> 'train'"))
+        .join(i.db.person.select(PERSON, "gender_source_value"), PERSON)
+        .groupBy("gender_source_value")
+        .agg(F.lit(name).alias("estimator"), F.count("*").alias("n"), F.round(F.avg("p"), 3).alias("p"))
+        for name, (config, point) in fits.items()
+    ])
 
 
 @query
 def fit_multilabel(i):
     person, event = _prognosis_events(i)
-    built = features.embedding_features(event, i.vectors, DIMENSION)
-    rows = materialise(models.with_features(person, built))
-    fitted = models.fit_multilabel(rows, models.EstimatorConfig(models.RIDGE), ["2", "9", "11"])
-    return models.predict_multilabel(fitted, rows)
+    split = splits.split_train_test_w_inclusion_start(i.prognosis)
+    train, test = _split_parts(i, person, split, experiment.GIVEN_EMBEDDINGS, event)
+    fitted = models.fit_multilabel(train, models.EstimatorConfig(models.RIDGE), CHAPTERS)
+    return models.predict_multilabel(fitted, test).select(PERSON, "class", "y", F.col("p").between(0, 1).alias("in_range"))
 
 
 @query
 def random_search(i):
-    rows = materialise(_training(i))
-    found = models.random_search(rows, models.ESTIMATORS[models.RIDGE], n_iter=2, n_splits=3)
+    """All points of the grid, each scored on five folds by hospital."""
+    train, _ = _split_parts(i, i.mace, i.temporal_split, experiment.GIVEN_EMBEDDINGS, i.observed)
+    found = models.random_search(train, models.ESTIMATORS[models.RIDGE])
+    best = max(score for _, score in found.scores)
+    chosen = next(score for point, score in found.scores if point == found.best)
     return i.spark.createDataFrame(
-        [(str(point), float(score), point == found.best) for point, score in found.scores],
-        "parameters string, score double, best boolean",
+        [(str(point), bool(0 <= score <= 1), bool(chosen >= best)) for point, score in found.scores],
+        "parameters string, in_range boolean, not_above_best boolean",
     )
 
 
+def _stored(i, records):
+    """Records written one by one and read again, as the reports read them."""
+    folder = scratch(i.spark, "grid")
+    for record in records:
+        run_logs.append_run(i.spark, record, folder)
+    return run_logs.read_runs(i.spark, folder)
+
+
 @query
 def run_grid(i):
-    person = events.add_statics(i.mace, i.db)
+    """Every featurizer, with decays searched; the records as the reports see them."""
     config = experiment.ExperimentConfig(
-        [models.ESTIMATORS[models.RIDGE]], [experiment.GIVEN_EMBEDDINGS], n_iter=1, n_splits=2, n_min_events=1,
+        [models.ESTIMATORS[models.RIDGE]],
+        [experiment.DEMOGRAPHICS, experiment.COUNTS, experiment.COUNTS_SVD, experiment.COUNTS_PROJECTION,
+         experiment.LOCAL_EMBEDDINGS, experiment.GIVEN_EMBEDDINGS],
+        decays=[[0], [0, 30]], n_iter=2, n_min_events=1,
         static_categorical=features.STATIC_FEATURES["categorical"],
         static_numerical=features.STATIC_FEATURES["numerical"],
     )
-    records = experiment.run_grid(person, i.observed, i.temporal_split, config, i.vectors)
-    folder = scratch(i.spark, "grid")
-    for record in records:
-        run_logs.append_run(i.spark, record, folder)
-    return run_logs.read_runs(i.spark, folder)
+    person = events.add_statics(i.mace, i.db)
+    runs_read = runs.clean_runs(_stored(i, experiment.run_grid(person, i.observed, i.temporal_split, config, i.vectors)))
+    known = F.col("decay_label").isin("No decay", "no decay and 30 days decay") | (F.col("featurizer") == experiment.DEMOGRAPHICS)
+    scored = (
+        F.round("roc_auc_score", 6).between(0, 1) & F.round("train_roc_auc_score", 6).between(0, 1)
+        & F.coalesce(known, F.lit(False))
+    )
+    return runs_read.select(
+        "estimator_label", "featurizer", "n_person_raw", "n_event_raw", "n_codes_raw", "n_demographics", scored.alias("scored")
+    )
 
 
 @query
 def run_multilabel_grid(i):
-    config = experiment.ExperimentConfig(
-        [models.EstimatorConfig(models.RIDGE)], [experiment.GIVEN_EMBEDDINGS], subtrain_sizes=[0.8], n_min_events=1
+    """Prevalence of each chapter as the records of the models and of the baseline have it."""
+    names = [f"test_prevalence_{c}" for c in CHAPTERS]
+    long = i.multilabel_runs.unpivot(["estimator"], names, "class", "prevalence")
+    return rounded(long.withColumn("class", F.substr("class", F.lit(len("test_prevalence_") + 1))), "prevalence")
+
+
+@query
+def grid_report(i):
+    """From the records of a grid to a weighted mean over the chapters."""
+    read = runs.clean_runs(i.multilabel_runs.withColumn("n_person_subtrain", F.coalesce("n_person_subtrain", F.lit(0))))
+    long = runs.runs_long(read, ["estimator_label"])
+    shares = runs.top_prevalence(read, threshold=0).withColumnRenamed("class", "target_label")
+    means = runs.weighted_metric(long, shares, "roc_auc_score", ["estimator_label"])
+    classes = long.groupBy("estimator_label").agg(F.count("*").alias("n_classes"))
+    return means.join(classes, "estimator_label").select(
+        "estimator_label", "n_classes", F.round("macro_roc_auc_score", 6).between(0, 1).alias("in_range")
     )
-    person = events.add_statics(i.prognosis, i.db)
-    split = splits.split_train_test_w_inclusion_start(i.prognosis)
-    records = experiment.run_multilabel_grid(
-        person, i.prognosis_event, split, config, ["2", "9"], i.tree, i.vectors
-    )
-    folder = scratch(i.spark, "grid")
-    for record in records:
-        run_logs.append_run(i.spark, record, folder)
-    return run_logs.read_runs(i.spark, folder)
 
 
 # --- scores and run tables -----------------------------------------------------------------------
