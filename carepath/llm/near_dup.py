@@ -7,16 +7,15 @@ shingle are drawn one after the other and stop when they are later than every re
 joined to bands; texts that share a band are candidates, and candidates are verified: the Jaccard similarity of all their
 shingles must reach the threshold.
 
-No bucket is expanded into pairs. First each member of a bucket is compared with one random leader, then, in buckets that are not one
-class yet, with the two members that have the most links, which closes a class around an original. What is left are
-texts that are somewhat alike. They meet by the rarest of their shingles instead: texts of given sizes can only reach the
-threshold if their first shingles, in the order of frequency, have one in common. That is exact, and only shingles
-that another class has too are looked at, so large buckets of texts that are not duplicates fall apart.
+First each member of a bucket is compared with one random leader, then, in buckets that are not one class yet, with the two
+members that have the most links, which closes a class around an original. What is left are texts that are somewhat
+alike. Those that share too few shingles with all other classes are left out by an exact bound; the others are compared
+with the texts of other classes in their buckets. To prove that texts near the threshold have no link takes these
+comparisons, so they grow with the size of such a bucket (see the README).
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -125,18 +124,15 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return materialise(both.filter(common >= F.lit(least) * (sizes - common) - 1e-9).select("a", "b"), "links")
 
 
-def shared_parts(sets: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sizes ``tid, class, n, shared`` and entries ``tid, shingle, texts`` of the texts of ``classes`` (``tid, class``).
+def shared_parts(sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """``tid, n, shared`` of the texts of ``classes`` (``tid, class``): their shingles, and those that a text of another class has too.
 
-    ``shared`` counts the shingles of a text that a text of another class has too; only those are entries. ``texts`` is the number of
-    texts that have a shingle. A text that has none is left out.
+    A text that shares none is left out.
     """
     looked = sets.join(classes, "tid").select("tid", "class", F.size("set").alias("n"), "set")
     every = looked.select("tid", "class", "n", F.explode("set").alias("shingle"))
-    common = every.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.count("*").alias("texts"))
-    entries = materialise(every.join(common.filter("low < high").select("shingle", "texts"), "shingle"), "entries")
-    sizes = entries.groupBy("tid", "class", "n").agg(F.count("*").alias("shared"))
-    return sizes, entries
+    common = every.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("shingle")
+    return every.join(common, "shingle").groupBy("tid", "n").agg(F.count("*").alias("shared"))
 
 
 def still_open(active: DataFrame, labels: DataFrame) -> DataFrame:
@@ -151,43 +147,24 @@ def may_reach(least: float, n: Column, shared: Column, m: Column, other_shared:
     return F.least(shared, other_shared) >= F.lit(least / (1 + least)) * (n + m) - 1e-6
 
 
-#: sizes of texts are put into classes of this ratio
-RATIO = 1.02
+def across_classes(active: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs ``a, b`` of texts of one bucket and different classes that may be similar enough.
 
-
-def by_rare_shingles(sets: DataFrame, classes: DataFrame, least: float) -> DataFrame:
-    """Pairs ``a, b`` of texts of different classes that may be similar enough; exact, by what is rarely shared.
-
-    Texts of ``n`` and ``m`` shingles need ``least / (1 + least) * (n + m)`` common ones, so the first ``n`` minus that plus one
-    shingles of either, rarest first, must have one in common. Each text gives these first shingles for every size class
-    that its partner may have. Shingles that only its own class has come first and need not be given. Where a
-    shingle is mainly that of one class, texts of other classes are joined to all, but that class not to itself.
+    Texts that share too little with other classes are left out, which is exact. In each bucket the texts of all classes but
+    the main one, that with the most texts, are joined to all; the main class is not joined to itself.
     """
-    sizes, entries = shared_parts(sets, classes)
-    sizes = materialise(sizes.filter(F.col("shared") >= F.lit(least) * F.col("n") - 1e-6), "sizes")
-    rank = Window.partitionBy("tid").orderBy("texts", "shingle")
-    share = least / (1 + least)
-    size_class = lambda size: F.floor(F.ln(size) / F.lit(math.log(RATIO)) + 1e-9).cast("int")
-    first = lambda size: F.col("n") - F.ceil(F.lit(share) * (F.col("n") + size) - 1e-6) + 1
+    classes = active.select("tid", "class").distinct()
+    sizes = shared_parts(sets, narrow(materialise(classes, "open"))).filter(F.col("shared") >= F.lit(least) * F.col("n") - 1e-6)
+    weight = classes.groupBy("class").agg(F.count("*").alias("members"))
     facts = ["tid", "class", "n", "shared"]
-    given = (
-        entries.select("tid", "shingle", "texts")
-        .join(narrow(sizes), "tid")
-        .withColumn("place", F.col("n") - F.col("shared") + F.row_number().over(rank))
-        .filter(F.col("place") <= first(F.col("n") * F.lit(least)))
-        .withColumn("mine", size_class(F.col("n")))
-        .withColumn("theirs", F.explode(F.sequence(size_class(F.col("n") * F.lit(least * 0.999)), size_class(F.col("n") / F.lit(least * 0.999)))))
-        .filter(F.col("place") <= first(F.pow(F.lit(RATIO), F.col("theirs")) * 0.999))
-        .select(F.xxhash64("shingle", F.least("mine", "theirs"), F.greatest("mine", "theirs")).alias("key"), *facts)
-    )
-    weight = narrow(materialise(classes.groupBy("class").agg(F.count("*").alias("members")), "weights"))
-    given = materialise(given.join(weight, "class"), "given")
-    groups = given.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(F.struct("members", "class")).alias("main"))
-    groups = groups.filter("low < high").select("key", F.col("main.class").alias("main"))
-    left = given.join(groups, "key").filter(F.col("class") != F.col("main"))
-    right = given.select("key", *[F.col(c).alias(f"r_{c}") for c in facts])
+    rows = active.select("band", "tid", "class").join(narrow(materialise(sizes, "sizes")), "tid").join(narrow(materialise(weight, "weights")), "class")
+    rows = materialise(rows.select("band", *facts, "members"), "rows")
+    groups = rows.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(F.struct("members", "class")).alias("main"))
+    groups = groups.filter("low < high").select("band", F.col("main.class").alias("main"))
+    left = rows.join(groups, "band").filter(F.col("class") != F.col("main"))
+    right = rows.select("band", *[F.col(c).alias(f"r_{c}") for c in facts])
     reach = (F.col("class") != F.col("r_class")) & may_reach(least, F.col("n"), F.col("shared"), F.col("r_n"), F.col("r_shared"))
-    met = left.join(right, "key").filter(reach)
+    met = left.join(right, "band").filter(reach)
     return met.select(F.least("tid", "r_tid").alias("a"), F.greatest("tid", "r_tid").alias("b")).distinct()
 
 
@@ -217,8 +194,7 @@ def links(buckets: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     active = still_open(active, components(found).withColumnRenamed("node", "tid"))
     if not active.limit(1).count():
         return found
-    classes = narrow(materialise(active.select("tid", "class").distinct(), "open"))
-    pairs = materialise(by_rare_shingles(sets, classes, least).join(tested, ["a", "b"], "left_anti"), "pairs")
+    pairs = materialise(across_classes(active, sets, least).join(tested, ["a", "b"], "left_anti"), "pairs")
     return found.unionByName(verified(pairs, sets, least))
 
 
