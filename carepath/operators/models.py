@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carepath.constants import OUTCOME, PERSON
+from carepath.functions.draws import draw_integer
 from carepath.operators.metrics import get_scores
 from carepath.operators.splits import class_weights, fold_classes, group_folds
 
@@ -100,7 +101,7 @@ def prepare_training(person: DataFrame, config: EstimatorConfig, seed: int = 0,
     else:
         other, case = config.class_weight or (1.0, 1.0)
         rows = person.withColumn("weight", F.when(F.col(OUTCOME) == 1, float(case)).otherwise(float(other)))
-    drawn = F.pmod(F.xxhash64(PERSON, F.lit(seed)), F.lit(1000)) < int(validation * 1000)
+    drawn = draw_integer(PERSON, seed) % 1000 < int(validation * 1000)
     return rows.withColumn("is_validation", drawn)
 
 
