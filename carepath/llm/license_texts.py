@@ -31,6 +31,27 @@ NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA,
 THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS
 SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
 
+UNLICENSE_OPENING = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
+sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
+means."""
+
+UNLICENSE_REST = """In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in
+the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors.
+We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER
+IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>"""
+
+ZLIB_OPENING = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and
+to alter it and redistribute it freely, subject to the following restrictions"""
+
+ZLIB_REST = """1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this
+software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be
+plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source
+distribution."""
+
 TEMPLATES = {
     "MIT": MIT,
     "ISC": ISC,
@@ -46,12 +67,10 @@ the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the impl
 See the GNU General Public License for more details.""",
     "MPL-2.0 notice": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed
 with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""",
-    "Unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile,
-sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any
-means.""",
-    "zlib": """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
-arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and
-to alter it and redistribute it freely, subject to the following restrictions""",
+    "Unlicense": f"{UNLICENSE_OPENING} {UNLICENSE_REST}",
+    "Unlicense opening": UNLICENSE_OPENING,
+    "zlib": f"{ZLIB_OPENING}: {ZLIB_REST}",
+    "zlib opening": ZLIB_OPENING,
     "MIT statement": "Released under the MIT License.",
     "Apache-2.0 statement": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0 statement": "This work is licensed under the GNU General Public License, version 3.",
@@ -60,5 +79,6 @@ to alter it and redistribute it freely, subject to the following restrictions"""
     "CC-BY-4.0 statement": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0 statement": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "BSD statement": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "All rights reserved statement": "All rights reserved.",
     "All rights reserved": "All rights reserved. No part of this publication may be reproduced without prior written permission.",
 }

@@ -1,9 +1,10 @@
 """License scans: winnowed fingerprints of templates pick candidates, banded alignment reports coverage and spans.
 
 Words are compared in small letters without punctuation. Of each window of consecutive word runs the least hash is a fingerprint, so
-any passage of ``run + window - 1`` words that a text shares with a template gives a common one. Fingerprints of the
-templates are an inverted index; hits of a text near one diagonal are a candidate, which is aligned with the template
-in a band around the diagonal. The alignment gives the template's words found, their share and the span in the text.
+any passage of ``run + window - 1`` words that a text shares with a template gives a common one. Of short templates every run is
+a fingerprint and is looked up at every run of a text. Fingerprints of the templates are an inverted index; hits of a text near one
+diagonal are a candidate, in which each copy is aligned with the template in a band around the diagonals. The alignment gives the
+template's words found, their share and the span in the text.
 """
 
 from __future__ import annotations
@@ -24,10 +25,11 @@ KIND = "array<struct<license:string,start:int,end:int,matched:int,template_words
 
 @dataclass(frozen=True)
 class Winnow:
-    """Words of a run, runs of a window, least coverage, slack of the band in words and as a share of the template."""
+    """Words of a run, runs of a window, words of a short template, least coverage, slack of the band in words and as a share of the template."""
 
     run: int = 3
     window: int = 3
+    short: int = 12
     coverage: float = 0.8
     slack: int = 6
     slack_share: float = 0.15
@@ -62,57 +64,100 @@ class Index:
 
     def __init__(self, templates: dict[str, str], rules: Winnow = Winnow()):
         self.rules, self.names, self.words = rules, [], []
-        hashes, where = [], []
+        hashes: dict[bool, list] = {False: [], True: []}
+        where: dict[bool, list] = {False: [], True: []}
         for name, text in templates.items():
             texts = next(blocks(pa.array([text]), 1 << 30))[2]
             words = cores(texts).hashes
             if len(words) < rules.run:
                 raise ValueError(f"the template {name} has fewer words than a run")
-            found, at = fingerprints(words, np.array([0, len(words)]), rules)
-            hashes.append(found)
-            where.append(np.stack([np.full(len(at), len(self.names)), at], 1))
+            short, bounds = len(words) <= rules.short, np.array([0, len(words)])
+            found, at = runs(words, bounds, rules.run) if short else fingerprints(words, bounds, rules)
+            hashes[short].append(found)
+            where[short].append(np.stack([np.full(len(at), len(self.names)), at], 1))
             self.names.append(name)
             self.words.append(words)
-        found = np.concatenate(hashes)
-        order = np.argsort(found, kind="stable")
-        self.hashes, self.where = found[order], np.concatenate(where)[order]
-
-    def candidates(self, texts: Texts, found) -> Iterator[tuple[int, int, int, int]]:
-        """(text, template, least and greatest diagonal) where hits of a template lie close together."""
-        hashes, at = fingerprints(found.hashes, found.first, self.rules)
-        low, high = np.searchsorted(self.hashes, hashes), np.searchsorted(self.hashes, hashes, "right")
-        n = high - low
-        pick = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        position, template = np.repeat(at, n), self.where[pick, 0]
+        self.known = {}
+        for short in hashes:
+            found = np.concatenate([np.zeros(0, np.uint64), *hashes[short]])
+            order = np.argsort(found, kind="stable")
+            self.known[short] = found[order], np.concatenate([np.zeros((0, 2), np.int64), *where[short]])[order]
+
+    def hits(self, found) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Position, template and diagonal of every fingerprint of a template in the texts."""
+        rows = []
+        for short, (hashes, where) in self.known.items():
+            seen, at = runs(found.hashes, found.first, self.rules.run) if short else fingerprints(found.hashes, found.first, self.rules)
+            low, high = np.searchsorted(hashes, seen), np.searchsorted(hashes, seen, "right")
+            n = high - low
+            pick = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            position = np.repeat(at, n)
+            rows.append((position, where[pick, 0], position - where[pick, 1]))
+        return tuple(np.concatenate(x) for x in zip(*rows))
+
+    def candidates(self, texts: Texts, found) -> Iterator[tuple[int, int, list[int]]]:
+        """(text, template, diagonals in ascending order) where hits of a template lie close together."""
+        position, template, diagonal = self.hits(found)
         text = np.searchsorted(found.first, position, "right") - 1
-        diagonal = position - self.where[pick, 1]
         order = np.lexsort((diagonal, template, text))
         open_one: tuple | None = None
         for i in order.tolist():
             t, k, d = int(text[i]), int(template[i]), int(diagonal[i])
-            if open_one and open_one[:2] == (t, k) and d - open_one[3] <= self.band(k):
-                open_one = (*open_one[:3], d)
+            if open_one and open_one[:2] == (t, k) and d - open_one[2][-1] <= self.band(k):
+                if d > open_one[2][-1]:
+                    open_one[2].append(d)
                 continue
             if open_one:
                 yield open_one
-            open_one = (t, k, d, d)
+            open_one = (t, k, [d])
         if open_one:
             yield open_one
 
     def band(self, template: int) -> int:
         return self.rules.slack + int(self.rules.slack_share * len(self.words[template]))
 
+    def copies(self, k: int, words: np.ndarray, diagonals: list[int]) -> Iterator[tuple[int, int, int]]:
+        """(matched, first, last word) of each copy of a template near the diagonals.
+
+        What is enough of a copy without inserted or missing words parts the text, so that no alignment takes words of two copies.
+        Each part is aligned, and then what lies before and behind the alignment.
+        """
+        template, band = self.words[k], self.band(k)
+        n, least = len(template), self.rules.coverage * len(template)
+        straight: list[tuple[int, int, int]] = []
+        for d in diagonals:
+            i = np.arange(max(0, -d), max(0, -d, min(n, len(words) - d)))
+            same = i[words[i + d] == template[i]]
+            if len(same) >= least:
+                straight.append((-len(same), int(same[0]) + d, int(same[-1]) + d + 1))
+        chosen: list[tuple[int, int]] = []
+        for _, first, end in sorted(straight):
+            if all(end <= a or first >= b for a, b in chosen):
+                chosen.append((first, end))
+        chosen.sort()
+        ends, starts = [0, *(b for _, b in chosen)], [*(a for a, _ in chosen), len(words)]
+        # each of the chosen with the words up to its neighbours; without one, the whole text
+        parts = list(zip(ends, starts[1:])) if chosen else [(0, len(words))]
+        while parts:
+            begin, end = parts.pop(0)
+            low, high = max(diagonals[0] - band, begin - n), min(diagonals[-1] + band, end)
+            if min(end - begin, min(n, end - low) - max(0, begin - high)) < least:
+                continue  # too few of the template's words can lie in this part
+            matched, first, last = aligned(template, words[begin:end], low - begin, high - begin)
+            if matched < least:
+                continue
+            first, last = first + begin, last + begin
+            yield matched, first, last
+            parts[:0] = [(begin, first), (last + 1, end)]
+
     def matches(self, texts: Texts) -> Iterator[tuple[int, tuple]]:
         """(text, (license, first word, end, matched, template words, coverage)); a span inside a longer match is left out."""
         found = cores(texts)
         best: dict[int, list[tuple]] = {}
-        for t, k, low, high in self.candidates(texts, found):
-            words = self.words[k]
-            band = self.band(k)
+        for t, k, diagonals in self.candidates(texts, found):
             begin, end = int(found.first[t]), int(found.first[t + 1])
-            matched, first, last = aligned(words, found.hashes[begin:end], low - begin - band, high - begin + band)
-            if matched >= self.rules.coverage * len(words):
-                place = found.place[begin:end] - texts.first_word[t]
+            place = found.place[begin:end] - texts.first_word[t]
+            for matched, first, last in self.copies(k, found.hashes[begin:end], [d - begin for d in diagonals]):
                 span = (matched, int(place[first]), int(place[last]) + 1, k)
                 best.setdefault(t, []).append(span)
         for t in sorted(best):

@@ -50,3 +50,29 @@ def test_own_templates(spark):
     assert scan_licenses(docs, {"own": "one two three four five"}).first()["coverage"] == 1.0
     with pytest.raises(ValueError):
         Index({"short": "one two"}, Winnow())
+
+
+def test_a_short_statement_and_copies_side_by_side(spark):
+    plain, mit = "All rights reserved.", TEMPLATES["MIT statement"]
+    found = scan(spark, [f"{FILLER}\n{plain}\n{FILLER}", f"{mit} {mit} {mit}", f"{plain} {plain} x {plain}", f"{mit} x {mit.replace('the', 'an')}"])
+    spans = [(r["doc_id"], r["license"].split()[0], r["start"], r["end"]) for r in sorted(found, key=lambda r: (r["doc_id"], r["start"]))]
+    n = len(FILLER.split())
+    wanted = [(0, "All", n, n + 3), *[(1, "MIT", 5 * i, 5 * i + 5) for i in range(3)], (2, "All", 0, 3), (2, "All", 3, 6), (2, "All", 7, 10)]
+    assert spans == [*wanted, (3, "MIT", 0, 5), (3, "MIT", 6, 11)]
+
+
+def test_license_lines_of_the_generated_documents(spark):
+    """Every line that is a statement by itself is found where it stands."""
+    folded = {" ".join(t.lower().split()): k for k, t in TEMPLATES.items()}
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    docs = docs.filter("text rlike '(?i)licen[sc]ed? |rights reserved'")
+    wanted = set()
+    for r in docs.collect():
+        at = 0
+        for line in r["text"].split("\n"):
+            name = folded.get(" ".join(line.lower().split()))
+            wanted |= {(r["doc_id"], name, at, at + len(line.split()))} if name else set()
+            at += len(line.split())
+    found = {(r["doc_id"], r["license"], r["start"], r["end"]) for r in scan_licenses(docs).collect()}
+    assert "All rights reserved statement" in {w[1] for w in wanted}
+    assert wanted <= found
