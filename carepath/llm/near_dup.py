@@ -2,7 +2,8 @@
 
 Every shingle of a text, weighted by ``1 + ln(count)``, is a Poisson process that sends arrivals to random registers; a
 register keeps the shingle that arrives first. Two texts agree in a register with a probability equal to the probability
-Jaccard similarity of their shingle weights, which is the Jaccard similarity of the sets if no shingle repeats. Arrivals of a
+Jaccard similarity of their shingle weights. That is far below the Jaccard similarity of the sets where a line repeats, so a text with
+shingles that repeat has a second set of registers with weight 1, from the same draws: without repeats both are the same. Arrivals of a
 shingle are drawn one after the other and stop when they are later than every register of the text. Registers are
 joined to bands; texts that share a band are candidates, and candidates are verified: the Jaccard similarity of all their
 shingles must reach the threshold.
@@ -32,7 +33,7 @@ from carepath.session import materialise
 class NearDup:
     """Words of a shingle, least similarity, bands and registers of a band.
 
-    With 24 bands of 4 a pair of similarity 0.8 shares no band with a probability of 3e-6.
+    With 24 bands of 4 a pair of similarity 0.8 shares no band of weight 1 with a probability of 3e-6.
     """
 
     words: int = 5
@@ -80,16 +81,32 @@ def first_arrivals(values: np.ndarray, weights: np.ndarray, offsets: np.ndarray,
 
 
 def bands_of(texts: Texts, rules: NearDup) -> tuple[np.ndarray, np.ndarray]:
-    """Band hashes of each text as a flat array with offsets; a text without words has none."""
+    """Band hashes of each text as a flat array with offsets; a text without words has none.
+
+    A text in which a shingle repeats has the bands of its sets, of weight 1, behind those of its weights.
+    """
     hashes, offsets = texts.shingles(rules.words)
     values, counts, offsets = weighted_sets(hashes, offsets)
-    labels = first_arrivals(values, damped(counts), offsets, rules.bands * rules.rows)
+    there = np.diff(offsets) > 0
+    of = np.repeat(np.arange(texts.count), np.diff(offsets))
+    repeats = np.zeros(texts.count, bool)
+    repeats[of[counts > 1]] = True
+    some = repeats[of]
+    weighted = joined(first_arrivals(values, damped(counts), offsets, rules.bands * rules.rows), rules)[there]
+    sizes = np.concatenate([[0], np.cumsum(np.diff(offsets)[repeats])])
+    plain = joined(first_arrivals(values[some], np.ones(some.sum()), sizes, rules.bands * rules.rows), rules)
+    order = np.argsort(np.concatenate([np.flatnonzero(there), np.flatnonzero(repeats)]), kind="stable")
+    total = np.concatenate([weighted, plain])[order]
+    return total.reshape(-1).view(np.int64), np.concatenate([[0], np.cumsum((there + repeats.astype(np.int64)) * rules.bands)])
+
+
+def joined(labels: np.ndarray, rules: NearDup) -> np.ndarray:
+    """Hash of each band of registers, numbered, by text."""
     grouped = labels.reshape(-1, rules.bands, rules.rows)
     total = np.arange(rules.bands, dtype=U64) * U64(ODD)
     for j in range(rules.rows):
         total = mix(total + grouped[:, :, j])
-    there = np.diff(offsets) > 0
-    return total[there].reshape(-1).view(np.int64), np.concatenate([[0], np.cumsum(there * rules.bands)])
+    return total
 
 
 def banding(rules: NearDup):

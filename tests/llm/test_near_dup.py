@@ -110,3 +110,17 @@ def test_empty_and_parameters(spark):
     assert classes(docs).count() == 0 and deduplicated(docs).count() == 0
     two = spark.createDataFrame([(1, "a b c d"), (2, "a b c e")], "doc_id long, text string")
     assert {r["class_id"] for r in classes(two, NearDup(words=1, similarity=0.6)).collect()} == {1}
+
+
+def test_pairs_with_lines_repeated_hundreds_of_times(spark):
+    """Set similarity is what counts, however often a line of one's own repeats."""
+    texts = {}
+    for n in range(40):
+        own = lambda k: [R.choice(VOCABULARY) for _ in range(k)]
+        common = own(104)
+        for i in (2 * n, 2 * n + 1):
+            texts[i] = " ".join([*common, *(own(6) * (400 if n % 2 else 1000))])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    wanted = brute(texts)
+    assert len(set(wanted.values())) == 40
+    assert dict(map(tuple, classes(docs).collect())) == wanted
