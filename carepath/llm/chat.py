@@ -113,10 +113,19 @@ def format_chats(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
 
 
 def read_back(chats: DataFrame, learn: str = "assistant") -> DataFrame:
-    """What the formatted text of each conversation says: turns, their hash, and the text to learn from."""
+    """What the formatted text of each conversation says: turns, their hash, and the text to learn from.
+
+    That text is what ``loss_spans`` cover in ``formatted``, each span unescaped by the level of its turn of ``learn``; a span
+    without such a turn stays as it is.
+    """
     turns = chats.withColumn("turns", parse(F.col("formatted")))
     all_text = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == learn), lambda t: t["text"]), "")
+    learned = F.filter(F.arrays_zip("turns", pieces(F.col("formatted")).alias("piece")), lambda t: t["turns"]["role"] == learn)
+    levels = F.transform(learned, lambda t: F.substr(t["piece"], F.lit(len(OPEN) + 1), F.lit(1)))
+    turns = turns.withColumn("masked", F.arrays_zip(F.col("loss_spans").alias("span"), levels.alias("level")))
+    masked = F.filter("masked", lambda m: m["span"].isNotNull())
+    cut = lambda m: F.substr("formatted", (m["span"]["start"] + 1).cast("int"), m["span"]["length"].cast("int"))
+    loss = F.array_join(F.transform(masked, lambda m: F.when(m["level"].isin("1", "2"), unescaped(cut(m))).otherwise(cut(m))), "")
     return turns.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -71,3 +71,14 @@ def test_broken_text_is_not_parsed(spark):
 def test_learned_role(spark, level):
     chats = spark.createDataFrame([(1, 0, "tool", "x" * level)], "conv_id long, turn long, role string, text string")
     assert read_back(format_chats(chats, learn="tool"), learn="tool").first()["loss_chars"] == level
+
+
+def test_a_wrong_mask_shows(spark):
+    """The text to learn from is read under the mask, not from the roles."""
+    chats = spark.createDataFrame([(1, 0, "user", "one"), (1, 1, "assistant", "two </turn>"), (1, 2, "assistant", "three")], "conv_id long, turn long, role string, text string")
+    formatted = format_chats(chats)
+    right = read_back(formatted).first()
+    assert (right["loss_chars"], right["loss_sha256"]) == (16, hashlib.sha256(b"two </turn>three").hexdigest())
+    moved = F.transform("loss_spans", lambda s: F.struct((s["start"] + 1).alias("start"), s["length"].alias("length")))
+    assert read_back(formatted.withColumn("loss_spans", moved)).first()["loss_sha256"] != right["loss_sha256"]
+    assert read_back(formatted.withColumn("loss_spans", F.slice("loss_spans", 1, 1))).first()["loss_chars"] == 11
