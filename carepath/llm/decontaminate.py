@@ -1,10 +1,11 @@
 """Benchmark decontamination on templates: numbers, names and units become typed slots.
 
 Documents and benchmark items are turned into template tokens: words without punctuation and case, with numbers, names
-and units replaced by typed placeholders. Windows of template tokens are joined by hash; windows that
-match on one diagonal of a document and an item form an alignment. The original values in its slots must then be
-consistent: an item's value always has the same value in the document, and different values stay different. That
-finds copied items as well as items with other numbers, names or units.
+and units replaced by typed placeholders. Windows of template tokens are joined by hash, and so are windows in which names
+are words, whatever their case, windows of plain words, and windows behind a first word that may be a name. Windows that
+match on one diagonal of a document and an item, or on neighbouring ones where words were put in or left out, form an alignment. The
+original values in its slots must then be consistent: an item's value always has the same value in the document, and
+different names stay different. That finds copied items as well as items with other numbers, names or units.
 """
 
 from __future__ import annotations
@@ -33,27 +34,31 @@ KIND = "array<struct<item_id:bigint,start:int,end:int,matched:int,item_tokens:in
 
 @dataclass(frozen=True)
 class Templates:
-    """Parameters: tokens of a window, literals it needs at least, matched tokens that make a leak, tokens of a block of items.
+    """Parameters: tokens of a window, literals it needs at least, matched tokens that make a leak, tokens of a block of items, and how
+    far apart diagonals of one alignment are at most.
 
     A leak needs ``leak`` matched tokens of an item, or all of a shorter one. Items of fewer tokens than a
-    window have one window: the whole item; items with fewer literals than ``literals`` cannot be found.
+    window have one window: the whole item. Windows of plain words need no literals, so copies of any item are found, also of an item of
+    one word; items with fewer literals than ``literals`` are not found with other values.
     """
 
     window: int = 8
     literals: int = 4
     leak: int = 13
     block: int = 1_000_000
+    shift: int = 4
 
 
 @dataclass
 class Tokens:
-    """Template tokens of some texts: hash, hash of the original word, type, number of the word, offsets by text."""
+    """Template tokens of some texts: hash, hash of the original word, type, number of the word, offsets by text, may be a name."""
 
     hashes: np.ndarray
     words: np.ndarray
     kinds: np.ndarray
     place: np.ndarray
     first: np.ndarray
+    named: np.ndarray
 
 
 def hashes_of(words: list[str]) -> np.ndarray:
@@ -90,13 +95,29 @@ def template_tokens(texts: Texts) -> Tokens:
     behind = np.zeros(len(place), bool)
     behind[1:] = (kinds[:-1] == NUMBER) & ~starts_text[1:-1]
     kinds[behind & among(words, UNIT_HASHES) & (kinds != NUMBER)] = UNIT
-    return Tokens(np.where(kinds == LITERAL, words, PLACES[kinds]), words, kinds, place, first)
+    return Tokens(np.where(kinds == LITERAL, words, PLACES[kinds]), words, kinds, place, first, (kinds == NAME) | (capital[begin] & (kinds == LITERAL)))
 
 
-def windows(tokens: Tokens, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
+#: readings of a window: typed slots, names as words, plain words, a first word that may be a name
+TYPED, CASELESS, PLAIN, NAMED = range(4)
+
+
+def windows(tokens: Tokens, size: int, literals: int, reading: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and first token of each window of ``size`` tokens of one text with enough literals."""
-    hashes, at = runs(tokens.hashes, tokens.first, size)
-    sums = np.concatenate([[0], np.cumsum(tokens.kinds == LITERAL)])
+    if reading == PLAIN:
+        return runs(tokens.words, tokens.first, size)
+    words = (tokens.kinds == LITERAL) | ((tokens.kinds == NAME) & (reading == CASELESS))
+    sums = np.concatenate([[0], np.cumsum(words)])
+    if reading == NAMED:  # the hash of the window without its first token
+        hashes, at = runs(tokens.hashes, tokens.first, size - 1)
+        there = at > 0
+        there[there] = tokens.named[at[there] - 1]
+        text = np.searchsorted(tokens.first, at, "right") - 1
+        there &= at > tokens.first[text]
+        hashes, at = mix(hashes[there] ^ PLACES[NAME]), at[there]
+        enough = sums[at + size - 1] - sums[at] >= literals
+        return hashes[enough], at[enough] - 1
+    hashes, at = runs(np.where(words, tokens.words, tokens.hashes), tokens.first, size)
     enough = sums[at + size] - sums[at] >= literals
     return hashes[enough], at[enough]
 
@@ -111,41 +132,44 @@ class Items:
         found = [template_tokens(t) for _, _, t in blocks(pa.array([t for _, t in rows], pa.string()))]
         self.words = np.concatenate([t.words for t in found]) if found else np.zeros(0, U64)
         self.kinds = np.concatenate([t.kinds for t in found]) if found else np.zeros(0, np.int8)
-        firsts, hashes, sizes, ats = [np.zeros(1, np.int64)], [], [], []
+        firsts = [np.zeros(1, np.int64)]
+        found_of: dict[tuple[int, int], list] = {}
         for t in found:
             counts = np.diff(t.first)
             for size in np.unique(np.minimum(counts[counts > 0], rules.window)):
-                if size < rules.window and size < rules.literals:
-                    continue
-                hashed, at = windows(t, int(size), rules.literals)
-                item = np.searchsorted(t.first, at, "right") - 1
-                right = counts[item] == size if size < rules.window else counts[item] >= size
-                hashes.append(hashed[right])
-                sizes.append(np.full(right.sum(), size))
-                ats.append(at[right] + shift)
+                for reading in (TYPED, CASELESS, PLAIN, NAMED):
+                    if reading != PLAIN and size < rules.literals + (reading == NAMED):
+                        continue
+                    hashed, at = windows(t, int(size), rules.literals, reading)
+                    item = np.searchsorted(t.first, at, "right") - 1
+                    right = counts[item] == size if size < rules.window else counts[item] >= size
+                    if reading == NAMED:
+                        right &= at == t.first[item]
+                    found_of.setdefault((int(size), reading), []).append((hashed[right], at[right] + shift))
             firsts.append(t.first[1:] + shift)
             shift += t.first[-1]
         self.first = np.concatenate(firsts)
-        hashed = np.concatenate(hashes) if hashes else np.zeros(0, U64)
-        order = np.argsort(hashed, kind="stable")
-        self.hashes = hashed[order]
-        self.at = (np.concatenate(ats) if ats else np.zeros(0, np.int64))[order]
-        self.sizes = sorted(set(np.concatenate(sizes).tolist())) if sizes else []
+        self.known = {}
         self.bits = np.zeros(1 << 20, bool)
-        self.bits[(self.hashes & U64((1 << 20) - 1)).astype(np.int64)] = True
+        for size_and_reading, parts in sorted(found_of.items()):
+            hashed, at = (np.concatenate(x) for x in zip(*parts))
+            order = np.argsort(hashed, kind="stable")
+            if len(order):
+                self.known[size_and_reading] = hashed[order], at[order]
+                self.bits[(hashed & U64((1 << 20) - 1)).astype(np.int64)] = True
 
     def hits(self, tokens: Tokens) -> np.ndarray:
-        """Rows of document token, item token and size for every pair of equal windows."""
+        """Rows of document token, item token, size and reading for every pair of equal windows."""
         rows = []
-        for size in self.sizes:
-            hashed, at = windows(tokens, size, self.rules.literals)
+        for (size, reading), (hashes, where) in self.known.items():
+            hashed, at = windows(tokens, size, self.rules.literals, reading)
             likely = self.bits[(hashed & U64((1 << 20) - 1)).astype(np.int64)]
             hashed, at = hashed[likely], at[likely]
-            low, high = np.searchsorted(self.hashes, hashed), np.searchsorted(self.hashes, hashed, "right")
+            low, high = np.searchsorted(hashes, hashed), np.searchsorted(hashes, hashed, "right")
             n = high - low
             pick = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-            rows.append(np.stack([np.repeat(at, n), self.at[pick], np.full(len(pick), size)], 1))
-        return np.concatenate(rows) if rows else np.zeros((0, 3), np.int64)
+            rows.append(np.stack([np.repeat(at, n), where[pick], np.full(len(pick), size), np.full(len(pick), reading)], 1))
+        return np.concatenate(rows) if rows else np.zeros((0, 4), np.int64)
 
     def leaks(self, texts: Texts) -> Iterator[tuple[int, tuple]]:
         """(text, (item id, first word, end, matched tokens, item tokens, slots, exact)) of a block, the best alignment of each pair."""
@@ -157,33 +181,57 @@ class Items:
         item = np.searchsorted(self.first, hits[:, 1], "right") - 1
         diagonal = hits[:, 0] - hits[:, 1]
         order = np.lexsort((hits[:, 0], diagonal, item, text))
-        keys = np.stack([text, item, diagonal], 1)[order]
-        cuts = np.flatnonzero(np.any(keys[1:] != keys[:-1], axis=1)) + 1
+        keys = np.stack([text, item], 1)[order]
+        step = np.diff(diagonal[order])
+        other = np.any(keys[1:] != keys[:-1], axis=1)
+        cuts = np.flatnonzero(other | (step > self.rules.shift)) + 1
         best: dict[tuple[int, int], tuple] = {}
         for group in np.split(order, cuts):
             t, i = int(text[group[0]]), int(item[group[0]])
-            found = self.aligned(tokens, hits[group], i)
-            if found and found > best.get((t, i), ()):
-                best[t, i] = found
+            rows, lines = hits[group], diagonal[group]
+            # neighbouring diagonals together and each by itself; all readings, or else the words that are there as they are
+            sets = [rows, *(rows[lines == d] for d in np.unique(lines) if lines[0] != lines[-1])]
+            for some in sets:
+                for part in (some, some[some[:, 3] == PLAIN]):
+                    found = self.aligned(tokens, part, i) if len(part) else None
+                    if found and found > best.get((t, i), ()):
+                        best[t, i] = found
+                    if found:
+                        break
         for (t, i), (matched, exact, begin, end, size, slots) in sorted(best.items()):
             word = tokens.place - texts.first_word[t]
             yield t, (int(self.ids[i]), int(word[begin]), int(word[end - 1]) + 1, matched, size, slots, bool(exact))
 
     def aligned(self, tokens: Tokens, hits: np.ndarray, item: int) -> tuple | None:
-        """The tokens that the windows of one alignment cover, if there are enough and their slots are consistent."""
-        begin, end = int(hits[0, 0]), int((hits[:, 0] + hits[:, 2]).max())
-        covered = np.zeros(end - begin + 1, np.int64)
-        np.add.at(covered, hits[:, 0] - begin, 1)
-        np.add.at(covered, hits[:, 0] + hits[:, 2] - begin, -1)
-        mine = begin + np.flatnonzero(np.cumsum(covered)[:-1] > 0)
+        """The tokens that the windows of one alignment cover, if there are enough and their slots are consistent.
+
+        Of neighbouring diagonals the one that covers most goes first; the others add the tokens that it leaves.
+        """
+        parts = []
+        diagonal = hits[:, 0] - hits[:, 1]
+        for d in np.unique(diagonal):
+            one = hits[diagonal == d]
+            begin, end = int(one[:, 0].min()), int((one[:, 0] + one[:, 2]).max())
+            covered = np.zeros(end - begin + 1, np.int64)
+            np.add.at(covered, one[:, 0] - begin, 1)
+            np.add.at(covered, one[:, 0] + one[:, 2] - begin, -1)
+            mine = begin + np.flatnonzero(np.cumsum(covered)[:-1] > 0)
+            parts.append((mine, mine - d))
+        parts.sort(key=lambda p: -len(p[0]))
+        mine, theirs = parts[0]
+        for here, there in parts[1:]:
+            free = ~np.isin(here, mine) & ~np.isin(there, theirs)
+            mine, theirs = np.concatenate([mine, here[free]]), np.concatenate([theirs, there[free]])
         size = int(self.first[item + 1] - self.first[item])
         if len(mine) < min(self.rules.leak, size):
             return None
-        theirs = mine - begin + int(hits[0, 1])
-        slot = self.kinds[theirs] != LITERAL
-        pairs = set(zip(self.kinds[theirs][slot].tolist(), self.words[theirs][slot].tolist(), tokens.words[mine][slot].tolist()))
-        if len({p[:2] for p in pairs}) < len(pairs) or len({(p[0], p[2]) for p in pairs}) < len(pairs):
-            return None  # one value of the item became two, or two became one
+        slot = (self.kinds[theirs] != LITERAL) | (self.words[theirs] != tokens.words[mine])
+        kinds = np.where(self.kinds[theirs] == LITERAL, NAME, self.kinds[theirs])  # a first word that was read as a name
+        pairs = set(zip(kinds[slot].tolist(), self.words[theirs][slot].tolist(), tokens.words[mine][slot].tolist()))
+        names = [p for p in pairs if p[0] == NAME]
+        if len({p[:2] for p in pairs}) < len(pairs) or len({p[2] for p in names}) < len(names):
+            return None  # one value of the item became two, or two names became one
+        begin, end = int(mine.min()), int(mine.max()) + 1
         return len(mine), int(all(a == b for _, a, b in pairs)), begin, end, size, int(slot.sum())
 
 

@@ -72,3 +72,32 @@ def test_empty(spark, items):
     docs = spark.createDataFrame([(1, QUESTION)], "doc_id long, text string")
     assert leaks(docs, items.limit(0)).count() == 0 and clean(docs, items.limit(0)).count() == 1
     assert leaks(docs.limit(0), items).count() == 0 and clean(docs.limit(0), items).count() == 0
+
+
+def found_in(spark, items, texts):
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return sorted((r["doc_id"], r["item_id"], r["exact"]) for r in leaks(docs, bench).collect())
+
+
+def test_short_and_name_heavy_items(spark):
+    short, names = "Who won the 1998 World Cup Final in Paris France", "Alice Bob Carol Dave"
+    texts = [f"{FILLER} {short} {FILLER}", f'{FILLER} "{short}" {FILLER}', f"{FILLER}, {short.upper()} {FILLER}", short.lower(), f"{FILLER} {names}", short[:-7]]
+    assert found_in(spark, [short, names], texts) == [(0, 0, True), (1, 0, True), (2, 0, True), (3, 0, True), (4, 1, True)]
+
+
+def test_readings_of_the_first_word_and_of_names(spark):
+    item = "Alice sold 7 red hats at the market"
+    texts = [f'{FILLER} "Carol sold 9 red hats at the market" {FILLER}', f"{FILLER} {item.lower().replace('7', '9')}", f"{FILLER}. Carol sold 9 red hats at the market"]
+    assert found_in(spark, [item], texts) == [(0, 0, False), (1, 0, False), (2, 0, False)]
+
+
+def test_edited_items(spark):
+    item = "a train leaves the northern harbour at noon and reaches the quiet village before the evening bells"
+    put_in, left_out = item.replace("noon and", "noon today and"), item.replace("noon and", "noon")
+    assert found_in(spark, [item], [f"{FILLER} {put_in} {FILLER}", f"{FILLER} {left_out} {FILLER}", item[:40]]) == [(0, 0, True), (1, 0, True)]
+
+
+def test_equal_numbers_are_no_conflict_but_equal_names_are(spark):
+    same = QUESTION.replace("3 apples", "5 apples")
+    assert found_in(spark, [QUESTION], [f"{FILLER} {same}", f"{FILLER} {OTHER.replace('Dave', 'Carol')}", f"{FILLER} {MIXED_UP}"]) == [(0, 0, False)]
