@@ -146,9 +146,123 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
 from sized group by conv_id
 """
 
+
+def repair_sql() -> str:
+    """The parser as a fold over the turns of a conversation; a stack is a cost and an audit, and tops are four fields."""
+    best = lambda *stacks: f"list_min([{', '.join(stacks)}])"
+    step = lambda stack, letter, cost: f"{{'c': {stack}['c'] + {cost}, 'a': {stack}['a'] || '{letter}'}}"
+    none = "{'c': 1000000000::bigint, 'a': 'Z'}"
+    inserted = lambda s: (
+        f"{s}[1], {s}[2], " + best(f"{s}[3]", *(step(f"{s}[{i}]", "I", 3) for i in (1, 2, 4))) + f", {s}[4]"
+    )
+    answered = lambda s: f"{s}[1], {s}[2], {s}[3], " + best(f"{s}[4]", step(f"{s}[3]", "I", 3))
+    pair = best("s[1]", "s[2]", "s[4]")
+    kept = lambda stack, initial: f"case when x.k = '{initial}' then {step(stack, 'K', 'x.late')} else {none} end"
+    free = lambda stacks: f"case when x.k = '-' then {none} else {stacks} end"
+    moved = ", ".join(
+        [
+            step("s[1]", "D", 4),
+            best(step("s[2]", "D", 4), kept("s[1]", "s")),
+            best(step("s[3]", "D", 4), kept(pair, "u"), free(step(pair, "R", "3 + x.late"))),
+            best(step("s[4]", "D", 4), kept("s[3]", "a"), free(step("s[3]", "R", "3 + x.late"))),
+        ]
+    )
+    word = "[^\\x20\\x09-\\x0D]"
+    return f"""
+with recursive {CRC} filled as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {crc32("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as draw
+  from conversations, crc_table
+), damaged as (
+  select conv_id, turn, case when draw = 4 then 'user' else role end as role,
+    case when draw = 1 then '' when draw = 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text
+  from filled, range(2) copy(i) where draw <> 0 and (i = 0 or draw = 3)
+), seen as (
+  select *, row_number() over (partition by conv_id, role, text order by turn nulls first) as repeat from damaged
+), faulty as (
+  select *, case when not regexp_matches(text, '{word}') then 'blank' when repeat > 1 then 'duplicate'
+      when list_last(regexp_extract_all(text, '{word}')) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    row_number() over (partition by conv_id order by turn nulls first, role, text, repeat) as i,
+    lag(left(role, 1)) over (partition by conv_id order by turn nulls first, role, text, repeat) as before
+  from seen
+), listed as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (fault = 'blank') as blank,
+    count(*) filter (fault = 'duplicate') as duplicate, count(*) filter (fault = 'truncated') as truncated,
+    count(*) filter (before is not null and before || left(role, 1) not in ('su', 'ua', 'au')) as illegal,
+    list({{'k': case when fault in ('blank', 'duplicate') then '-' when left(role, 1) in ('s', 'u', 'a') then left(role, 1) else '' end,
+      'late': case when fault = 'truncated' then 3 else 0 end}} order by i) as xs, count(*) as n
+  from faulty group by conv_id
+), parsed as (
+  select conv_id, 0 as i, [{{'c': 0::bigint, 'a': ''}}, {none}, {none}, {none}] as s from listed
+  union all
+  select conv_id, i + 1, [{moved}] from (
+    select p.conv_id, p.i, l.xs[p.i + 1] as x, [{answered('t')}] as s
+    from (select *, [{inserted('s')}] as t from parsed) p join listed l on p.conv_id is not distinct from l.conv_id where p.i < l.n
+  )
+), ended as (
+  select conv_id, i, {best('t[1]', 't[4]')} as found from (select conv_id, i, [{answered('t')}] as t from (select *, [{inserted('s')}] as t from parsed))
+), audited as (
+  select l.*, e.found['c'] as cost, e.found['a'] as audit from listed l join ended e on l.conv_id is not distinct from e.conv_id and e.i = l.n
+), letters as (
+  select conv_id, audit[j] as letter, j, sum(case when audit[j] = 'I' then 0 else 1 end) over (partition by conv_id order by j) as i
+  from (select conv_id, audit, unnest(range(1, length(audit) + 1)) as j from audited)
+), turns as (
+  select p.conv_id, j, letter, case when letter = 'I' then '' else text end as text, case when letter = 'K' then role end as role,
+    row_number() over (partition by p.conv_id order by j) as place,
+    first_value(case when letter = 'K' and left(role, 1) = 's' then 1 else 0 end) over (partition by p.conv_id order by j) as led
+  from letters p left join faulty f on p.conv_id is not distinct from f.conv_id and p.i = f.i where letter <> 'D'
+), repaired as (
+  select conv_id, string_agg(coalesce(role, case when (place - led) % 2 = 1 then 'user' else 'assistant' end) || ':' || text, chr(10) order by j) as lines
+  from turns group by conv_id
+)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+  coalesce(illegal, 0) as illegal, coalesce(cost, 0)::bigint as cost, coalesce(audit, '') as audit, sha256(coalesce(lines, '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join audited a on c.conv_id is not distinct from a.conv_id
+left join repaired r on c.conv_id is not distinct from r.conv_id
+"""
+
+
+FILTER_AUDIT = r"""
+with base as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents
+), firsts as (
+  select text, min(doc_id) as least from base group by text
+), marks as (
+  select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id
+), words as (
+  select doc_id, part, text, regexp_extract_all(text, '[^ 	-]+') as w from base
+), judged as (
+  select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    [case when len(w) < 100 then 1 else 0 end, case when 100 * len(list_distinct(w)) < 80 * len(w) then 1 else 0 end,
+     case when 100 * length(regexp_replace(b.text, '[^A-Z]', '', 'g')) > 10 * length(b.text) then 1 else 0 end,
+     case when regexp_matches(b.text, '[#$%&*|]') then 1 else 0 end, case when b.doc_id > least then 1 else 0 end] as fails
+  from words b join firsts f on b.text = f.text left join marks m on b.doc_id = m.doc_id
+), counted as (
+  select part, fails, list_sum(fails) as failed, count(*) as n, sum(good) as good, sum(toxic) as toxic from judged group by part, fails
+), letters(letter, i) as (values ('A', 1), ('B', 2), ('C', 3), ('D', 4), ('E', 5)
+), orders as (
+  select a.letter || b.letter || c.letter || d.letter || e.letter as filter_order, [a.i, b.i, c.i, d.i, e.i] as places
+  from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5
+), steps as (
+  select filter_order, step::int as step, places[step] as own, places[1:step - 1] as before from orders, range(1, 6) r(step)
+), met as (
+  select part, filter_order, step, fails[own] as hit, coalesce(list_sum(list_transform(before, lambda k: fails[k])), 0) as earlier, failed, n, good, toxic
+  from counted, steps
+)
+select part, filter_order, step,
+  coalesce(sum(n) filter (hit = 0 and earlier = 0), 0)::bigint as kept, coalesce(sum(n) filter (hit = 1 and earlier = 0), 0)::bigint as removed,
+  coalesce(sum(n) filter (hit = 1 and earlier > 0), 0)::bigint as redundant, coalesce(sum(n) filter (hit = 1 and failed = 1), 0)::bigint as unique_fails,
+  coalesce(sum(good) filter (hit = 1 and earlier = 0), 0)::bigint as good_lost, coalesce(sum(toxic) filter (hit = 1 and earlier = 0), 0)::bigint as toxic_lost,
+  coalesce(sum(n * 120 // nullif(failed, 0)) filter (hit = 1), 0)::bigint as shapley
+from met group by part, filter_order, step
+"""
+
 ORACLES: dict[str, str] = {
     "op1_sharding": sharding_sql(),
     "op2_mixing": MIXING,
     "op3_secret_scan": SECRETS,
     "op8_chat_format": CHAT,
+    "op11_turn_repair": repair_sql(),
+    "op13_filter_audit": FILTER_AUDIT,
 }

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carepath.llm import chat, decontaminate, licenses, mixing, near_dup, passages, quality, secrets, sharding, token_counts
+from carepath.llm import chat, decontaminate, filter_audit, licenses, mixing, near_dup, packing, passages, quality, secrets, sharding, token_counts, turn_repair
 from carepath.session import scratch
 
 SHARDS = 24
 TOKENIZER = "byte_bpe_50k.json"
+#: the same vocabulary for the faster library
+RANKS = "byte_bpe_50k.tiktoken"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +74,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(docs, quality.fit(docs, labels))
 
 
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, lost = turn_repair.damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return turn_repair.digests(turn_repair.repair(rows, lost))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = public_tokenizers.path(RANKS)
+    return packing.digests(packing.pack(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), ranks=ranks, pattern=public_tokenizers.PATTERN))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return filter_audit.filter_audit(spark, f"{sf_dir}/documents.parquet", labels)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -83,4 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_turn_repair": op11_turn_repair,
+    "op12_packing": op12_packing,
+    "op13_filter_audit": op13_filter_audit,
 }

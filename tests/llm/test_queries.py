@@ -16,9 +16,9 @@ pytestmark = pytest.mark.skipif(not Path(SMOKE_DIR).exists(), reason="no generat
 NAMES = [n for n in queries() if n.startswith("op") or n == "pipeline"]
 
 
-def test_eleven_queries():
-    assert len(NAMES) == 11
-    assert {n.split("_")[0] for n in NAMES} == {"pipeline", *(f"op{i}" for i in range(1, 11))}
+def test_fourteen_queries():
+    assert len(NAMES) == 14
+    assert {n.split("_")[0] for n in NAMES} == {"pipeline", *(f"op{i}" for i in range(1, 14))}
 
 
 @pytest.mark.parametrize("name", NAMES)
