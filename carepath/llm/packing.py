@@ -45,6 +45,15 @@ FAST_BELOW = 0x250
 LONG = 1 << 17
 
 
+def beyond(text: str) -> bool:
+    """Whether a text has characters from ``FAST_BELOW`` on."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return max(text) >= chr(FAST_BELOW)
+    return False
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, ranks: str | None, pattern: str | None):
     """A function from a text to the ids that the library gives for the tokenizer file at ``path``.
@@ -70,7 +79,7 @@ def encoder(path: str, ranks: str | None, pattern: str | None):
     def encode(text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if max(text) >= chr(FAST_BELOW):
+        if beyond(text):
             return slow(text)
         if len(text) <= LONG:
             return quick.encode_to_numpy(text, allowed_special="all")
@@ -127,7 +136,7 @@ class Index:
         lengths = np.concatenate([t.words_of for _, _, t in parts]) if parts else np.zeros(0, np.int64)
         self.count = len(lengths)
         doc = np.repeat(np.arange(self.count), lengths)
-        order = np.lexsort((doc, hashes))
+        order = np.argsort(hashes, kind="stable")  # documents of a word stay in order
         hashes, doc = hashes[order], doc[order]
         new = np.ones(len(hashes), bool)
         new[1:] = (hashes[1:] != hashes[:-1]) | (doc[1:] != doc[:-1])
