@@ -10,9 +10,10 @@ shingles must reach the threshold.
 
 First each member of a bucket is compared with one random leader, then, in buckets that are not one class yet, with the two
 members that have the most links, which closes a class around an original. What is left are texts that are somewhat
-alike. Those that share too few shingles with all other classes are left out by an exact bound; the others are compared
-with the texts of other classes in their buckets. To prove that texts near the threshold have no link takes these
-comparisons, so they grow with the size of such a bucket (see the README).
+alike. Those that share too few shingles with all other classes are left out by an exact bound. The others meet the texts of other
+classes in their buckets under a second exact bound: shingles that classes share are counted in cells of their hash, and two texts have no
+more in common than the sum of the lesser counts. Texts that lost different parts of one original, which are all just below the
+threshold to each other, fall apart by that without a look at their shingles, and hardly any pair is left to verify.
 """
 
 from __future__ import annotations
@@ -141,15 +142,21 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return materialise(both.filter(common >= F.lit(least) * (sizes - common) - 1e-9).select("a", "b"), "links")
 
 
+#: cells of the hash in which shared shingles are counted; more cells, a tighter bound
+CELLS = 32
+
+
 def shared_parts(sets: DataFrame, classes: DataFrame) -> DataFrame:
-    """``tid, n, shared`` of the texts of ``classes`` (``tid, class``): their shingles, and those that a text of another class has too.
+    """``tid, n, shared, cells`` of the texts of ``classes`` (``tid, class``): their shingles, and those that a text of another class has too.
 
-    A text that shares none is left out.
+    ``cells`` counts the shared ones by a part of their hash. A text that shares none is left out.
     """
     looked = sets.join(classes, "tid").select("tid", "class", F.size("set").alias("n"), "set")
     every = looked.select("tid", "class", "n", F.explode("set").alias("shingle"))
     common = every.groupBy("shingle").agg(F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("shingle")
-    return every.join(common, "shingle").groupBy("tid", "n").agg(F.count("*").alias("shared"))
+    cell = F.pmod("shingle", F.lit(CELLS))
+    counts = F.array(*[F.count_if(cell == c).cast("int") for c in range(CELLS)])
+    return every.join(common, "shingle").groupBy("tid", "n").agg(F.count("*").alias("shared"), counts.alias("cells"))
 
 
 def still_open(active: DataFrame, labels: DataFrame) -> DataFrame:
@@ -159,9 +166,11 @@ def still_open(active: DataFrame, labels: DataFrame) -> DataFrame:
     return materialise(named.join(open_buckets, "band", "left_semi"), "active")
 
 
-def may_reach(least: float, n: Column, shared: Column, m: Column, other_shared: Column) -> Column:
-    """Whether two texts of ``n`` and ``m`` shingles, of which they share no more than these, can reach the similarity."""
-    return F.least(shared, other_shared) >= F.lit(least / (1 + least)) * (n + m) - 1e-6
+def may_reach(least: float) -> Column:
+    """Whether two texts of different classes can reach the similarity, by their sizes and by what they may have in common."""
+    needed = F.lit(least / (1 + least)) * (F.col("n") + F.col("r_n")) - 1e-6
+    common = sum((F.least(F.col("cells")[c], F.col("r_cells")[c]) for c in range(1, CELLS)), F.least(F.col("cells")[0], F.col("r_cells")[0]))
+    return (F.least("shared", "r_shared") >= needed) & (common >= needed)
 
 
 def across_classes(active: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -173,15 +182,14 @@ def across_classes(active: DataFrame, sets: DataFrame, least: float) -> DataFram
     classes = active.select("tid", "class").distinct()
     sizes = shared_parts(sets, narrow(materialise(classes, "open"))).filter(F.col("shared") >= F.lit(least) * F.col("n") - 1e-6)
     weight = classes.groupBy("class").agg(F.count("*").alias("members"))
-    facts = ["tid", "class", "n", "shared"]
+    facts = ["tid", "class", "n", "shared", "cells"]
     rows = active.select("band", "tid", "class").join(narrow(materialise(sizes, "sizes")), "tid").join(narrow(materialise(weight, "weights")), "class")
     rows = materialise(rows.select("band", *facts, "members"), "rows")
     groups = rows.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high"), F.max(F.struct("members", "class")).alias("main"))
     groups = groups.filter("low < high").select("band", F.col("main.class").alias("main"))
     left = rows.join(groups, "band").filter(F.col("class") != F.col("main"))
     right = rows.select("band", *[F.col(c).alias(f"r_{c}") for c in facts])
-    reach = (F.col("class") != F.col("r_class")) & may_reach(least, F.col("n"), F.col("shared"), F.col("r_n"), F.col("r_shared"))
-    met = left.join(right, "band").filter(reach)
+    met = left.join(right, "band").filter((F.col("class") != F.col("r_class")) & may_reach(least))
     return met.select(F.least("tid", "r_tid").alias("a"), F.greatest("tid", "r_tid").alias("b")).distinct()
 
 

@@ -124,3 +124,11 @@ def test_pairs_with_lines_repeated_hundreds_of_times(spark):
     wanted = brute(texts)
     assert len(set(wanted.values())) == 40
     assert dict(map(tuple, classes(docs).collect())) == wanted
+
+
+def test_large_group_near_the_threshold(spark):
+    """Copies of one text that lost different parts of it: mostly just below the similarity to each other."""
+    base = [R.choice(VOCABULARY) for _ in range(150)]
+    texts = {i: " ".join(edited(base, R.choice([1, 3, 4, 5, 6]))) for i in range(250)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert dict(map(tuple, classes(docs).collect())) == brute(texts)
