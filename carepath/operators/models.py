@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from carepath.constants import OUTCOME, PERSON
 from carepath.functions.draws import draw_integer
-from carepath.operators.metrics import get_scores
+from carepath.operators.joint import Fit, JointModel, fit_all, prepared, probabilities_of
+from carepath.operators.metrics import get_scores, get_scores_by
 from carepath.operators.splits import class_weights, fold_classes, group_folds
 
 RIDGE, FOREST, BOOSTING = "ridge", "random_forests", "hist_gradient_boosting"
@@ -178,10 +179,44 @@ def random_search(
     return SearchResult(search.bestModel, points[best], list(zip(points, search.avgMetrics)), n_splits)
 
 
+#: features up to which all labels are fitted together; beyond, each label has a fit of its own
+JOINT_FEATURES = 2048
+
+
+def fits_together(person: DataFrame, config: EstimatorConfig) -> bool:
+    """Whether the labels are linear models of few enough features to share the passes over the rows."""
+    if config.estimator_name != RIDGE:
+        return False
+    first = person.select(F.size(vector_to_array("features"))).first()
+    return first is not None and first[0] <= JOINT_FEATURES
+
+
+def label_weights(config: EstimatorConfig, cases: int, rows: int) -> tuple[float, float]:
+    """Weights of other rows and of cases, as :func:`prepare_training` gives them."""
+    rate = cases / rows if rows else 0.0
+    if config.balanced:
+        return (0.5 / (1 - rate) if rate < 1 else 1.0), (0.5 / rate if rate > 0 else 1.0)
+    if config.class_weight == "prevalence":
+        return 1 - rate, rate
+    return tuple(float(w) for w in config.class_weight or (1.0, 1.0))
+
+
+def _cases(person: DataFrame, classes: list[str], *by: str) -> list:
+    """Rows and cases of each class, overall or by a column."""
+    present = [F.count_if(F.array_contains(OUTCOME, c)).alias(c) for c in classes]
+    return person.groupBy(*by).agg(F.count("*").alias("n"), *present).collect()
+
+
 def fit_multilabel(
     person: DataFrame, config: EstimatorConfig, classes: list[str], parameters: dict | None = None, seed: int = 0
-) -> dict[str, Model]:
-    """One binary model per label, on one kept table of features."""
+) -> dict[str, Model] | JointModel:
+    """One binary model per label: together in one matrix where they are linear, else one after the other on one kept table."""
+    if fits_together(person, config):
+        counts = _cases(person, classes)[0]
+        penalty = float((parameters or {}).get("regParam", 0.0))
+        fits = [Fit(i, -2, penalty, label_weights(config, counts[c], counts["n"])) for i, c in enumerate(classes)]
+        coefficients, intercepts, _ = fit_all(prepared(person, classes), fits, len(classes), config.max_iter)
+        return JointModel(list(classes), coefficients, intercepts)
     rows = person.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return {label: fit(_one_label(rows, label), config, parameters, seed) for label in classes}
@@ -193,6 +228,52 @@ def _one_label(person: DataFrame, label: str) -> DataFrame:
     return person.withColumn(OUTCOME, F.array_contains(OUTCOME, label).cast("int"))
 
 
+SCORES = {"roc_auc": "roc_auc_score", "average_precision": "average_precision_score"}
+
+
+def _scored_labels(cases: dict, fold: int, classes: list[str]) -> list[str]:
+    """Labels with both classes in a fold and in the others."""
+    rest = [row for other, row in cases.items() if other != fold]
+    return [
+        c for c in classes
+        if 0 < cases[fold][c] < cases[fold]["n"] and 0 < sum(row[c] for row in rest) < sum(row["n"] for row in rest)
+    ]
+
+
+def _joint_scores(
+    folds: DataFrame, config: EstimatorConfig, classes: list[str], points: list[dict], scoring: str, cases: dict
+) -> list[tuple[dict, float]]:
+    """Mean score of each point over labels and folds; all points, folds and labels are fitted and scored together."""
+    rows = prepared(folds, classes, "fold")
+    fits, of = [], []
+    for number, point in enumerate(points):
+        for fold in sorted(cases):
+            n = sum(row["n"] for other, row in cases.items() if other != fold)
+            for label in _scored_labels(cases, fold, classes):
+                count = sum(row[label] for other, row in cases.items() if other != fold)
+                place = classes.index(label)
+                fits.append(Fit(place, fold, float(point.get("regParam", 0.0)), label_weights(config, count, n)))
+                of.append((number, fold, place))
+    if not fits:
+        return [(point, float("nan")) for point in points]
+    coefficients, intercepts, _ = fit_all(rows, fits, len(classes), config.max_iter)
+    by_fold = {}
+    for model, (number, fold, place) in enumerate(of):
+        by_fold.setdefault(fold, []).append((model, number, place))
+    held = None
+    for fold, members in by_fold.items():
+        chosen = [m for m, _, _ in members]
+        scored = rows.filter(F.col("fold") == fold).withColumn("p", probabilities_of(coefficients[chosen], intercepts[chosen])("x"))
+        named = F.array(*[F.struct(F.lit(number).alias("point"), F.lit(place).alias("label")) for _, number, place in members])
+        exploded = scored.select("fold", "y", F.explode(F.arrays_zip("p", named.alias("m"))).alias("z"))
+        part = exploded.select("fold", F.col("z.m.point").alias("point"), F.col("z.m.label").alias("label"), F.col("z.p").alias("p"),
+                               F.get("y", F.col("z.m.label")).cast("int").alias("y"))
+        held = part if held is None else held.unionByName(part)
+    means = get_scores_by(held, ["point", "fold", "label"]).groupBy("point").agg(F.avg(SCORES[scoring]).alias("mean")).collect()
+    found = {row["point"]: row["mean"] for row in means}
+    return [(point, float("nan") if found.get(i) is None else found[i]) for i, point in enumerate(points)]
+
+
 def search_multilabel(
     person: DataFrame,
     config: EstimatorConfig,
@@ -202,41 +283,49 @@ def search_multilabel(
     seed: int = 0,
     n_splits: int = 5,
     group: str = "first_care_site_id",
-) -> tuple[dict[str, Model], dict, list[tuple[dict, float]], int]:
+) -> tuple[dict[str, Model] | JointModel, dict, list[tuple[dict, float]], int]:
     """Models of the best point: the one with the best mean score over labels and folds.
 
     All labels share the folds of a point. A label with one class in a part of a fold is left out of that
-    fold's mean; labels without any score do not count. Returns models, point, scores, folds.
+    fold's mean; labels without any score do not count. Linear models are fitted together, whatever the number of points, folds and
+    labels. Returns models, point, scores, folds.
     """
     folds = group_folds(person, group, n_splits).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        present = [F.count_if(F.array_contains(OUTCOME, c)).alias(c) for c in classes]
-        cases = {row["fold"]: row for row in folds.groupBy("fold").agg(F.count("*").alias("n"), *present).collect()}
-        scores = []
-        for point in points:
-            found = []
-            for fold in sorted(cases):
-                rest = [row for other, row in cases.items() if other != fold]
-                labels = [
-                    c for c in classes
-                    if 0 < cases[fold][c] < cases[fold]["n"] and 0 < sum(row[c] for row in rest) < sum(row["n"] for row in rest)
-                ]
-                if not labels:
-                    continue
-                train = folds.filter(F.col("fold") != fold).drop("fold")
-                fitted = {c: fit(_one_label(train, c), config, point, seed) for c in labels}
-                rows = predict_multilabel(fitted, folds.filter(F.col("fold") == fold))
-                name = {"roc_auc": "roc_auc_score", "average_precision": "average_precision_score"}[scoring]
-                found += [row[name] for row in get_scores(rows, "class").collect()]
-            scores.append((point, sum(found) / len(found) if found else float("nan")))
+        cases = {row["fold"]: row for row in _cases(folds, classes, "fold")}
+        if fits_together(person, config):
+            scores = _joint_scores(folds, config, classes, points, scoring, cases)
+        else:
+            scores = [(point, _single_scores(folds, config, classes, point, scoring, seed, cases)) for point in points]
     finally:
         folds.unpersist()
     best = max(scores, key=lambda s: -math.inf if math.isnan(s[1]) else s[1])[0]
     return fit_multilabel(person, config, classes, best, seed), best, scores, len(cases)
 
 
-def predict_multilabel(models: dict[str, Model], person: DataFrame) -> DataFrame:
+def _single_scores(
+    folds: DataFrame, config: EstimatorConfig, classes: list[str], point: dict, scoring: str, seed: int, cases: dict
+) -> float:
+    """Mean score of a point, one fit for each label and fold."""
+    found = []
+    for fold in sorted(cases):
+        labels = _scored_labels(cases, fold, classes)
+        if not labels:
+            continue
+        train = folds.filter(F.col("fold") != fold).drop("fold")
+        fitted = {c: fit(_one_label(train, c), config, point, seed) for c in labels}
+        rows = predict_multilabel(fitted, folds.filter(F.col("fold") == fold))
+        found += [row[SCORES[scoring]] for row in get_scores(rows, "class").collect()]
+    return sum(found) / len(found) if found else float("nan")
+
+
+def predict_multilabel(models: dict[str, Model] | JointModel, person: DataFrame) -> DataFrame:
     """One row per (person, class) with the presence and the probability of the class."""
+    if isinstance(models, JointModel):
+        names = F.array(*[F.lit(c) for c in models.classes])
+        scored = person.withColumn("_p", models.probabilities(vector_to_array("features")))
+        long = scored.select(PERSON, OUTCOME, F.explode(F.arrays_zip(names.alias("class"), F.col("_p").alias("p"))).alias("_s"))
+        return long.select(PERSON, "_s.class", F.array_contains(OUTCOME, F.col("_s.class")).cast("int").alias("y"), "_s.p")
     scored, columns = person, []
     for label, model in models.items():
         outputs = {"featuresCol": "features", "predictionCol": f"_prediction_{label}",

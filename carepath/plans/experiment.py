@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, fields, replace
 from itertools import product
 
 from pyspark.ml.feature import VectorAssembler
@@ -43,6 +43,7 @@ from carepath.operators.runs import DECAY_COLUMN
 from carepath.operators.splits import compute_person_subsample, person_split
 from carepath.operators.tasks import NaivePrognosisBaseline, label_scores
 from carepath.session import materialise
+from carepath.sources.run_ledger import RunLedger, run_key
 
 # fixed values: names of the featurizers
 DEMOGRAPHICS = "Demographics"
@@ -214,6 +215,51 @@ def _common(name: str, estimator: EstimatorConfig, size: float, seed: int, decay
     }
 
 
+class Runs:
+    """The runs of a grid: which are open, and their records.
+
+    With a ledger a record is stored when its run ends, and runs that are stored are not made again. ``data`` names what the grid runs on
+    and is part of the key of a run, as are all settings of the grid.
+    """
+
+    def __init__(self, config: ExperimentConfig, ledger: RunLedger | None, data: str, kind: str):
+        varied = {"estimators", "featurizers", "subtrain_sizes", "seeds"}
+        settings = {f.name: getattr(config, f.name) for f in fields(config) if f.name not in varied}
+        self.common = {"kind": kind, "data": data, "settings": settings}
+        self.ledger, self.records, self.planned = ledger, {}, []
+        for name, seed, size in product(config.featurizers, config.seeds, config.subtrain_sizes):
+            self.planned += [self.of(name, estimator, size, seed) for estimator in config.estimators]
+
+    def of(self, name: str, estimator: EstimatorConfig | None, size: float | None, seed: int | None) -> dict:
+        return {
+            **self.common, "featurizer": name, "estimator": asdict(estimator) if estimator else "naive_baseline",
+            "subtrain_size": None if size is None else float(size), "seed": seed,
+        }
+
+    def plan(self, *more: dict) -> set[str]:
+        """Keys of the runs to make; ``more`` are planned behind the grid."""
+        self.planned += more
+        positions = range(len(self.planned)) if self.ledger is None else self.ledger.open_runs(self.planned)
+        self.open = {run_key(self.planned[i]) for i in positions}
+        return self.open
+
+    def is_open(self, *run) -> bool:
+        return run_key(self.of(*run)) in self.open
+
+    def add(self, run: tuple, record: dict) -> None:
+        planned = self.of(*run)
+        if self.ledger is None:
+            self.records[run_key(planned)] = record
+        else:
+            self.ledger.append(planned, record)
+
+    def all(self) -> list[dict]:
+        """Records in the order of the grid."""
+        if self.ledger is not None:
+            return self.ledger.run(self.planned, lambda _: {})
+        return [self.records[run_key(planned)] for planned in self.planned]
+
+
 def run_grid(
     person: DataFrame,
     event: DataFrame,
@@ -221,16 +267,23 @@ def run_grid(
     config: ExperimentConfig,
     embeddings: DataFrame | None = None,
     icd10_tree: DataFrame | None = None,
+    ledger: RunLedger | None = None,
+    data: str = "",
 ) -> list[dict]:
     """Run every combination on a binary outcome and return its record: parameters, sizes,
     prevalences, scores.
 
     Decays are searched with the parameters of the estimator. The features of a (featurizer, seed, size, decays) are
-    written once for its estimators.
+    written once for its estimators. With a ``ledger`` each record is stored when its run ends, and a grid that was ended
+    goes on with its open runs; ``data`` names the inputs.
     """
+    grid = Runs(config, ledger, data, "binary")
+    if not grid.plan():
+        return grid.all()
     event, train_all, test, sizes = _prepare(person, event, dataset_split, config, icd10_tree)
-    records = []
     for name, seed, size in product(config.featurizers, config.seeds, config.subtrain_sizes):
+        if not any(grid.is_open(name, estimator, size, seed) for estimator in config.estimators):
+            continue
         others = {"test": test}
         train = train_all
         if config.validation_size is not None:
@@ -241,6 +294,9 @@ def run_grid(
         train = materialise(compute_person_subsample(train, size, config.positive_ratio, seed), "train")
         parts = Parts(name, config, event, train, others, embeddings)
         for estimator in config.estimators:
+            run = (name, estimator, size, seed)
+            if not grid.is_open(*run):
+                continue
             if config.positive_ratio is not None:
                 estimator = replace(estimator, class_weight="prevalence", balanced=False)
             started, before = time.monotonic(), parts.seconds
@@ -267,8 +323,8 @@ def run_grid(
             record["n_person_subtrain"] = record["n_person_train"]
             # features made for an estimator before this one count for this one too
             record["compute_time"] = time.monotonic() - started + before
-            records.append(record)
-    return records
+            grid.add(run, record)
+    return grid.all()
 
 
 def _prevalences(rows: DataFrame, classes: list[str], part: str) -> dict[str, float]:
@@ -284,17 +340,23 @@ def run_multilabel_grid(
     classes: list[str],
     icd10_tree: DataFrame,
     embeddings: DataFrame | None = None,
+    ledger: RunLedger | None = None,
+    data: str = "",
 ) -> list[dict]:
     """The grid for a list of labels: one model per label, and the past diagnoses as a baseline.
 
     Points are compared by cross-validation over all labels. Sizes are shares of all train persons, also when some of them are
-    kept for validation. The baseline sees all events, rare codes too.
+    kept for validation. The baseline sees all events, rare codes too. ``ledger`` and ``data`` are those of :func:`run_grid`.
     """
+    grid = Runs(config, ledger, f"{data}:{','.join(classes)}", "multilabel")
+    if not grid.plan(grid.of("None", None, None, None)):
+        return grid.all()
     all_events = event
     event, train_all, test, sizes = _prepare(person, event, dataset_split, config, icd10_tree)
     common = {**sizes, **_prevalences(test, classes, "test")}
-    records = []
     for name, seed, size in product(config.featurizers, config.seeds, config.subtrain_sizes):
+        if not any(grid.is_open(name, estimator, size, seed) for estimator in config.estimators):
+            continue
         train, share = train_all, float(size)
         if config.validation_size is not None:
             _, train = person_split(train_all, train_size=config.validation_size, random_seed=seed)
@@ -302,6 +364,8 @@ def run_multilabel_grid(
         train, _ = person_split(train, train_size=1 if share == 1.0 else share, random_seed=seed)
         parts = Parts(name, config, event, materialise(train, "train"), {"test": test}, embeddings)
         for estimator in config.estimators:
+            if not grid.is_open(name, estimator, size, seed):
+                continue
             started, before = time.monotonic(), parts.seconds
             found = {
                 decays: search_multilabel(
@@ -314,7 +378,8 @@ def run_multilabel_grid(
             train_rows, test_rows = parts.of(decays)["train"], parts.of(decays)["test"]
             scores = scores_as_columns(get_scores(predict_multilabel(fitted, test_rows), "class"))
             train_scores = scores_as_columns(get_scores(predict_multilabel(fitted, train_rows), "class"))
-            records.append(
+            grid.add(
+                (name, estimator, size, seed),
                 {
                     **_common(name, estimator, size, seed, decays, best),
                     "n_folds": n_folds,
@@ -327,11 +392,14 @@ def run_multilabel_grid(
                     "compute_time": time.monotonic() - started + before,
                 }
             )
+    if not grid.is_open("None", None, None, None):
+        return grid.all()
     started = time.monotonic()
     baseline = NaivePrognosisBaseline(all_events, icd10_tree).predict_proba(test, classes)
     truth = label_scores(test, OUTCOME, classes, OUTCOME)
     rows = baseline.join(truth, [PERSON, "class"]).withColumn("p", F.col("score").cast("double"))
-    records.append(
+    grid.add(
+        ("None", None, None, None),
         {
             "estimator": "naive_baseline",
             "featurizer": "None",
@@ -341,4 +409,4 @@ def run_multilabel_grid(
             "compute_time": time.monotonic() - started,
         }
     )
-    return records
+    return grid.all()

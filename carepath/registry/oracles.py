@@ -566,6 +566,12 @@ BODIES = {
                 order by round(list_cosine_similarity(e.embedding, s.embedding),9) desc, e.event_source_concept_id) rank
         from v_embedding e, v_embedding s where s.event_source_concept_id in ('A000','B011','C022','D033','E044')
         and e.event_source_concept_id<>s.event_source_concept_id) where rank<=10""",
+    "nearest_codes_all": """select source_code, code, round(similarity,6) similarity, cast(rank as int) rank from (
+        select e.event_source_concept_id code, s.event_source_concept_id source_code,
+            round(list_cosine_similarity(e.embedding, s.embedding),9) similarity,
+            row_number() over (partition by s.event_source_concept_id
+                order by round(list_cosine_similarity(e.embedding, s.embedding),9) desc, e.event_source_concept_id) rank
+        from v_embedding e, v_embedding s where e.event_source_concept_id<>s.event_source_concept_id) where rank<=10""",
     "add_age": f"""select person_id,
         round({_days('birth_datetime', "timestamp '2000-01-01 12:00:00'")}/365.0::double,6) age_in_2000,
         round({_days('birth_datetime', 'death_datetime')}/365.0::double,6) age_to_death_datetime from v_person""",
@@ -728,11 +734,15 @@ BODIES |= {
                 or (select min(m) from m) > 0.5 then (select avg(y) from r where dataset='train') else m end from m
             union all select gender_source_value, 'hist_gradient_boosting', 1/(1+exp(-2*(2*b-1))) from m)
         using (gender_source_value)""",
-    "fit_multilabel": f"""with s as (select person_id from v_prognosis_split where dataset='external_test'
+    "fit_multilabel": f"""with s as (select person_id from v_prognosis_split where dataset='train'
             and person_id in (select person_id from v_prognosis_event
             where event_source_concept_id in (select event_source_concept_id from v_embedding)))
-        select person_id, class, cast(list_contains(labels, class) as int) y, true in_range
-        from v_prognosis join s using (person_id), {_CHAPTERS_22}""",
+        select class, count(*) n_persons, count(*) filter (list_contains(labels, class)) n_cases,
+            round(avg(cast(list_contains(labels, class) as double)), 4) mean_p
+        from v_prognosis join s using (person_id), {_CHAPTERS_22} group by class""",
+    "resumed_grid": """select 'ridge' estimator, featurizer, p.n n_person_raw, e.n n_event_raw, e.c n_codes_raw, 1::bigint n_runs, 1::bigint n_keys
+        from (select count(*) n from v_mace) p, (select count(*) n, count(distinct event_source_concept_id) c from v_observed) e,
+        (select unnest(['Demographics', 'Embeddings']) featurizer)""",
     "random_search": " union all ".join(
         f"select '{{''regParam'': {p}}}' parameters, true in_range, true not_above_best" for p in (0.001, 0.01, 0.1, 0.5, 1.0)
     ),

@@ -7,7 +7,7 @@ can be compared value by value.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.ml.stat import Summarizer
@@ -39,6 +39,7 @@ from carepath.operators import (
     features,
     metrics,
     models,
+    neighbours,
     quality,
     reports,
     runs,
@@ -51,7 +52,7 @@ from carepath.plans import experiment
 from carepath.registry import views
 from carepath.registry.views import STUDY_END, STUDY_START
 from carepath.session import materialise, prepare_session, scratch
-from carepath.sources import catalog, cohort, run_logs
+from carepath.sources import catalog, cohort, run_ledger, run_logs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHAPTERS = [str(c) for c in range(1, 23)]
@@ -812,6 +813,12 @@ def nearest_codes(i):
     return rounded(embeddings.get_closest_nn(sources, i.vectors, labels), "similarity")
 
 
+@query
+def nearest_codes_all(i):
+    """The ten nearest codes of every code, from buckets of random projections."""
+    return rounded(neighbours.nearest_codes_all(i.vectors), "similarity")
+
+
 @query
 def add_age(i):
     by_year = dates.add_age(i.db.person, 2000)
@@ -891,11 +898,13 @@ def fit_one_feature(i):
 
 @query
 def fit_multilabel(i):
+    """Mean probability of each class over the train persons, which a free intercept makes the share of the class."""
     person, event = _prognosis_events(i)
     split = splits.split_train_test_w_inclusion_start(i.prognosis)
-    train, test = _split_parts(i, person, split, experiment.GIVEN_EMBEDDINGS, event)
-    fitted = models.fit_multilabel(train, models.EstimatorConfig(models.RIDGE), CHAPTERS)
-    return models.predict_multilabel(fitted, test).select(PERSON, "class", "y", F.col("p").between(0, 1).alias("in_range"))
+    train, _ = _split_parts(i, person, split, experiment.GIVEN_EMBEDDINGS, event)
+    fitted = models.fit_multilabel(train, models.EstimatorConfig(models.RIDGE), CHAPTERS, {"regParam": 0.01})
+    scored = models.predict_multilabel(fitted, train)
+    return scored.groupBy("class").agg(F.count("*").alias("n_persons"), F.sum("y").alias("n_cases"), F.round(F.avg("p"), 4).alias("mean_p"))
 
 
 @query
@@ -942,6 +951,23 @@ def run_grid(i):
     )
 
 
+@query
+def resumed_grid(i):
+    """The stored runs of a grid that was ended after its first run and went on."""
+    config = experiment.ExperimentConfig(
+        [models.EstimatorConfig(models.RIDGE, {"regParam": [0.1]})], [experiment.DEMOGRAPHICS], n_iter=1, n_min_events=1,
+        static_categorical=features.STATIC_FEATURES["categorical"], static_numerical=features.STATIC_FEATURES["numerical"],
+    )
+    ledger = run_ledger.RunLedger(i.spark, scratch(i.spark, "ledger"))
+    person = events.add_statics(i.mace, i.db)
+    for names in ([experiment.DEMOGRAPHICS], [experiment.DEMOGRAPHICS, experiment.GIVEN_EMBEDDINGS]):
+        experiment.run_grid(person, i.observed, i.temporal_split, replace(config, featurizers=names), i.vectors, ledger=ledger, data=i.sf_dir)
+    ledger.compact()
+    return ledger.records().groupBy("estimator", "featurizer", "n_person_raw", "n_event_raw", "n_codes_raw").agg(
+        F.count("*").alias("n_runs"), F.count_distinct("run_key").alias("n_keys")
+    )
+
+
 @query
 def run_multilabel_grid(i):
     """Prevalence of each chapter as the records of the models and of the baseline have it."""
