@@ -1,4 +1,4 @@
-"""Ordered scans (previous value, running sum, next point) that survive a hot key.
+"""Ordered scans (previous value, running sum, running maximum, next point) that survive a hot key.
 
 A window sorts one key in one task. A key with very many rows, the null key included, is therefore cut into
 chunks of time: the window runs inside a chunk, and a chunk gets what it needs from
@@ -134,6 +134,30 @@ def running_sum(
     )
 
 
+def earlier_max(
+    df: DataFrame, keys: list[str], order: list[str], value: str, name: str
+) -> DataFrame:
+    """Greatest ``value`` of the rows of the key before this one; ``df`` comes from :func:`with_chunks`.
+
+    A maximum of maxima is the maximum, so a chunk of a hot key needs one number from all chunks before it. Nulls do not count.
+    """
+    inside = Window.partitionBy(*_parts(df, keys)).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    if CHUNK not in df.columns:
+        return df.withColumn(name, F.max(value).over(inside))
+    earlier = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        _hot_only(df)
+        .groupBy(*keys, CHUNK)
+        .agg(F.max(value).alias("_greatest"))
+        .select(*keys, CHUNK, F.max("_greatest").over(earlier).alias("_carried"))
+    )
+    return (
+        _carry(df.withColumn(name, F.max(value).over(inside)), carried, keys)
+        .withColumn(name, F.greatest(F.col(name), F.col("_carried")))
+        .drop("_carried")
+    )
+
+
 def next_point(
     rows: DataFrame,
     points: DataFrame,

@@ -46,8 +46,17 @@ def adult_persons(sessions: DataFrame, person: DataFrame, min_age_at_admission:
     return last.join(known, PERSON).filter(age >= min_age_at_admission).select(PERSON, DEATH)
 
 
-def keep_adults(sessions: DataFrame, person: DataFrame, min_age_at_admission: float = 18) -> DataFrame:
-    """All sessions of the persons with at least one session as an adult; adds the death."""
+def keep_adults(
+    sessions: DataFrame, person: DataFrame, min_age_at_admission: float = 18, session_level: bool = False
+) -> DataFrame:
+    """All sessions of the persons with at least one session as an adult; adds the death.
+
+    With ``session_level`` only the sessions that begin at that age, each judged by itself.
+    """
+    if session_level:
+        known = force_datetime(person.select(PERSON, BIRTH, DEATH), [BIRTH, DEATH])
+        age = days_between(BIRTH, VISIT_START) / F.lit(DAYS_PER_YEAR)
+        return sessions.join(known, PERSON).filter(age >= min_age_at_admission).drop(BIRTH)
     return sessions.join(adult_persons(sessions, person, min_age_at_admission), PERSON)
 
 
@@ -153,6 +162,7 @@ def study_sessions(
     with_incomplete_hospitalization: bool = False,
     max_time_delta_day: float = 1,
     hot_rows: int = HOT_ROWS,
+    running_max: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Hospital visits of the study, and the sessions made of those with an end."""
     types = [COMPLETE_HOSPITALIZATION]
@@ -162,7 +172,7 @@ def study_sessions(
         visits_of_type(clean_date_cols(database.visit_occurrence), types), study_start, study_end
     )
     ended = get_datetime_from_visit_detail(visits, clean_date_cols(database.visit_detail))
-    return visits, build_sessions(fix_visit_end(ended), max_time_delta_day, hot_rows, visits)
+    return visits, build_sessions(fix_visit_end(ended), max_time_delta_day, hot_rows, visits, running_max)
 
 
 def select_population(
@@ -179,16 +189,24 @@ def select_population(
     max_time_delta_day: float = 1,
     seed: int = 0,
     hot_rows: int = HOT_ROWS,
+    running_max: bool = False,
+    session_level: bool = False,
 ) -> SelectedPopulation:
-    """Apply the inclusion criteria and keep one index session per person."""
+    """Apply the inclusion criteria and keep one index session per person.
+
+    ``running_max`` measures gaps from the latest end so far (see ``sessionize_visits``), ``session_level`` leaves out
+    each session below the least age instead of the persons without any session above it.
+    """
     person = clean_date_cols(database.person)
     visits, sessions = study_sessions(
-        database, study_start, study_end, with_incomplete_hospitalization, max_time_delta_day, hot_rows
+        database, study_start, study_end, with_incomplete_hospitalization, max_time_delta_day, hot_rows, running_max
     )
     conditions = clean_date_cols(database.condition_occurrence) if visits_w_billing_codes_only else None
-    graded = materialise(
-        grade_sessions(sessions, person, conditions, study_end, horizon_in_days, hot_rows, visits), "sessions"
-    )
+    graded = grade_sessions(sessions, person, conditions, study_end, horizon_in_days, hot_rows, visits)
+    if session_level:
+        old_enough = F.coalesce(F.col("age") >= min_age_at_admission, F.lit(False))
+        graded = graded.withColumn("passed", F.when(old_enough, F.col("passed")).otherwise(2))
+    graded = materialise(graded, "sessions")
     last = 6 if visits_w_billing_codes_only else 5
     # one row per person: old enough, how far its sessions go, how many go to the end
     persons = graded.groupBy(PERSON).agg(

@@ -19,7 +19,7 @@ from carepath.constants import (
     VISIT_TYPE,
 )
 from carepath.functions.dates import exact_days_between, plus_days, timestamp
-from carepath.operators.ordered import CHUNK, HOT_ROWS, previous_value, running_sum, with_chunks
+from carepath.operators.ordered import CHUNK, HOT_ROWS, earlier_max, previous_value, running_sum, with_chunks
 
 
 def visits_of_type(visit_occurrence: DataFrame, types: list[str]) -> DataFrame:
@@ -68,13 +68,18 @@ def fix_visit_end(visit_occurrence: DataFrame) -> DataFrame:
 
 
 def _sessionize(
-    visit_occurrence: DataFrame, max_time_delta_day: float, hot_rows: int, counted: DataFrame | None = None
+    visit_occurrence: DataFrame,
+    max_time_delta_day: float,
+    hot_rows: int,
+    counted: DataFrame | None = None,
+    running_max: bool = False,
 ) -> DataFrame:
     order = [VISIT_START, STAY_ID]
     visits = with_chunks(
         visits_of_type(visit_occurrence, HOSPITALIZATIONS), [PERSON], VISIT_START, hot_rows, counted
     )
-    visits = previous_value(visits, [PERSON], order, VISIT_END, "_previous_end")
+    before = earlier_max if running_max else previous_value
+    visits = before(visits, [PERSON], order, VISIT_END, "_previous_end")
     visits = visits.withColumn(
         "delta_previous_visit", exact_days_between("_previous_end", VISIT_START)
     ).withColumn(
@@ -89,11 +94,15 @@ def _sessionize(
 
 
 def sessionize_visits(
-    visit_occurrence: DataFrame, max_time_delta_day: float = 1, hot_rows: int = HOT_ROWS
+    visit_occurrence: DataFrame, max_time_delta_day: float = 1, hot_rows: int = HOT_ROWS, running_max: bool = False
 ) -> DataFrame:
     """Number the sessions of a person: a visit starting ``max_time_delta_day`` days or more
-    after the end of the previous one opens a session."""
-    return _sessionize(visit_occurrence, max_time_delta_day, hot_rows).drop(CHUNK)
+    after the end of the previous one opens a session.
+
+    With ``running_max`` it is the latest end of all visits before it that counts, so that a short
+    stay inside a longer one does not split a session.
+    """
+    return _sessionize(visit_occurrence, max_time_delta_day, hot_rows, running_max=running_max).drop(CHUNK)
 
 
 def merge_visits_into_session(visit_occurrence_w_session_id: DataFrame) -> DataFrame:
@@ -150,9 +159,10 @@ def build_sessions(
     max_time_delta_day: float = 1,
     hot_rows: int = HOT_ROWS,
     counted: DataFrame | None = None,
+    running_max: bool = False,
 ) -> DataFrame:
     """Sessionize and merge, sharing the partitioning of the first step with the second.
 
     ``counted`` has at least these visits; persons with too many are looked for there.
     """
-    return merge_visits_into_session(_sessionize(visit_occurrence, max_time_delta_day, hot_rows, counted))
+    return merge_visits_into_session(_sessionize(visit_occurrence, max_time_delta_day, hot_rows, counted, running_max))

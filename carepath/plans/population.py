@@ -51,6 +51,8 @@ class CohortConfig:
     visits_w_billing_codes_only: bool = False
     index_visit: str = "random"
     max_time_delta_day: float = 1
+    running_max: bool = False
+    session_level: bool = False
     los_categories: tuple[float, ...] = (0, 7, math.inf)
     cim10_nb_digits: int = 1
     min_prevalence: float = 0.01
@@ -135,6 +137,7 @@ def build_cohort(
         database, config.study_start, config.study_end, config.min_age_at_admission, config.sup_quantile_visits,
         config.n_min_visits, config.visits_w_billing_codes_only, config.horizon_in_days,
         config.with_incomplete_hospitalization, config.index_visit, config.max_time_delta_day, config.random_state,
+        running_max=config.running_max, session_level=config.session_level,
     )
     target = create_outcome(
         database, population.inclusion_population, config.horizon_in_days, config.task_name, config.los_categories,

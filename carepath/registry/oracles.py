@@ -119,6 +119,9 @@ FRAGMENTS = {
         cast(person_id as varchar)||'_'||cast(sum(case when delta>=1 then 1 else 0 end) over (partition by person_id
             order by visit_start_datetime, visit_occurrence_id rows unbounded preceding) as varchar) session_id
         from v_gap""",
+    "v_gap_max": f"""select *, {_exact_days('max(visit_end_datetime) over w', 'visit_start_datetime')} delta
+        from v_fixed window w as (partition by person_id order by visit_start_datetime, visit_occurrence_id
+            rows between unbounded preceding and 1 preceding)""",
     "v_type": """select person_id, session_id, visit_source_value t,
         min((visit_start_datetime, visit_occurrence_id)) k from v_numbered group by 1,2,3""",
     "v_types": """select person_id, session_id, string_agg(t, ' ' order by k) visit_source_value from v_type group by 1,2""",
@@ -378,7 +381,14 @@ BODIES = {
         else visit_end_datetime end visit_end_datetime from v_visit""",
     "sessionize": """select person_id, visit_occurrence_id, session_id, new_session_mark,
         round(delta,6) delta_previous_visit from v_numbered""",
+    "sessionize_running_max": """select person_id, visit_occurrence_id, coalesce(delta>=1, false) new_session_mark,
+        cast(person_id as varchar)||'_'||cast(sum(case when delta>=1 then 1 else 0 end) over (partition by person_id
+            order by visit_start_datetime, visit_occurrence_id rows unbounded preceding) as varchar) session_id,
+        round(delta,6) delta_previous_visit from v_gap_max""",
     "merge_sessions": "select * from v_session",
+    "adult_sessions": f"""select person_id, session_id, visit_start_datetime, death_datetime
+        from v_session join v_person using (person_id)
+        where {_days('birth_datetime', 'visit_start_datetime')}/365.0::double >= 18""",
     "adults": "select person_id, session_id, death_datetime from v_adult",
     "enough_horizon": f"""select person_id, session_id, visit_end_datetime from v_session
         where visit_end_datetime + interval 90 day < {END}""",

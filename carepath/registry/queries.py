@@ -348,6 +348,13 @@ def sessionize(i):
     return numbered.select(PERSON, STAY_ID, SESSION_ID, "new_session_mark", r6("delta_previous_visit"))
 
 
+@query
+def sessionize_running_max(i):
+    """Sessions by the gap to the latest end of all earlier visits."""
+    numbered = visits.sessionize_visits(_ended_visits(i), running_max=True)
+    return numbered.select(PERSON, STAY_ID, SESSION_ID, "new_session_mark", r6("delta_previous_visit"))
+
+
 @query
 def merge_sessions(i):
     return visits.merge_visits_into_session(visits.sessionize_visits(_ended_visits(i)))
@@ -358,6 +365,13 @@ def adults(i):
     return selection.keep_adults(i.sessions, i.db.person).select(PERSON, SESSION_ID, "death_datetime")
 
 
+@query
+def adult_sessions(i):
+    """Sessions that begin at 18 or later, each judged by itself."""
+    kept = selection.keep_adults(i.sessions, i.db.person, session_level=True)
+    return kept.select(PERSON, SESSION_ID, VISIT_START, "death_datetime")
+
+
 @query
 def enough_horizon(i):
     return i.sessions.filter(selection.enough_horizon(STUDY_END, 90)).select(PERSON, SESSION_ID, VISIT_END)

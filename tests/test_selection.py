@@ -110,6 +110,51 @@ def test_sessions_with_and_without_hot_persons(spark, hot_rows):
         assert row["is_complete_hospitalized"] == any(r[4] == "hospitalisés" for r in stays)
 
 
+@pytest.mark.parametrize("hot_rows", [10, 1_000_000])
+def test_sessions_by_the_latest_end(spark, hot_rows):
+    """Stays inside longer ones, also days after these began and inside a person that is cut into days."""
+    rows, _ = random_visits(spark, 300, 3)
+    draw = random.Random(4)
+    rows = [(*r[:3], r[2] + timedelta(hours=draw.choice([2, 30, 300])) if draw.random() < 0.9 else None, *r[4:]) for r in rows]
+    visits = spark.createDataFrame(rows, random_visits(spark, 1)[1].schema)
+    expected = {}
+    for person in {r[1] for r in rows}:
+        session, latest = 0, None
+        for r in sorted((r for r in rows if r[1] == person), key=lambda r: (r[2], r[0])):
+            session += latest is not None and r[2] - latest >= timedelta(days=1)
+            expected[r[0]] = f"{person}_{session}"
+            latest = max((t for t in (latest, r[3]) if t), default=None)
+    found = {r["visit_occurrence_id"]: r["session_id"] for r in sessionize_visits(visits, 1, hot_rows, running_max=True).collect()}
+    plain = {r["visit_occurrence_id"]: r["session_id"] for r in sessionize_visits(visits, 1, hot_rows).collect()}
+    assert found == expected and len(set(found.values())) < len(set(plain.values()))
+    assert build_sessions(visits, 1, hot_rows, running_max=True).count() == len(set(expected.values()))
+
+
+def test_adults_by_session(spark):
+    person = spark.createDataFrame(
+        [(1, datetime(2000, 1, 1), None), (2, None, None)],
+        "person_id long, birth_datetime timestamp_ntz, death_datetime timestamp_ntz",
+    )
+    sessions = spark.createDataFrame(
+        [(1, "1_0", datetime(2015, 1, 1)), (1, "1_1", datetime(2020, 1, 1)), (2, "2_0", datetime(2020, 1, 1)), (3, "3_0", datetime(2020, 1, 1))],
+        "person_id long, session_id string, visit_start_datetime timestamp_ntz",
+    )
+    ids = lambda **options: sorted(r["session_id"] for r in keep_adults(sessions, person, **options).collect())
+    assert ids() == ["1_0", "1_1"] and ids(session_level=True) == ["1_1"]
+
+
+def test_population_by_session_and_latest_end(database):
+    """A session below the least age is never the index session; nobody who is in only by such sessions stays."""
+    by_person = select_population(database, datetime(2017, 1, 1), datetime(2022, 6, 1), index_visit="first")
+    by_session = select_population(
+        database, datetime(2017, 1, 1), datetime(2022, 6, 1), index_visit="first", running_max=True, session_level=True
+    )
+    ages = {(r["person_id"], r["session_id"]): r["age"] for r in by_session.graded_sessions.collect()}
+    kept = [(r["person_id"], r["session_id"]) for r in by_session.inclusion_population.collect()]
+    assert kept and all(ages[k] >= 18 for k in kept)
+    assert {p for p, _ in kept} <= {r["person_id"] for r in by_person.inclusion_population.collect()}
+
+
 @pytest.mark.parametrize("hot_rows", [10, 1_000_000])
 def test_next_point(spark, hot_rows):
     rows, visits = random_visits(spark, 300, 1)
