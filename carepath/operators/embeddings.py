@@ -4,17 +4,17 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.mllib.linalg.distributed import RowMatrix
-from pyspark.mllib.util import MLUtils
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carepath.constants import PERSON, SOURCE_CODE, START
 from carepath.functions.sizes import person_side, size_checked, small_side
-from carepath.operators.features import VECTOR_BYTES, index_codes, sparse_vectors
+from carepath.operators.block_svd import largest_singular
+from carepath.operators.features import VECTOR_BYTES, index_codes
 from carepath.operators.ordered import MAX_HOT_KEYS
 from carepath.session import materialise
 
@@ -144,29 +144,30 @@ class Decomposition:
 def decompose(matrix: DataFrame, row: str, column: str, value: str, d: int = 30) -> Decomposition:
     """The ``d`` largest singular values and right vectors of a long (row, column, value) matrix.
 
-    The driver holds the right vectors, (columns × d) numbers, as Spark's decomposition returns them; ``index_codes``
-    bounds the columns. Rows stay distributed.
+    The driver holds six times d + 60 numbers per column, in a Krylov space made by at most six passes over the
+    rows (:mod:`carepath.operators.block_svd`); ``index_codes`` bounds the columns. Rows stay distributed and are written once.
     """
     spark = matrix.sparkSession
     columns = index_codes(matrix, column)
-    positions = spark.createDataFrame(list(enumerate(columns)), f"_ix int, {column} string")
+    names = pa.array(columns, pa.string())
+    positions = spark.createDataFrame(pa.table({"_ix": pa.array(range(len(columns)), pa.int32()), column: names}))
+    # every pass reads the rows, so they are dealt to as many tasks as there are cores
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = (
-        matrix.join(F.broadcast(positions), column)
+        matrix.filter(F.col(value).isNotNull())
+        .join(F.broadcast(positions), column)
+        .repartition(tasks, row)
         .groupBy(row)
         .agg(F.array_sort(F.collect_list(F.struct("_ix", F.col(value).cast("double").alias("_v")))).alias("_row"))
-        .select(F.col("_row._ix").alias("_indices"), F.col("_row._v").alias("_values"))
+        .select(F.col("_row._ix").alias("indices"), F.col("_row._v").alias("values"))
     )
-    # read by every iteration, so kept in the executors; a lost part is read again from the files
-    vectors = MLUtils.convertVectorColumnsFromML(sparse_vectors(rows, len(columns), "_indices", "_values", "row"), "row")
-    vectors = vectors.persist()
-    try:
-        factors = RowMatrix(vectors).computeSVD(min(d, len(columns)), computeU=False)
-    finally:
-        vectors.unpersist()
-    values = [float(s) for s in factors.s]
-    scaled = factors.V.toArray() / [s**0.5 for s in values]
-    names = pa.array(columns, pa.string())
-    arrays = pa.FixedSizeListArray.from_arrays(pa.array(scaled.reshape(-1)), len(values)).cast(pa.list_(pa.float64()))
+    found, vectors = largest_singular(materialise(rows, "rows"), len(columns), min(d, len(columns)))
+    values = [float(s) for s in found]
+    scaled = np.ascontiguousarray(vectors / np.sqrt(found))
+    if values:
+        arrays = pa.FixedSizeListArray.from_arrays(pa.array(scaled.reshape(-1)), len(values)).cast(pa.list_(pa.float64()))
+    else:
+        arrays = pa.array([[] for _ in columns], pa.list_(pa.float64()))
     right = spark.createDataFrame(pa.table({column: names, "right": arrays}))
     return Decomposition(values, columns, materialise(right, "right"), column, value)
 

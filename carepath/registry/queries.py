@@ -10,6 +10,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cached_property
 
+import numpy as np
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,7 @@ from carepath.operators import (
     embeddings,
     events,
     features,
+    joint,
     metrics,
     models,
     neighbours,
@@ -791,12 +793,11 @@ def _decomposition_checks(matrix, row, column, value, d=30):
     found = embeddings.decompose(matrix, row, column, value, d)
     n, rank = len(found.columns), len(found.values)
     rows = found.project(matrix, row)
-    pairs = [(a, b) for a in range(rank) for b in range(a, rank)]
-    products = [F.sum(F.col("embedding")[a] * F.col("embedding")[b]) for a, b in pairs]
-    gram = rows.agg(F.array(*products)).first()[0]
+    vectors = rows.select("embedding", F.array().cast("array<double>").alias("none"), F.lit(-1).alias("fold"))
+    gram = joint.summed(vectors, lambda x, none, fold: (x.T @ x).ravel(), rank, 0).reshape(rank, rank)
     norm = matrix.agg(F.sum(F.col(value) * F.col(value))).first()[0]
     largest = found.values[0]
-    orthogonal = all(abs(g - (found.values[a] if a == b else 0.0)) < 1e-6 * largest for (a, b), g in zip(pairs, gram))
+    orthogonal = bool(np.all(np.abs(gram - np.diag(found.values)) < 1e-6 * largest))
     kept = sum(v * v for v in found.values)
     return matrix.sparkSession.createDataFrame(
         [(n, rank, orthogonal, kept <= norm * (1 + 1e-9), round(norm, 3))],
@@ -810,6 +811,14 @@ def code_embeddings(i):
     return _decomposition_checks(embeddings.ppmi(embeddings.cooccurrence(i.observed, 30)), "code", "context", "ppmi")
 
 
+@query
+def code_spectrum(i):
+    """The 30 largest singular values of the codes' mutual information."""
+    matrix = materialise(embeddings.ppmi(embeddings.cooccurrence(i.observed, 30)), "matrix")
+    values = embeddings.decompose(matrix, "code", "context", "ppmi").values
+    return i.spark.createDataFrame(list(enumerate(values, 1)), "component long, singular_value double")
+
+
 @query
 def count_svd(i):
     """30 directions of the counts of all persons and codes, decayed and not."""
