@@ -359,6 +359,10 @@ BODIES = {
         cast(case visit_source_value {_concepts} end as int) visit_concept_id
         from v_visit where person_id in (select person_id from v_split where dataset='train')""",
     "cohort_round_trip": f"select {_events}, event_source_type_concept_id from v_mace_cohort_event",
+    "cohort_by_person": """select e.person_id, e.visit_occurrence_id, e.start, e.event_source_concept_id,
+        e.event_source_type_concept_id, p.followup_start
+        from v_mace_cohort_event e join v_mace_cohort_person p using (person_id)
+        where e.event_source_type_concept_id in ('condition_occurrence','procedure_occurrence')""",
     "read_run_logs": """select run_id, estimator, round(case when run_id%2=0 then compute_time end,6) compute_time,
         case when run_id%2=1 then splitting_rs end splitting_rs from v_run""",
     "collect_external_runs": """select run_id, target_label target, '50' train_share, 'external' estimator,

@@ -276,6 +276,17 @@ def cohort_round_trip(i):
     return stored.event.select(PERSON, STAY_ID, START, SOURCE_CODE, SOURCE_TYPE)
 
 
+@query
+def cohort_by_person(i):
+    """A cohort stored in buckets of the person, its diagnoses and procedures joined with their persons after reading."""
+    person, event = i.cohort
+    folder = scratch(i.spark, "cohort")
+    cohort.EventCohort(person, event).to_parquet(folder, buckets=16)
+    stored = cohort.EventCohort.read(i.spark, folder)
+    joined = stored.events_with_person([FOLLOWUP_START], ["condition_occurrence", "procedure_occurrence"])
+    return joined.select(PERSON, STAY_ID, START, SOURCE_CODE, SOURCE_TYPE, FOLLOWUP_START)
+
+
 @query
 def read_run_logs(i):
     folder = scratch(i.spark, "runs")
