@@ -15,7 +15,8 @@ from carepath.constants import (
     VISIT_CONCEPTS,
     VISIT_TYPE,
 )
-from carepath.functions.sizes import small_side
+from carepath.functions.sizes import size_checked, small_side
+from carepath.session import materialise
 
 
 def get_cim10_codes(
@@ -31,6 +32,33 @@ def get_cim10_codes(
     return conditions.withColumn(CODE_CLASS, F.explode(F.array_compact(F.array(*classes))))
 
 
+def match_code_dictionary(conditions: DataFrame, dictionary: DataFrame, code: str = CONDITION_CODE) -> DataFrame:
+    """Conditions whose code contains a pattern of a class, once per matching class, from a table ``pattern, code_class``.
+
+    For dictionaries of thousands of patterns: each distinct code is looked at once. Its substrings of the lengths that patterns have
+    meet the patterns by equality, so the work does not follow the number of patterns, and the classes of the codes meet the
+    conditions as a broadcast behind a check of their size. Patterns are plain text; null and empty ones match nothing, repeated ones count
+    once, a null code has no class. A class column of the conditions is replaced.
+    """
+    given = dictionary.filter((F.col("pattern") != "") & F.col(CODE_CLASS).isNotNull())
+    patterns = materialise(given.select("pattern", CODE_CLASS).distinct(), "patterns")
+    lengths = patterns.agg(F.collect_set(F.length("pattern"))).scalar()
+    codes = conditions.select(F.col(code).alias("_code")).filter("_code is not null").distinct()
+    pieces = F.transform(
+        F.sequence(F.lit(1), F.length("_code") - F.col("_n") + 1), lambda i: F.col("_code").substr(i, F.col("_n"))
+    )
+    found = (
+        codes.select("_code", F.explode(lengths).alias("_n"))
+        .filter(F.col("_n") <= F.length("_code"))
+        .select("_code", F.explode(F.array_distinct(pieces)).alias("pattern"))
+        .join(small_side(patterns), "pattern")
+        .select("_code", CODE_CLASS)
+        .distinct()
+    )
+    rows = conditions.drop(CODE_CLASS)
+    return rows.join(size_checked(found), F.col(code) == F.col("_code")).drop("_code")
+
+
 def matches_any(codes: list[str], code: str = CONDITION_CODE) -> Column:
     return F.col(code).rlike("|".join(codes))
 

@@ -457,6 +457,12 @@ BODIES = {
     "target_chapter": "select person_id, cast(list_contains(labels,'9') as int) y from v_prognosis",
     "code_classes": """select person_id, visit_occurrence_id, condition_start_datetime, condition_source_value,
         category as "ICD10 category" from v_class""",
+    "code_dictionary": """with p as (select concept_code as pattern, concept_chapter c from v_tree
+            union select substr(concept_code,1,3), concept_chapter from v_tree),
+        d as (select distinct condition_source_value code from v_condition),
+        m as (select distinct code, c from d join p on contains(code, pattern))
+        select person_id, visit_occurrence_id, condition_start_datetime, condition_source_value, c as "ICD10 category"
+        from v_condition join m on code=condition_source_value""",
     "icd_chapter": """select person_id, visit_occurrence_id, substr(condition_source_value,1,4) condition_source_value,
         concept_chapter condition_source_value_coarse from v_condition
         left join v_tree on concept_code=substr(condition_source_value,1,4)""",

@@ -526,6 +526,16 @@ def code_classes(i):
     )
 
 
+@query
+def code_dictionary(i):
+    """Chapters by all codes of the tree and their first three characters, as patterns inside the codes of diagnoses."""
+    chapter = F.col("concept_chapter").alias(codes.CODE_CLASS)
+    prefix = F.substring("concept_code", 1, 3).alias("pattern")
+    patterns = i.tree.select(F.col("concept_code").alias("pattern"), chapter).unionByName(i.tree.select(prefix, chapter))
+    matched = codes.match_code_dictionary(i.db.condition_occurrence, patterns)
+    return matched.select(PERSON, STAY_ID, "condition_start_datetime", CONDITION_CODE, codes.CODE_CLASS)
+
+
 @query
 def icd_chapter(i):
     coarse = codes.coarsen_cim10_to_chapter(i.db.condition_occurrence, i.tree)
