@@ -363,6 +363,8 @@ BODIES = {
         e.event_source_type_concept_id, p.followup_start
         from v_mace_cohort_event e join v_mace_cohort_person p using (person_id)
         where e.event_source_type_concept_id in ('condition_occurrence','procedure_occurrence')""",
+    "read_dimension": """select lpad(cast(care_site_id as varchar),3,'0') care_site_code, n_name as name, count(*) n_visits
+        from v_visit join nation on n_nationkey=care_site_id group by 1,2""",
     "read_run_logs": """select run_id, estimator, round(case when run_id%2=0 then compute_time end,6) compute_time,
         case when run_id%2=1 then splitting_rs end splitting_rs from v_run""",
     "collect_external_runs": """select run_id, target_label target, '50' train_share, 'external' estimator,

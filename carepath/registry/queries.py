@@ -34,6 +34,7 @@ from carepath.constants import (
 )
 from carepath.functions import codes, dates
 from carepath.functions.draws import union_all
+from carepath.functions.sizes import small_side
 from carepath.operators import (
     embeddings,
     events,
@@ -287,6 +288,17 @@ def cohort_by_person(i):
     return joined.select(PERSON, STAY_ID, START, SOURCE_CODE, SOURCE_TYPE, FOLLOWUP_START)
 
 
+@query
+def read_dimension(i):
+    """Care sites written as CSV with codes that begin with zeros, read back as text and counted over the visits."""
+    folder = scratch(i.spark, "sites")
+    site = F.lpad(F.col("n_nationkey").cast("string"), 3, "0").alias("care_site_code")
+    i.tables.nation.select(site, F.col("n_name").alias("name"), "n_regionkey").write.option("header", True).csv(folder)
+    sites = catalog.read_dimension(i.spark, folder, ["care_site_code", "name"])
+    used = i.db.visit_occurrence.groupBy(F.lpad(F.col("care_site_id").cast("string"), 3, "0").alias("care_site_code"))
+    return used.agg(F.count("*").alias("n_visits")).join(small_side(sites), "care_site_code")
+
+
 @query
 def read_run_logs(i):
     folder = scratch(i.spark, "runs")
