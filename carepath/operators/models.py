@@ -4,22 +4,25 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from carepath.constants import OUTCOME, PERSON
 from carepath.functions.draws import draw_integer
 from carepath.operators.joint import Fit, JointModel, fit_all, prepared, probabilities_of
+from carepath.operators.leaf_boosting import Boost, BoostedTrees, Growth, JointTrees, fit_boosted, tree_probabilities
 from carepath.operators.metrics import get_scores, get_scores_by
 from carepath.operators.splits import class_weights, fold_classes, group_folds
+from carepath.session import materialise
 
 RIDGE, FOREST, BOOSTING = "ridge", "random_forests", "hist_gradient_boosting"
 
@@ -46,13 +49,12 @@ class EstimatorConfig:
         if self.estimator_name == FOREST:
             return RandomForestClassifier(seed=seed, maxMemoryInMB=1024, weightCol="weight", maxDepth=self.max_depth,
                                           maxBins=self.max_bins, **columns)
-        if self.estimator_name == BOOSTING:
-            # rounds stop when the held-out error no longer gets smaller
-            return GBTClassifier(seed=seed, validationIndicatorCol="is_validation", weightCol="weight",
-                                 maxMemoryInMB=1024, maxIter=self.max_iter, maxBins=self.max_bins,
-                                 validationTol=1e-7, **columns)
         raise ValueError(f"unknown estimator {self.estimator_name}")
 
+    def growth(self) -> Growth:
+        """Limits of boosting; its rounds stop when the held-out loss no longer gets smaller."""
+        return Growth(rounds=self.max_iter, bins=self.max_bins)
+
 
 # fixed values: searched parameters
 ESTIMATORS = {
@@ -64,14 +66,6 @@ ESTIMATORS = {
 }
 
 
-def _depth_for_leaves(leaves: int) -> int:
-    """Levels of a balanced tree with about so many leaves: 10, 20, 30 and 50 leaves are 3, 4, 5 and 6 levels.
-
-    Spark's trees grow level by level and have no limit of leaves.
-    """
-    return max(1, round(math.log2(leaves)))
-
-
 def draw_parameters(config: EstimatorConfig, n_iter: int, seed: int = 0) -> list[dict]:
     """``n_iter`` distinct combinations drawn from the grid, or all of them if there are fewer."""
     grid = [{}]
@@ -81,9 +75,7 @@ def draw_parameters(config: EstimatorConfig, n_iter: int, seed: int = 0) -> list
 
 
 def _param_map(estimator: Estimator, point: dict) -> dict:
-    named = {"maxDepth": _depth_for_leaves(point["maxLeaves"])} if "maxLeaves" in point else {}
-    named.update({name: value for name, value in point.items() if name != "maxLeaves"})
-    return {estimator.getParam(name): value for name, value in named.items()}
+    return {estimator.getParam(name): value for name, value in point.items()}
 
 
 def with_features(person: DataFrame, features: DataFrame) -> DataFrame:
@@ -102,8 +94,12 @@ def prepare_training(person: DataFrame, config: EstimatorConfig, seed: int = 0,
     else:
         other, case = config.class_weight or (1.0, 1.0)
         rows = person.withColumn("weight", F.when(F.col(OUTCOME) == 1, float(case)).otherwise(float(other)))
-    drawn = draw_integer(PERSON, seed) % 1000 < int(validation * 1000)
-    return rows.withColumn("is_validation", drawn)
+    return rows.withColumn("is_validation", _stops_early(seed, validation))
+
+
+def _stops_early(seed: int, share: float = 0.1) -> Column:
+    """Rows that only tell when boosting stops."""
+    return draw_integer(PERSON, seed) % 1000 < int(share * 1000)
 
 
 def predict(model: Model, person: DataFrame, name: str = "p") -> DataFrame:
@@ -112,7 +108,9 @@ def predict(model: Model, person: DataFrame, name: str = "p") -> DataFrame:
     return scored.withColumn(name, vector_to_array("probability")[1]).select(PERSON, OUTCOME, name)
 
 
-def fit(person: DataFrame, config: EstimatorConfig, parameters: dict | None = None, seed: int = 0) -> Model:
+def fit(person: DataFrame, config: EstimatorConfig, parameters: dict | None = None, seed: int = 0) -> Model | BoostedTrees:
+    if config.estimator_name == BOOSTING:
+        return fit_multilabel(_as_label(person), config, [CASE], parameters, seed).models[0]
     estimator = config.build(seed)
     return estimator.fit(prepare_training(person, config, seed), _param_map(estimator, parameters or {}))
 
@@ -121,7 +119,7 @@ def fit(person: DataFrame, config: EstimatorConfig, parameters: dict | None = No
 class SearchResult:
     """The refitted model, its point, the scores of all points and the number of folds that could be scored."""
 
-    model: Model
+    model: Model | BoostedTrees
     best: dict
     scores: list[tuple[dict, float]]
     n_splits: int
@@ -157,8 +155,19 @@ def random_search(
     """Cross-validated random search with hospitals kept whole in a fold.
 
     ``points`` are drawn from the grid of the estimator unless given. The prepared rows are kept once for all
-    folds and points; the points run side by side.
+    folds and points; the points run side by side. Boosting grows the trees of all folds and points together.
     """
+    if config.estimator_name == BOOSTING:
+        points = draw_parameters(config, n_iter, seed) if points is None else points
+        folds, n_splits = scorable_folds(person, group, n_splits)
+        folds = _as_label(folds).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            cases = {row["fold"]: row for row in _cases(folds, [CASE], "fold")}
+            scores = _joint_scores(folds, config, [CASE], points, scoring, cases, seed)
+        finally:
+            folds.unpersist()
+        best = max(scores, key=lambda s: s[1])[0]
+        return SearchResult(fit(person, config, best, seed), best, scores, n_splits)
     estimator = config.build(seed)
     points = draw_parameters(config, n_iter, seed) if points is None else points
     rows, n_splits = scorable_folds(prepare_training(person, config, seed), group, n_splits)
@@ -184,13 +193,52 @@ JOINT_FEATURES = 2048
 
 
 def fits_together(person: DataFrame, config: EstimatorConfig) -> bool:
-    """Whether the labels are linear models of few enough features to share the passes over the rows."""
+    """Whether the labels share the passes over the rows: boosted trees, and linear models of few enough features."""
+    if config.estimator_name == BOOSTING:
+        return True
     if config.estimator_name != RIDGE:
         return False
     first = person.select(F.size(vector_to_array("features"))).first()
     return first is not None and first[0] <= JOINT_FEATURES
 
 
+#: the label that stands for the outcome of a person where labels are fitted
+CASE = "1"
+
+
+def _as_label(person: DataFrame) -> DataFrame:
+    """The outcome 0 or 1 as a list of labels."""
+    return person.withColumn(OUTCOME, F.when(F.col(OUTCOME) == 1, F.array(F.lit(CASE))).otherwise(F.array().cast("array<string>")))
+
+
+def _together(
+    rows: DataFrame, config: EstimatorConfig, n_labels: int, wanted: list[tuple[int, int, dict, tuple[float, float]]]
+) -> Callable[[list[int]], Callable]:
+    """Fit models for (label, left out fold, parameters, weights) on prepared rows; gives the probabilities of chosen ones."""
+    if config.estimator_name == BOOSTING:
+        return lambda chosen, models=_boosted(rows, config, wanted): tree_probabilities([models[i] for i in chosen])
+    fits = [Fit(label, fold, float(point.get("regParam", 0.0)), weights) for label, fold, point, weights in wanted]
+    coefficients, intercepts, _ = fit_all(rows, fits, n_labels, config.max_iter)
+    return lambda chosen: probabilities_of(coefficients[chosen], intercepts[chosen])
+
+
+def _boosted(rows: DataFrame, config: EstimatorConfig, wanted: list[tuple[int, int, dict, tuple[float, float]]]) -> list[BoostedTrees]:
+    names = {"stepSize": "rate", "maxLeaves": "leaves"}
+    fits = [Boost(label, fold, weights=weights, **{names[n]: v for n, v in point.items()}) for label, fold, point, weights in wanted]
+    return fit_boosted(rows, fits, config.growth())[0]
+
+
+def _joint_rows(person: DataFrame, config: EstimatorConfig, classes: list[str], fold: str | None, seed: int) -> DataFrame:
+    """Features, presence of the classes, fold, and for boosting the rows that stop it early, written once."""
+    if config.estimator_name != BOOSTING:
+        return prepared(person, classes, fold)
+    present = F.array(*[F.coalesce(F.array_contains(OUTCOME, c), F.lit(False)).cast("int") for c in classes])
+    number = F.lit(-1) if fold is None else F.col(fold).cast("int")
+    rows = person.withColumn("is_validation", _stops_early(seed))
+    return materialise(rows.select(vector_to_array("features").alias("x"), present.alias("y"), number.alias("fold"),
+                                   F.col("is_validation").alias("held")), "joint")
+
+
 def label_weights(config: EstimatorConfig, cases: int, rows: int) -> tuple[float, float]:
     """Weights of other rows and of cases, as :func:`prepare_training` gives them."""
     rate = cases / rows if rows else 0.0
@@ -209,10 +257,13 @@ def _cases(person: DataFrame, classes: list[str], *by: str) -> list:
 
 def fit_multilabel(
     person: DataFrame, config: EstimatorConfig, classes: list[str], parameters: dict | None = None, seed: int = 0
-) -> dict[str, Model] | JointModel:
-    """One binary model per label: together in one matrix where they are linear, else one after the other on one kept table."""
+) -> dict[str, Model] | JointModel | JointTrees:
+    """One binary model per label: boosted trees and linear models together, others one after the other on one kept table."""
     if fits_together(person, config):
         counts = _cases(person, classes)[0]
+        if config.estimator_name == BOOSTING:
+            wanted = [(i, -2, parameters or {}, label_weights(config, counts[c], counts["n"])) for i, c in enumerate(classes)]
+            return JointTrees(list(classes), _boosted(_joint_rows(person, config, classes, None, seed), config, wanted))
         penalty = float((parameters or {}).get("regParam", 0.0))
         fits = [Fit(i, -2, penalty, label_weights(config, counts[c], counts["n"])) for i, c in enumerate(classes)]
         coefficients, intercepts, _ = fit_all(prepared(person, classes), fits, len(classes), config.max_iter)
@@ -241,10 +292,10 @@ def _scored_labels(cases: dict, fold: int, classes: list[str]) -> list[str]:
 
 
 def _joint_scores(
-    folds: DataFrame, config: EstimatorConfig, classes: list[str], points: list[dict], scoring: str, cases: dict
+    folds: DataFrame, config: EstimatorConfig, classes: list[str], points: list[dict], scoring: str, cases: dict, seed: int
 ) -> list[tuple[dict, float]]:
     """Mean score of each point over labels and folds; all points, folds and labels are fitted and scored together."""
-    rows = prepared(folds, classes, "fold")
+    rows = _joint_rows(folds, config, classes, "fold", seed)
     fits, of = [], []
     for number, point in enumerate(points):
         for fold in sorted(cases):
@@ -252,18 +303,18 @@ def _joint_scores(
             for label in _scored_labels(cases, fold, classes):
                 count = sum(row[label] for other, row in cases.items() if other != fold)
                 place = classes.index(label)
-                fits.append(Fit(place, fold, float(point.get("regParam", 0.0)), label_weights(config, count, n)))
+                fits.append((place, fold, point, label_weights(config, count, n)))
                 of.append((number, fold, place))
     if not fits:
         return [(point, float("nan")) for point in points]
-    coefficients, intercepts, _ = fit_all(rows, fits, len(classes), config.max_iter)
+    probabilities = _together(rows, config, len(classes), fits)
     by_fold = {}
     for model, (number, fold, place) in enumerate(of):
         by_fold.setdefault(fold, []).append((model, number, place))
     held = None
     for fold, members in by_fold.items():
         chosen = [m for m, _, _ in members]
-        scored = rows.filter(F.col("fold") == fold).withColumn("p", probabilities_of(coefficients[chosen], intercepts[chosen])("x"))
+        scored = rows.filter(F.col("fold") == fold).withColumn("p", probabilities(chosen)("x"))
         named = F.array(*[F.struct(F.lit(number).alias("point"), F.lit(place).alias("label")) for _, number, place in members])
         exploded = scored.select("fold", "y", F.explode(F.arrays_zip("p", named.alias("m"))).alias("z"))
         part = exploded.select("fold", F.col("z.m.point").alias("point"), F.col("z.m.label").alias("label"), F.col("z.p").alias("p"),
@@ -283,18 +334,18 @@ def search_multilabel(
     seed: int = 0,
     n_splits: int = 5,
     group: str = "first_care_site_id",
-) -> tuple[dict[str, Model] | JointModel, dict, list[tuple[dict, float]], int]:
+) -> tuple[dict[str, Model] | JointModel | JointTrees, dict, list[tuple[dict, float]], int]:
     """Models of the best point: the one with the best mean score over labels and folds.
 
     All labels share the folds of a point. A label with one class in a part of a fold is left out of that
-    fold's mean; labels without any score do not count. Linear models are fitted together, whatever the number of points, folds and
+    fold's mean; labels without any score do not count. Linear models and boosted trees are fitted together, whatever the number of points, folds and
     labels. Returns models, point, scores, folds.
     """
     folds = group_folds(person, group, n_splits).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         cases = {row["fold"]: row for row in _cases(folds, classes, "fold")}
         if fits_together(person, config):
-            scores = _joint_scores(folds, config, classes, points, scoring, cases)
+            scores = _joint_scores(folds, config, classes, points, scoring, cases, seed)
         else:
             scores = [(point, _single_scores(folds, config, classes, point, scoring, seed, cases)) for point in points]
     finally:
@@ -319,9 +370,9 @@ def _single_scores(
     return sum(found) / len(found) if found else float("nan")
 
 
-def predict_multilabel(models: dict[str, Model] | JointModel, person: DataFrame) -> DataFrame:
+def predict_multilabel(models: dict[str, Model] | JointModel | JointTrees, person: DataFrame) -> DataFrame:
     """One row per (person, class) with the presence and the probability of the class."""
-    if isinstance(models, JointModel):
+    if isinstance(models, JointModel | JointTrees):
         names = F.array(*[F.lit(c) for c in models.classes])
         scored = person.withColumn("_p", models.probabilities(vector_to_array("features")))
         long = scored.select(PERSON, OUTCOME, F.explode(F.arrays_zip(names.alias("class"), F.col("_p").alias("p"))).alias("_s"))

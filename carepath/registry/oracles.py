@@ -754,7 +754,8 @@ BODIES |= {
             select gender_source_value, 'ridge' estimator, m p from m
             union all select gender_source_value, 'random_forests', case when (select max(m) from m) <= 0.5
                 or (select min(m) from m) > 0.5 then (select avg(y) from r where dataset='train') else m end from m
-            union all select gender_source_value, 'hist_gradient_boosting', 1/(1+exp(-2*(2*b-1))) from m)
+            union all select gender_source_value, 'hist_gradient_boosting',
+                1/(1+exp(-(ln(t/(1-t)) + (b-t)/(t*(1-t))))) from m, (select avg(y) t from r where dataset='train' and not held))
         using (gender_source_value)""",
     "fit_multilabel": f"""with s as (select person_id from v_prognosis_split where dataset='train'
             and person_id in (select person_id from v_prognosis_event

@@ -932,6 +932,8 @@ def fit_boosting(i):
 def fit_one_feature(i):
     """Models of one yes-or-no feature give the share of cases of each half, or what follows from it.
 
+    One round of boosting is one step from the log odds of all: the difference of the shares by the variance of all.
+
     Spark merges leaves of a classification tree that predict the same class, so a tree may give the share of all.
     """
     sex = i.db.person.select(PERSON, F.array((F.col("gender_source_value") == "f").cast("double")).alias("features"))

@@ -69,8 +69,7 @@ def test_folds_have_a_bound_and_two_classes(spark):
         models.scorable_folds(rows.withColumn("y", F.lit(1)), "g", 4)
 
 
-def test_leaves_and_weights(spark):
-    assert [models._depth_for_leaves(n) for n in (10, 20, 30, 50)] == [3, 4, 5, 6]
+def test_weights(spark):
     person = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 0)], "person_id long, y int")
     weights = lambda config: {r["y"]: r["weight"] for r in models.prepare_training(person, config).collect()}
     assert weights(models.EstimatorConfig(models.RIDGE, class_weight=(1, 20))) == {0: 1.0, 1: 20.0}
