@@ -9,6 +9,7 @@ template's words found, their share and the span in the text.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,6 +24,10 @@ from carepath.llm.words import Texts, blocks, cores, runs
 KIND = "array<struct<license:string,start:int,end:int,matched:int,template_words:int,coverage:double>>"
 
 
+#: cells of a band that are looked at together; a larger one is aligned without a bound
+CELLS = 1 << 22
+
+
 @dataclass(frozen=True)
 class Winnow:
     """Words of a run, runs of a window, words of a short template, least coverage, slack of the band in words and as a share of the template."""
@@ -120,7 +125,7 @@ class Index:
         """(matched, first, last word) of each copy of a template near the diagonals.
 
         What is enough of a copy without inserted or missing words parts the text, so that no alignment takes words of two copies.
-        Each part is aligned, and then what lies before and behind the alignment.
+        Each part is aligned, unless it has a copy word for word, and then what lies before and behind the alignment.
         """
         template, band = self.words[k], self.band(k)
         n, least = len(template), self.rules.coverage * len(template)
@@ -130,25 +135,32 @@ class Index:
             same = i[words[i + d] == template[i]]
             if len(same) >= least:
                 straight.append((-len(same), int(same[0]) + d, int(same[-1]) + d + 1))
-        chosen: list[tuple[int, int]] = []
-        for _, first, end in sorted(straight):
-            if all(end <= a or first >= b for a, b in chosen):
-                chosen.append((first, end))
-        chosen.sort()
+        chosen, whole = [], set()
+        for less, first, end in sorted(straight):
+            if _add_apart(chosen, first, end) and -less == n:
+                whole.add((first, end))
         ends, starts = [0, *(b for _, b in chosen)], [*(a for a, _ in chosen), len(words)]
         # each of the chosen with the words up to its neighbours; without one, the whole text
-        parts = list(zip(ends, starts[1:])) if chosen else [(0, len(words))]
+        parts = list(zip(ends, starts[1:], chosen)) if chosen else [(0, len(words), None)]
+        parts.reverse()
         while parts:
-            begin, end = parts.pop(0)
+            begin, end, copy = parts.pop()
+            if copy in whole:
+                first, last = copy[0], copy[1] - 1
+                yield n, first, last
+                parts += [(last + 1, end, None), (begin, first, None)]
+                continue
             low, high = max(diagonals[0] - band, begin - n), min(diagonals[-1] + band, end)
             if min(end - begin, min(n, end - low) - max(0, begin - high)) < least:
                 continue  # too few of the template's words can lie in this part
+            if reachable(template, words[begin:end], low - begin, high - begin) < least:
+                continue
             matched, first, last = aligned(template, words[begin:end], low - begin, high - begin)
             if matched < least:
                 continue
             first, last = first + begin, last + begin
             yield matched, first, last
-            parts[:0] = [(begin, first), (last + 1, end)]
+            parts += [(last + 1, end, None), (begin, first, None)]
 
     def matches(self, texts: Texts) -> Iterator[tuple[int, tuple]]:
         """(text, (license, first word, end, matched, template words, coverage)); a span inside a longer match is left out."""
@@ -161,39 +173,56 @@ class Index:
                 span = (matched, int(place[first]), int(place[last]) + 1, k)
                 best.setdefault(t, []).append(span)
         for t in sorted(best):
-            chosen: list[tuple] = []
-            for span in sorted(best[t], key=lambda s: (-s[0], s[1:])):
-                if all(span[2] <= s[1] or span[1] >= s[2] for s in chosen):
-                    chosen.append(span)
+            taken: list[tuple[int, int]] = []
+            chosen = [span for span in sorted(best[t], key=lambda s: (-s[0], s[1:])) if _add_apart(taken, span[1], span[2])]
             for matched, first, last, k in sorted(chosen, key=lambda s: s[1]):
                 size = len(self.words[k])
                 yield t, (self.names[k], first, last, matched, size, matched / size)
 
 
+def _add_apart(spans: list[tuple[int, int]], first: int, end: int) -> bool:
+    """Put a span in its place among ascending ones if it overlaps none of them."""
+    at = bisect_left(spans, (first, end))
+    if (at and spans[at - 1][1] > first) or (at < len(spans) and spans[at][0] < end):
+        return False
+    spans.insert(at, (first, end))
+    return True
+
+
+def reachable(template: np.ndarray, words: np.ndarray, low: int, high: int) -> int:
+    """Template words that stand anywhere at diagonals ``low..high``: at least as many as any alignment has."""
+    n, width = len(template), high - low + 1
+    if n * width > CELLS:
+        return n
+    places = np.arange(n)[:, None] + np.arange(low, high + 1)
+    there = (places >= 0) & (places < len(words))
+    return int((there & (words[np.clip(places, 0, len(words) - 1)] == template[:, None])).any(1).sum())
+
+
 def aligned(template: np.ndarray, words: np.ndarray, low: int, high: int) -> tuple[int, int, int]:
     """Most template words found in order at diagonals ``low..high``, in the shortest span; (matched, first, last word).
 
-    A longest common subsequence in a band: cell (i, j) has the matches of the first words of both and where the first was.
-    Of equal numbers of matches the later start wins.
+    A longest common subsequence in a band: cell (i, j) has the matches of the first words of both and where the first was, as
+    one number, ``matches * base + first + 1``, so a row is a running maximum. Of equal numbers of matches the later start wins.
     """
-    width = high - low + 1
-    above = [(0, -1)] * (width + 1)  # cell d holds text position i + low + d
-    result = (0, 0, 0)
-    for i, word in enumerate(template.tolist()):
-        row: list[tuple[int, int]] = []
-        left = (0, -1)
-        for d in range(width):
-            j = i + low + d
-            cell = max(left, above[d + 1])
-            if 0 <= j < len(words) and words[j] == word:
-                before = above[d]
-                cell = max(cell, (before[0] + 1, before[1] if before[0] else j))
-                if cell[0] > result[0] or (cell[0] == result[0] and cell[1] > result[1]):
-                    result = (cell[0], cell[1], j)
-            row.append(cell)
-            left = cell
-        above = [*row, row[-1]]
-    return result
+    width, base = high - low + 1, len(words) + 2
+    above = np.zeros(width + 1, np.int64)  # cell d holds text position i + low + d
+    best, last = 0, 0
+    for i, word in enumerate(template):
+        begin, end = max(0, -(i + low)), min(width, len(words) - i - low)
+        row = above[1:].copy()
+        same = np.flatnonzero(words[i + low + begin : i + low + end] == word) + begin if begin < end else []
+        if len(same):
+            before = above[same]
+            row[same] = np.maximum(row[same], np.where(before >= base, before + base, base + same + (i + low + 1)))
+        row = np.maximum.accumulate(row)
+        if len(same):
+            reached = row[same]
+            top = int(np.argmax(reached))
+            if reached[top] > best:
+                best, last = int(reached[top]), i + low + int(same[top])
+        above = np.concatenate([row, row[-1:]])
+    return best // base, max(best % base - 1, 0), last
 
 
 def scanning(index: Index):

@@ -1,9 +1,15 @@
 """License scans: exact, edited, short, long."""
 
+import random
+import time
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from carepath.llm.license_texts import TEMPLATES
-from carepath.llm.licenses import Index, Winnow, scan_licenses
+from carepath.llm.licenses import Index, Winnow, aligned, scan_licenses
+from carepath.llm.words import blocks
 
 FILLER = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore"
 
@@ -76,3 +82,77 @@ def test_license_lines_of_the_generated_documents(spark):
     found = {(r["doc_id"], r["license"], r["start"], r["end"]) for r in scan_licenses(docs).collect()}
     assert "All rights reserved statement" in {w[1] for w in wanted}
     assert wanted <= found
+
+
+def plain(template, words, low, high):
+    """The alignment cell by cell."""
+    width, above, result = high - low + 1, [(0, -1)] * (high - low + 2), (0, -1, 0)
+    for i, word in enumerate(template):
+        row, left = [], (0, -1)
+        for d in range(width):
+            j = i + low + d
+            cell = max(left, above[d + 1])
+            if 0 <= j < len(words) and words[j] == word:
+                before = above[d]
+                cell = max(cell, (before[0] + 1, before[1] if before[0] else j))
+                if cell[:2] > result[:2]:
+                    result = (*cell, j)
+            row.append(cell)
+            left = cell
+        above = [*row, row[-1]]
+    return (result[0], max(result[1], 0), result[2])
+
+
+def edited(draw, words, share):
+    out = []
+    for word in words:
+        kind = draw.random() / share
+        out += [word] if kind >= 1 else ["zzz"] if kind < 0.4 else [] if kind < 0.7 else [word, "zzz"]
+    return out
+
+
+def test_alignment_equals_one_cell_by_cell():
+    draw = random.Random(4)
+    for _ in range(300):
+        template = np.array([draw.randrange(12) for _ in range(draw.randrange(1, 25))])
+        words = np.array([draw.randrange(12) for _ in range(draw.randrange(0, 40))], np.int64)
+        low = draw.randrange(-20, 20)
+        high = low + draw.randrange(0, 25)
+        assert aligned(template, words, low, high) == plain(template.tolist(), words.tolist(), low, high)
+
+
+def test_edited_copies_equal_a_search_without_the_index(spark):
+    draw = random.Random(8)
+    texts, wanted = [], []
+    # words of a statement of five words lie about in any longer notice, so a search over all diagonals finds no copies of it
+    own = {k: v for k, v in TEMPLATES.items() if k in ("MIT", "ISC", "Apache-2.0 notice")}
+    clean = lambda word: word.lower().strip(".,;:()\"'")
+    for name, text in own.items():
+        for share in (0.02, 0.1, 0.3, 0.6):
+            words = edited(draw, text.split(), share)
+            texts.append(" ".join([*FILLER.split(), *words, *FILLER.split()]))
+            found = [clean(w) for w in texts[-1].split()]
+            counts = {}
+            for other, template in own.items():
+                parts = [clean(w) for w in template.split()]
+                counts[other] = plain(parts, found, -len(parts), len(found))[0], len(parts)
+            best = max(((m, other) for other, (m, n) in counts.items() if m >= 0.8 * n), default=None)
+            wanted.append(best)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: (r["matched"], r["license"]) for r in scan_licenses(docs, own).collect()}
+    assert [rows.get(i) for i in range(len(texts))] == wanted
+    assert any(w is None for w in wanted) and sum(w is not None for w in wanted) >= 6
+
+
+def test_hundreds_of_copies_in_one_text(spark):
+    draw = random.Random(2)
+    text, n = TEMPLATES["MIT"], len(TEMPLATES["MIT"].split())
+    some = " ".join([text] * 400)
+    started = time.monotonic()
+    index = Index(TEMPLATES)
+    spans = [m for _, _, texts in blocks(pa.array([some])) for _, m in index.matches(texts)]
+    assert time.monotonic() - started < 10
+    assert [(m[0], m[1], m[2]) for m in spans] == [("MIT", i * n, (i + 1) * n) for i in range(400)]
+    mixed = " ".join(" ".join(edited(draw, text.split(), 0.02)) for _ in range(60))
+    found = scan(spark, [mixed])
+    assert len(found) == 60 and {r["license"] for r in found} == {"MIT"} and min(r["coverage"] for r in found) > 0.9
