@@ -378,9 +378,10 @@ def fit_boosted(rows: DataFrame, fits: list[Boost], rules: Growth = Growth()) ->
     if first is None:
         raise ValueError("no rows to fit on")
     size = int(first[0])
+    # even files, and few of them for few rows: a pass is a job, and each file a task
     kept = materialise(rows.select(
         "x", F.transform("y", lambda v: F.coalesce(v, F.lit(0)).cast("double")).alias("y"), F.col("fold").cast("int").alias("fold"),
-        F.coalesce("held", F.lit(False)).alias("held")), "boosting")
+        F.coalesce("held", F.lit(False)).alias("held")).hint("rebalance"), "boosting")
     cuts = cut_points(kept, size, rules.bins)
     layout, k = Layout(cuts), len(fits)
     labels = F.arrow_udf(lambda c: _as_bytes(rows_of(c, int(first[1])).astype(np.uint8)), "binary")
