@@ -757,12 +757,14 @@ BODIES |= {
             union all select gender_source_value, 'hist_gradient_boosting',
                 1/(1+exp(-(ln(t/(1-t)) + (b-t)/(t*(1-t))))) from m, (select avg(y) t from r where dataset='train' and not held))
         using (gender_source_value)""",
-    "fit_multilabel": f"""with s as (select person_id from v_prognosis_split where dataset='train'
-            and person_id in (select person_id from v_prognosis_event
-            where event_source_concept_id in (select event_source_concept_id from v_embedding)))
-        select class, count(*) n_persons, count(*) filter (list_contains(labels, class)) n_cases,
-            round(avg(cast(list_contains(labels, class) as double)), 4) mean_p
-        from v_prognosis join s using (person_id), {_CHAPTERS_22} group by class""",
+    "fit_multilabel": f"""with s as (select person_id, dataset from v_prognosis_split
+            where person_id in (select person_id from v_prognosis_event
+            where event_source_concept_id in (select event_source_concept_id from v_embedding))),
+        r as (select person_id, dataset, class, cast(list_contains(labels, class) as int) y
+            from v_prognosis join s using (person_id), {_CHAPTERS_22}),
+        m as (select class, count(*) n_persons, count(*) filter (y = 1) n_cases, round(avg(y::double), 4) mean_p
+            from r where dataset='train' group by class)
+        select person_id, dataset, class, y, true in_range, n_persons, n_cases, mean_p from r join m using (class)""",
     "resumed_grid": """select 'ridge' estimator, featurizer, p.n n_person_raw, e.n n_event_raw, e.c n_codes_raw, 1::bigint n_runs, 1::bigint n_keys
         from (select count(*) n from v_mace) p, (select count(*) n, count(distinct event_source_concept_id) c from v_observed) e,
         (select unnest(['Demographics', 'Embeddings']) featurizer)""",

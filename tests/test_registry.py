@@ -30,3 +30,12 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query(spark, connection, name):
     assert compare(spark, connection, SMOKE_DIR, name, queries()[name], oracle_sql()[name]) in (None, "empty")
+
+
+def test_multilabel_scores_persons_that_were_held_out(spark):
+    """One row per person and class, of the held-out persons too, whose scores the fit must give."""
+    rows = queries()["fit_multilabel"](spark, "/root/testdata/sf0.01").collect()
+    persons = {part: {r["person_id"] for r in rows if r["dataset"] == part} for part in ("train", "external_test")}
+    assert persons["train"] and persons["external_test"] and not persons["train"] & persons["external_test"]
+    assert len(rows) == 22 * sum(map(len, persons.values()))
+    assert {r["n_persons"] for r in rows} == {len(persons["train"])}
