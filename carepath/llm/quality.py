@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from carepath.functions.draws import exact_sample
+from carepath.llm.common import narrow
 from carepath.llm.words import ODD, U64, Texts, blocks, mix
 from carepath.session import materialise
 
@@ -26,19 +26,17 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class QualityRules:
-    """Parameters: buckets of n-grams, smoothing, labelled rows at most, the margin of the threshold, the base limits.
+    """Parameters: buckets of n-grams, smoothing, the margin of the threshold, the base limits.
 
     ``margin`` standard deviations below the mean of the trusted scores is the threshold. The trusted documents are
-    the ``most_trusted`` rows of the lowest draw among the labelled ones; the raw counts are over all documents.
+    all that are labelled as good; the raw counts are over all documents.
     """
 
     buckets: int = 1 << 14
     smoothing: float = 1.0
-    most_trusted: int = 20_000
     margin: float = 6.0
     least_words: int = 50
     most_repeated_percent: int = 50
-    seed: int = 1
 
 
 BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
@@ -129,11 +127,10 @@ def bucket_counts(docs: DataFrame, buckets: int, text: str = "text") -> DataFram
     return counted.groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
-def trusted(docs: DataFrame, labels: DataFrame, rules: QualityRules, key: str) -> DataFrame:
-    """Documents labelled as good: at most ``most_trusted`` ids, so their broadcast is bounded."""
-    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    chosen = exact_sample(materialise(good, "good"), "doc_id", rules.most_trusted, rules.seed)
-    return docs.join(F.broadcast(chosen.withColumnRenamed("doc_id", "_trusted")), F.col(key) == F.col("_trusted"), "left_semi")
+def trusted(docs: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """All documents labelled as good; their ids are broadcast if they are few, else both sides are shuffled."""
+    good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").alias("_trusted")).distinct()
+    return docs.join(narrow(materialise(good, "good")), F.col(key) == F.col("_trusted"), "left_semi")
 
 
 @dataclass(frozen=True)
@@ -157,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, rules: QualityRules = QualityRules()
     What reaches the driver are two tables of at most ``buckets`` rows and three sums. Without trusted documents
     the ratios are all 0 and every document passes the threshold.
     """
-    good = materialise(trusted(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")), labels, rules, "doc_id"), "trusted")
+    good = materialise(trusted(docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text")), labels, "doc_id"), "trusted")
     counts = {}
     for name, table in (("raw", docs), ("target", good)):
         counts[name] = np.zeros(rules.buckets)

@@ -82,3 +82,10 @@ def test_odd_rows(spark):
     assert out.columns == docs.columns and out.count() == 3
     assert judged(docs.limit(0), fit(docs.limit(0), none)).count() == 0
     assert fit(docs, spark.createDataFrame([(1, 1, 0)], none.schema), QualityRules()).ratios.any()
+
+
+def test_all_trusted_documents_count(spark):
+    """Where every document is trusted, target and corpus are the same, however many there are."""
+    docs = spark.range(20_500).selectExpr("id doc_id", "concat_ws(' ', 'w', id, id % 7, 'x' || id % 1000) text")
+    labels = docs.selectExpr("doc_id", "1 quality", "0 toxic")
+    assert not fit(docs, labels).ratios.any()
