@@ -50,3 +50,13 @@ def test_decisions_take_effect(spark, steps):
 def test_run_agrees_with_the_stages(spark, steps):
     rows = lambda df: sorted(json.dumps(r.asDict()) for r in df.collect())
     assert rows(corpus_pipeline.run(spark, DATA)) == rows(steps[-1])
+
+
+def test_the_first_stage_trusts_all_good_documents(spark, tmp_path, monkeypatch):
+    """Its model counts every document that is labelled as good, so with all of them good the ratios vanish."""
+    docs = spark.range(20_500).selectExpr("id doc_id", "concat_ws(' ', 'w', id, id % 7, 'x' || id % 1000) text")
+    docs.selectExpr("doc_id", "1 quality", "0 toxic").write.parquet(f"{tmp_path}/labels.parquet")
+    models, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda *given: models.append(fit(*given)) or models[-1])
+    corpus_pipeline.quality_rules(spark, docs, str(tmp_path))
+    assert len(models) == 1 and not models[0].ratios.any()
